@@ -15,5 +15,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op9_html_extraction)}
 LLM_SQL: dict[str, str] = {}

@@ -47,9 +47,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start byte of each word of some bytes; a text must end in white space or at the end of the bytes."""
-    inside = ~_SPACE[data]
+def word_hashes(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start byte of each word of some bytes; a text must end in a separator or at the end of the bytes."""
+    inside = ~separators[data]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     start, end = edge[0::2], edge[1::2]
     up, down = _tables(len(data) + 1)
@@ -59,7 +59,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
-def text_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def text_words(texts: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) of every row; null and empty texts have none. Bytes are taken in blocks of bounded size."""
     rows, size = [], 0
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
@@ -67,16 +67,16 @@ def text_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         rows.append(i)
         size += n + 1
         if size >= _BLOCK:
-            yield from _block(texts, rows, lengths)
+            yield from _block(texts, rows, lengths, separators)
             rows, size = [], 0
     if rows:
-        yield from _block(texts, rows, lengths)
+        yield from _block(texts, rows, lengths, separators)
 
 
-def _block(texts: pa.Array, rows: list[int], lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _block(texts: pa.Array, rows: list[int], lengths: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     part = texts.slice(rows[0], len(rows))
     joined = b" ".join((x or b"") for x in part.cast(pa.large_binary()).to_pylist())
-    words, start = word_hashes(np.frombuffer(joined, np.uint8))
+    words, start = word_hashes(np.frombuffer(joined, np.uint8), separators)
     ends = np.cumsum(lengths[rows] + 1)
     cut = np.searchsorted(start, ends)
     before = 0
