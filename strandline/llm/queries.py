@@ -27,5 +27,11 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op9_html_extraction)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op9_html_extraction, op10_language_id)}
 LLM_SQL: dict[str, str] = {}

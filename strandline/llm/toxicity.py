@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from strandline.llm import shingles as S
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
 #: The documented bound of the training sample: expected labelled rows, drawn by a hash of doc_id, and passes over them.
-TRAIN_ROWS, PASSES = 20_000, 3
+TRAIN_ROWS, PASSES = 20_000, 4
 #: Feature indexes that the training task keeps for its later passes; rows beyond are used in the first pass only.
 TRAIN_FEATURES = 30_000_000
 THRESHOLD = 0.3
