@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Vocabulary file of the tokenizer; never copied into the repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +25,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back, of every whole text."""
+    from strandline.llm.sentencepiece import encode, load
+
+    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), load(pieces), check=True)
+    return coded.select("doc_id", "n_tokens", "ids", "decodes")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.html import extract
 
@@ -33,5 +45,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op9_html_extraction, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op8_sentencepiece, op9_html_extraction, op10_language_id)}
 LLM_SQL: dict[str, str] = {}
