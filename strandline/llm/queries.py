@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import mixing
 
 
 #: Vocabulary file of the tokenizer; never copied into the repository.
@@ -25,6 +28,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.sharding import LAW, digest, shard
+
+    out = shard(digest(_table(spark, sf_dir, "documents")), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.mixing import schedule
+
+    return schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back, of every whole text."""
     from strandline.llm.sentencepiece import encode, load
@@ -45,5 +61,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op8_sentencepiece, op9_html_extraction, op10_language_id)}
-LLM_SQL: dict[str, str] = {}
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op4_sharding, op5_source_mixing, op8_sentencepiece, op9_html_extraction, op10_language_id)}
+LLM_SQL = {"op5_source_mixing": mixing.SQL}
