@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import setsketch as K
+from strandline.llm.batches import sorted_runs
 from strandline.llm.graph import components, small_components
 from strandline.llm.shingles import mix, shingles, text_words
 from strandline.llm.store import written
@@ -50,37 +51,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, set_low bigint, set_high bigint, sketch binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole runs of equal keys of sorted batches, with the run's number of each row.
-
-    With ``most``, a run longer than that is passed on in parts, each beginning with the run's first row.
-    """
-    kept: pa.Table | None = None
-
-    def numbered(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        for k in keys:
-            x = t.column(k).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        return np.cumsum(new)
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([kept, t]) if kept is not None else t
-        if not t.num_rows:
-            continue
-        run = numbered(t)
-        last = int(np.searchsorted(run, run[-1]))
-        if last:
-            yield t.slice(0, last), run[:last]
-        kept = t.slice(last).combine_chunks()
-        if most is not None and kept.num_rows > most:
-            yield kept, np.zeros(kept.num_rows, int)
-            kept = kept.slice(0, 1)
-    if kept is not None and kept.num_rows:
-        yield kept, np.zeros(kept.num_rows, int)
-
-
 def _pairs(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of positions inside each run."""
     a, b = [], []
@@ -96,7 +66,7 @@ def _pairs(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket, edges that join documents whose registers allow the threshold; at most one edge a row."""
-    for t, run in _runs(batches, ["bucket"], BUCKET):
+    for t, run in sorted_runs(batches, ["bucket"], BUCKET):
         ids, n = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
         counts = np.bincount(run)
         starts = np.cumsum(counts) - counts
@@ -177,7 +147,7 @@ def _meets(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links inside each (family, low block, high block); a spanning forest of them is passed on."""
-    for t, run in _runs(batches, ["family", "low", "high"]):
+    for t, run in sorted_runs(batches, ["family", "low", "high"]):
         ids, block, low = t.column("doc_id").to_numpy(), t.column("block").to_numpy(), t.column("low").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         starts = np.flatnonzero(np.diff(run, prepend=-1))

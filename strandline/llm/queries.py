@@ -41,6 +41,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
 
 
+def op6_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.ann import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.topk import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back, of every whole text."""
     from strandline.llm.sentencepiece import encode, load
@@ -61,5 +73,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op4_sharding, op5_source_mixing, op8_sentencepiece, op9_html_extraction, op10_language_id)}
-LLM_SQL = {"op5_source_mixing": mixing.SQL}
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op4_sharding, op5_source_mixing, op6_cross_polytope_ann, op7_exact_topk, op8_sentencepiece, op9_html_extraction, op10_language_id)}
+LLM_SQL = {
+    "op5_source_mixing": mixing.SQL,
+    "op7_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+p AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(list_transform(q.e, x -> CAST(x AS DOUBLE)), list_transform(v.e, x -> CAST(x AS DOUBLE))) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}

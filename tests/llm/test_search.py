@@ -1,0 +1,88 @@
+"""Both searches against brute force, with ties, repeated vectors, zero, null and non-finite components."""
+
+import numpy as np
+import pytest
+from pyspark.sql import Row
+
+from strandline.llm import ann, topk
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, score string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[7][1]) for i in range(120)]
+    rows += [(600, None), (700, []), (800, [0.0] * 5), (900, [1.0, None, 0.0, 0.0, 0.0]), (1000, [float("nan")] * 5), (1001, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (1050, [1.0, 2.0]), (None, [1.0] * 5), (1100, rows[0][1])]
+    return spark.createDataFrame([Row(vec_id=i, embedding=v, label=1, score="x") for i, v in rows], SCHEMA)
+
+
+def valid(df, zero):
+    out = {}
+    for r in df.collect():
+        v = r.embedding
+        if r.vec_id is None or not v or any(x is None or not np.isfinite(x) for x in v) or (not zero and not any(v)):
+            continue
+        out[r.vec_id] = np.array(v, np.float64)
+    return out
+
+
+def brute_products(df, every, k):
+    v = {i: [int(np.floor(1024 * x)) for x in e] for i, e in valid(df, True).items()}
+    out = []
+    for q in v:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q and len(v[i]) == len(v[q]))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def brute_cosines(df, every, k):
+    v = valid(df, False)
+    out = {}
+    for q in v:
+        if q % every == 0:
+            out[q] = sorted((-float(ann.cosines(v[q][None], v[i][None])[0]), i) for i in v if i != q and len(v[i]) == len(v[q]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("every,k", [(100, 10), (7, 3)])
+def test_products(spark, sf, odd, every, k):
+    for df in (odd, spark.read.parquet(f"{sf}/embeddings.parquet")):
+        assert sorted(map(tuple, topk.top_products(df, every, k).collect())) == brute_products(df, every, k)
+
+
+def test_products_are_pruned_right(spark):
+    rng = np.random.default_rng(1)
+    rows = [Row(vec_id=i, embedding=(rng.normal(size=8) * np.exp(rng.normal())).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, topk.top_products(df, 50, 10).collect())) == brute_products(df, 50, 10)
+
+
+def test_recall(spark, sf, odd):
+    for df in (spark.read.parquet(f"{sf}/embeddings.parquet"), spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet"), odd):
+        want = brute_cosines(df, 50, 5)
+        got = {}
+        for r in ann.neighbours(df, 50, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert all(g == sorted(g) and len(g) == len({i for _, i in g}) for g in got.values())
+        hits = sum(len({i for _, i in want[q]} & {i for _, i in got.get(q, [])}) for q in want)
+        assert hits >= 0.9 * sum(map(len, want.values()))
+        exact = {(q, i): s for q in want for s, i in want[q]}
+        assert all(abs(exact[q, i] - s) < 1e-12 for q in got for s, i in got[q] if (q, i) in exact)
+
+
+def test_ties(odd):
+    r = [x.vec_id for x in ann.neighbours(odd, 500, 5).where("query_id = 500").orderBy("rank").collect()]
+    assert r == [7, 400, 401, 402, 403]
+
+
+def test_empty(odd):
+    assert ann.neighbours(odd.limit(0)).count() == 0
+    assert topk.top_products(odd.limit(0)).count() == 0
+
+
+def test_large_integers():
+    q, v = np.array([2.0**40, -(2.0**40)]), np.array([[2.0**40, 1.0], [1.0, 0.0]])
+    assert topk.products(q, v).tolist() == [2**63 - 1, 2**40]
