@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing
+from strandline.llm import chat, mixing
 
 
 #: Vocabulary file of the tokenizer; never copied into the repository.
@@ -28,6 +28,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with another conversation's last reply; spans as text."""
+    from strandline.llm.chat import preference, spans_text, with_neighbour_replies
+
+    turns = _table(spark, sf_dir, "conversations")
+    out = preference(turns, with_neighbour_replies(turns), "conv_id")
+    return out.withColumns({c: spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.sharding import LAW, digest, shard
 
@@ -73,13 +82,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op4_sharding, op5_source_mixing, op6_cross_polytope_ann, op7_exact_topk, op8_sentencepiece, op9_html_extraction, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_preference_format, op4_sharding, op5_source_mixing, op6_cross_polytope_ann, op7_exact_topk, op8_sentencepiece, op9_html_extraction, op10_language_id)}
 LLM_SQL = {
+    "op3_preference_format": chat.SQL,
     "op5_source_mixing": mixing.SQL,
     "op7_exact_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 p AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(list_transform(q.e, x -> CAST(x AS DOUBLE)), list_transform(v.e, x -> CAST(x AS DOUBLE))) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(list_transform(q.e, lambda x: CAST(x AS DOUBLE)), list_transform(v.e, lambda x: CAST(x AS DOUBLE))) AS BIGINT) AS score
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
