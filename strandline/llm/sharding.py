@@ -98,7 +98,7 @@ def shard(rows: DataFrame, shards: int, seed: int = 0, names: tuple[str, str] =
     matrix = groups.select("_from").repartition(max(1, min(len(order), 64)), "_from").mapInArrow(draw, "_from bigint, _cell bigint, _first bigint, _count bigint")
     ranks = matrix.select("_from", "_cell", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)).alias("_rank"))
     permuted = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_from").orderBy(F.xxhash64("_at", F.lit(seed), F.lit("before")), "_at")) - 1)
-    dealt = permuted.join(ranks, ["_from", "_rank"])
+    dealt = permuted.join(ranks.hint("merge"), ["_from", "_rank"])  # a row for each row: never to be broadcast
     again = W.partitionBy("_cell").orderBy(F.xxhash64("_at", F.lit(seed), F.lit("after")), "_at")
     spread = dealt.withColumn("_slot", F.row_number().over(again) - 1)
     which = F.floor(F.col("_cell") / cells)
