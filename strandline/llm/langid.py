@@ -20,6 +20,8 @@ _WIDEST = max(WIDTHS)
 #: The documented bounds of the training sample: expected labelled texts, drawn by a hash of doc_id, and windows of each.
 TRAIN_ROWS, TRAIN_WINDOWS = 4000, 3
 EPOCHS, BATCH, RATE = 6, 128, 0.004
+#: Steps of training at least, so that a few texts are gone through more often, and the share of windows in upper case.
+STEPS, UPPER = 800, 0.15
 #: Windows that go through the network at once.
 _AT_ONCE = 128
 UNKNOWN = "und"
@@ -97,21 +99,24 @@ def padded(parts: list[bytes]) -> np.ndarray:
 
 
 def fit(parts: list[bytes], labels: np.ndarray, languages: list[str], seed: int = 5) -> Network:
-    """Trains by Adam; in every epoch some windows are cut short, so that short texts are known as well."""
+    """Trains by Adam; in every epoch some windows are cut short or put in upper case, so that such texts are known as well."""
     net = Network(languages, seed)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     t = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(parts)))
+    for epoch in range(epochs):
         order = rng.permutation(len(parts))
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
             cut = np.where(rng.random(len(some)) < 0.5, WINDOW, rng.integers(12, WINDOW, len(some)))
             start = [int(rng.integers(0, max(1, len(parts[k]) - c + 1))) for k, c in zip(some, cut, strict=True)]
-            g = net.gradients(padded([parts[k][s : s + c] for k, s, c in zip(some, start, cut, strict=True)]), labels[some])
+            seen = [parts[k][s : s + c] for k, s, c in zip(some, start, cut, strict=True)]
+            seen = [x.decode("utf-8", "ignore").upper().encode()[:WINDOW] if u else x for x, u in zip(seen, rng.random(len(seen)) < UPPER, strict=True)]
+            g = net.gradients(padded(seen), labels[some])
             t += 1
-            rate = RATE * (1 - 0.9 * epoch / EPOCHS)
+            rate = RATE * (1 - 0.9 * epoch / epochs)
             for k in net.p:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] ** 2 - v[k])
