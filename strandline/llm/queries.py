@@ -66,8 +66,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) ->
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back, of every whole text."""
     from strandline.llm.sentencepiece import encode, load
 
-    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), load(pieces), check=True)
-    return coded.select("doc_id", "n_tokens", "ids", "decodes")
+    return encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), load(pieces), check=True, carry=["doc_id"])
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,8 +253,8 @@ def _free(names: list[str], new: str) -> str:
     return new
 
 
-def encode(docs: DataFrame, model: Model, check: bool = False) -> DataFrame:
-    """All columns of docs, n_tokens and ids, from the whole text. A column of docs that has one of these names keeps it, and the new one gets "_" in front.
+def encode(docs: DataFrame, model: Model, check: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """The columns of docs in ``carry`` (all, if None), n_tokens and ids, from the whole text. A column of docs that has one of these names keeps it, and the new one gets "_" in front.
 
     Null texts have null ids and n_tokens null; empty texts none and 0. A word mark U+2581 in a text counts as a space.
     With check, column decodes tells whether decoding the ids gives the text back (null for null).
@@ -278,12 +278,14 @@ def encode(docs: DataFrame, model: Model, check: bool = False) -> DataFrame:
                     new.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("_text"))
+    carry = docs.columns if carry is None else carry
+    kinds = dict(docs.dtypes)
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     added = ["n_tokens", "ids"] + ["decodes"] * check
-    names = [f"_{i}" for i in range(len(docs.columns))] + added
-    kinds = ["n_tokens bigint", "ids array<int>", "decodes boolean"][: len(added)]
-    schema = ", ".join([f"_{i} {t}" for i, (_, t) in enumerate(docs.dtypes)] + kinds)
-    return carried.mapInArrow(run, schema).toDF(*docs.columns, *[_free(docs.columns, a) for a in added])
+    names = [f"_{i}" for i in range(len(carry))] + added
+    new = ["n_tokens bigint", "ids array<int>", "decodes boolean"][: len(added)]
+    schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + new)
+    return carried.mapInArrow(run, schema).toDF(*carry, *[_free(carry, a) for a in added])
 
 
 def decode(coded: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
