@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from strandline.params import STREAMS
 
 
-def stream_lengths(samples: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
-    """recording_id, {stream}_length, shortest, longest, {stream}_removed. With recordings, those without a sample have length 0."""
+def stream_lengths(samples: DataFrame, recordings: DataFrame | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """recording_id, {stream}_length, shortest, longest, {stream}_removed. With recordings, those without a sample have length 0.
+
+    more: further aggregates of the same samples, so that they are read once for all per-recording facts.
+    """
     end = {s: F.coalesce(F.max(F.when(F.col(s).isNotNull(), F.col("sample_index") + 1)), F.lit(0)).cast("bigint") for s in STREAMS}
-    out = samples.groupBy("recording_id").agg(*[e.alias(f"{s}_length") for s, e in end.items()])
+    out = samples.groupBy("recording_id").agg(*[e.alias(f"{s}_length") for s, e in end.items()], *more)
     if recordings is not None:
-        out = recordings.select("recording_id").join(out, "recording_id", "left").fillna(0)
+        out = recordings.select("recording_id").join(out, "recording_id", "left").fillna(0, [f"{s}_length" for s in STREAMS])
     lengths = [F.col(f"{s}_length") for s in STREAMS]
     out = out.withColumns({"shortest": F.least(*lengths), "longest": F.greatest(*lengths)})
     return out.withColumns({f"{s}_removed": F.col(f"{s}_length") - F.col("shortest") for s in STREAMS})

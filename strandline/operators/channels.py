@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,27 +51,28 @@ def _moments(signal: DataFrame, percentiles: bool) -> DataFrame:
     return out.withColumns({n: F.col("q")[i] for i, n in enumerate(QUANTILES)}).drop("q") if percentiles else out
 
 
-def rank_percentiles(signal: DataFrame) -> DataFrame:
-    """Exact percentiles by a sort that can spill: the two values around rank q(n-1), interpolated."""
+def value_statistics(signal: DataFrame) -> DataFrame:
+    """Exact percentiles and the extreme-repeat fraction from value counts, in one pass and one sort that can spill.
+
+    A percentile interpolates the two values around rank q(n-1); the extremes' counts are those of the least and largest value.
+    """
     keys = ["recording_id", "channel"]
     counts = signal.where(finite(F.col("x"))).groupBy(*keys, "x").agg(F.count("*").alias("c"))
     w = W.partitionBy(*keys).orderBy("x")
-    ranked = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    ranked = ranked.join(totals, keys)
+    ranked = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
 
-    def at(rank: F.Column) -> F.Column:  # the value whose run of equal values holds the 0-based rank
+    def at(rank: Column) -> Column:  # the value whose run of equal values holds the 0-based rank
         return F.min(F.when(F.col("upto") > rank, F.col("x")))
 
-    aggs = [F.first("n").alias("n")]
+    aggs = [F.first("n").alias("n"), F.greatest(F.min_by("c", "x"), F.max_by("c", "x")).alias("most")]
     for name, q in QUANTILES.items():
         rank = F.lit(q) * (F.col("n") - 1)
         aggs += [at(F.floor(rank)).alias(f"{name}_lo"), at(F.ceil(rank)).alias(f"{name}_hi")]
-    out = ranked.groupBy(*keys).agg(*aggs)
+    out = ranked.groupBy(*keys).agg(*aggs).withColumn("extreme_repeat_fraction", F.col("most") / F.col("n"))
     for name, q in QUANTILES.items():
         rank = F.lit(q) * (F.col("n") - 1)
         out = out.withColumn(name, F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (rank - F.floor(rank)))
-    return out.select(*keys, *QUANTILES)
+    return out.select(*keys, *QUANTILES, "extreme_repeat_fraction")
 
 
 def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
 def channel_statistics(samples: DataFrame, threshold: float, method: str = "percentile", chunk_samples: int | None = None, recordings: DataFrame | None = None) -> DataFrame:
     """One row for each (recording, channel): counts, 13 statistics and two flags.
 
-    method: ``percentile`` (a value-count map in memory for each group) or ``rank`` (a sort that spills); both are exact.
+    method: ``percentile`` (a value-count map in memory for each group, a third pass for the extremes) or ``rank`` (value counts
+    and a sort that spills, two passes in all); both are exact.
     With recordings (recording_id, channel_count), channels of recordings without a sample have a row as well.
     """
     if method not in ("percentile", "rank"):
@@ -97,10 +99,11 @@ def channel_statistics(samples: DataFrame, threshold: float, method: str = "perc
     keys = ["recording_id", "channel"]
     signal, plain = long_signal(samples, True, chunk_samples), long_signal(samples, False)
     out = _moments(signal, method == "percentile")
-    ends = plain.where(finite(F.col("x"))).groupBy(*keys).agg(F.min("x").alias("minimum"), F.max("x").alias("maximum"))
-    out = out.join(extreme_repeats(plain, ends), keys, "left")
     if method == "rank":
-        out = out.join(rank_percentiles(plain), keys, "left")
+        out = out.join(value_statistics(plain), keys, "left")
+    else:
+        ends = plain.where(finite(F.col("x"))).groupBy(*keys).agg(F.min("x").alias("minimum"), F.max("x").alias("maximum"))
+        out = out.join(extreme_repeats(plain, ends), keys, "left")
     if recordings is not None:
         some = recordings.where("channel_count > 0").select("recording_id", F.explode(F.sequence(F.lit(1), "channel_count")).alias("channel"))
         out = some.join(out, keys, "left").fillna(0, ["sample_count", "finite_count", "nonfinite_count"])

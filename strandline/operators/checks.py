@@ -12,6 +12,16 @@ from strandline.operators.align import removed_text
 from strandline.params import EXERCISES, AuditParams
 
 LABELS = ("stimulus", "restimulus", "repetition", "rerepetition")
+# The texts of findings.
+MISSING_FILE = "expected one MATLAB file"
+DUPLICATE_FILE = "observed %d MATLAB files"
+NOT_INTEGER = "{} must contain finite integer labels"
+NOT_ONE = "{} must contain one value, received %d"
+TOO_LONG = "length mismatch exceeds {} samples: %d"
+ALIGNED = "aligned all streams to %d samples; removed trailing samples: %s"
+MISMATCH = "filename=%d, variable=%d"
+CHANNELS = "observed=%d, expected={}"
+FRAGMENTED = "movement=%d, repetition=%d, segments=%d"
 
 
 def requested_pairs(spark: SparkSession, params: AuditParams) -> DataFrame:
@@ -52,17 +62,30 @@ def scalar_validity(scalars: DataFrame) -> DataFrame:
     return out.select("recording_id", "variable", "values_received", F.when(ok, F.col("v").try_cast("int")).alias("scalar"), (~ok).alias("invalid"))
 
 
-def stream_disagreement(aligned: DataFrame) -> DataFrame:
-    return aligned.groupBy("recording_id").agg(
+def _disagreement() -> list[Column]:
+    return [
         F.count_if(F.col("stimulus") != F.col("restimulus")).alias("stimulus_restimulus_disagreement_samples"),
         F.count_if(F.col("repetition") != F.col("rerepetition")).alias("repetition_rerepetition_disagreement_samples"),
-    )
+    ]
+
+
+def _active(params: AuditParams) -> list[Column]:
+    movement, repetition = params.label_columns
+    return [positives(movement).alias("active_labels"), positives(repetition).alias("active_repetitions")]
+
+
+def stream_disagreement(aligned: DataFrame) -> DataFrame:
+    return aligned.groupBy("recording_id").agg(*_disagreement())
 
 
 def active_sets(aligned: DataFrame, params: AuditParams) -> DataFrame:
     """Sorted distinct positive labels and repetitions, each on its own."""
-    movement, repetition = params.label_columns
-    return aligned.groupBy("recording_id").agg(positives(movement).alias("active_labels"), positives(repetition).alias("active_repetitions"))
+    return aligned.groupBy("recording_id").agg(*_active(params))
+
+
+def label_facts(aligned: DataFrame, params: AuditParams) -> DataFrame:
+    """Active sets and disagreement counts of each recording in one pass."""
+    return aligned.groupBy("recording_id").agg(*_active(params), *_disagreement())
 
 
 def expected_label_list(exercise: Column, params: AuditParams) -> Column:
@@ -96,7 +119,7 @@ def identity_mismatch(recordings: DataFrame) -> DataFrame:
     def one(what: str) -> DataFrame:
         return recordings.where(F.col(f"stored_{what}") != F.col(what)).select(
             "recording_id", "subject", "exercise", "file", F.lit(f"{what}_mismatch").alias("category"),
-            F.format_string("filename=%d, variable=%d", what, f"stored_{what}").alias("detail"),
+            F.format_string(MISMATCH, what, f"stored_{what}").alias("detail"),
         )
 
     return one("subject").unionByName(one("exercise"))
@@ -111,17 +134,23 @@ def channel_count_check(samples: DataFrame, params: AuditParams) -> DataFrame:
     varies = F.col("least") != F.col("most")
     return channel_counts(samples).where(varies | (F.col("most") != params.expected_channels)).select(
         "recording_id", F.when(varies, "invalid_emg_shape").otherwise("channel_count").alias("category"),
-        F.when(varies, F.format_string("channels vary from %d to %d", "least", "most")).otherwise(F.format_string(f"observed=%d, expected={params.expected_channels}", "most")).alias("detail"),
+        F.when(varies, F.format_string("channels vary from %d to %d", "least", "most")).otherwise(F.format_string(CHANNELS.format(params.expected_channels), "most")).alias("detail"),
     )
 
 
-def recording_facts(recordings: DataFrame, samples: DataFrame, lengths: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
-    """One row for each recording with stop_category and stop_detail: the first failing check, or NULL if it loads."""
+def sample_facts() -> tuple[Column, ...]:
+    """Aggregates of a recording's samples that recording_facts needs besides the lengths."""
+    return (F.min(F.size("emg")).alias("least"), F.max(F.size("emg")).alias("most"), *[holes(c).alias(f"{c}_hole") for c in LABELS], F.lit(True).alias("has_rows"))
+
+
+def recording_facts(recordings: DataFrame, lengths: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """One row for each recording with stop_category and stop_detail: the first failing check, or NULL if it loads.
+
+    lengths: stream_lengths of all recordings with sample_facts.
+    """
     from strandline.sources.variables import missing_variables
 
     out = recordings.join(lengths, "recording_id", "left")
-    widths = samples.groupBy("recording_id").agg(F.min(F.size("emg")).alias("least"), F.max(F.size("emg")).alias("most"), *[holes(c).alias(f"{c}_hole") for c in LABELS])
-    out = out.join(widths.withColumn("has_rows", F.lit(True)), "recording_id", "left")
     steps = [("load_failure", F.when(F.col("has_rows").isNull() & (F.coalesce("channel_count", F.lit(0)) != 0), F.lit("no samples")))]
     if catalogue is not None:
         out = out.join(missing_variables(recordings, catalogue), "recording_id", "left")
@@ -132,14 +161,14 @@ def recording_facts(recordings: DataFrame, samples: DataFrame, lengths: DataFram
         for name in ("subject", "exercise"):
             one = checked.where(F.col("variable") == name).select("recording_id", F.col("invalid").alias(f"{name}_bad"), F.col("values_received").alias(f"{name}_n"))
             out = out.join(one, "recording_id", "left")
-            message = F.when(F.col(f"{name}_n") != 1, F.format_string(f"{name} must contain one value, received %d", f"{name}_n")).otherwise(F.lit(f"{name} must contain a finite value"))
+            message = F.when(F.col(f"{name}_n") != 1, F.format_string(NOT_ONE.format(name), f"{name}_n")).otherwise(F.lit(f"{name} must contain a finite value"))
             steps.append(("invalid_metadata", F.when(F.col(f"{name}_bad"), message)))
     if raw is not None:
         streams = tuple(c for c in LABELS if c in raw.columns)
         out = out.join(label_validity(raw, streams), "recording_id", "left")
-        steps += [("invalid_metadata", F.when(F.col(f"{c}_invalid"), F.lit(f"{c} must contain finite integer labels"))) for c in streams]
+        steps += [("invalid_metadata", F.when(F.col(f"{c}_invalid"), F.lit(NOT_INTEGER.format(c)))) for c in streams]
     steps += [("invalid_metadata", F.when(F.col(f"{c}_hole"), F.lit(f"{c} has a gap before its end"))) for c in LABELS]
-    steps.append(("invalid_metadata", F.when(F.col("longest") - F.col("shortest") > params.max_tail_mismatch, F.format_string(f"length mismatch exceeds {params.max_tail_mismatch} samples: %d", F.col("longest") - F.col("shortest")))))
+    steps.append(("invalid_metadata", F.when(F.col("longest") - F.col("shortest") > params.max_tail_mismatch, F.format_string(TOO_LONG.format(params.max_tail_mismatch), F.col("longest") - F.col("shortest")))))
     first = F.coalesce(*[F.when(m.isNotNull(), F.struct(F.lit(c).alias("c"), m.alias("m"))) for c, m in steps])
     return out.withColumn("stop", first).withColumns({"stop_category": F.col("stop.c"), "stop_detail": F.col("stop.m")}).drop("stop")
 
@@ -155,16 +184,16 @@ def issues(facts: DataFrame, sets: DataFrame, split: DataFrame, expected: DataFr
     stopped, loaded = facts.where("stop_category is not null"), facts.where("stop_category is null")
     named = recordings.select("recording_id", "subject", "exercise", "file")
     files = named.select("recording_id", "file")
-    removed = F.format_string("aligned all streams to %d samples; removed trailing samples: %s", F.col("shortest"), removed_text())
+    removed = F.format_string(ALIGNED, F.col("shortest"), removed_text())
     frames = [
-        _issue(no_file(missing_recordings(expected, recordings)), "error", "missing_file", "expected one MATLAB file"),
-        _issue(no_file(duplicate_recordings(recordings)), "error", "duplicate_file", F.format_string("observed %d MATLAB files", "files")),
+        _issue(no_file(missing_recordings(expected, recordings)), "error", "missing_file", MISSING_FILE),
+        _issue(no_file(duplicate_recordings(recordings)), "error", "duplicate_file", F.format_string(DUPLICATE_FILE, "files")),
         _issue(stopped, "error", F.col("stop_category"), F.col("stop_detail")),
         _issue(loaded.where("longest > shortest"), "warning", "trailing_length_alignment", removed),
         _issue(identity_mismatch(loaded), "error", F.col("category"), F.col("detail")),
-        _issue(loaded.where(F.col("channel_count") != params.expected_channels), "error", "channel_count", F.format_string(f"observed=%d, expected={params.expected_channels}", "channel_count")),
+        _issue(loaded.where(F.col("channel_count") != params.expected_channels), "error", "channel_count", F.format_string(CHANNELS.format(params.expected_channels), "channel_count")),
         _issue(label_coverage(sets, loaded, params).join(files, "recording_id"), "error", "movement_coverage", F.col("detail")),
         _issue(repetition_coverage(sets, loaded, params).join(files, "recording_id"), "error", "repetition_coverage", F.col("detail")),
-        _issue(split.join(named, "recording_id"), "warning", "fragmented_trial", F.format_string("movement=%d, repetition=%d, segments=%d", "movement", "repetition", "segments")),
+        _issue(split.join(named, "recording_id"), "warning", "fragmented_trial", F.format_string(FRAGMENTED, "movement", "repetition", "segments")),
     ]
     return reduce(DataFrame.unionByName, frames)

@@ -13,11 +13,11 @@ from strandline.params import STREAMS, AuditParams
 DISAGREE = ("stimulus_restimulus_disagreement_samples", "repetition_rerepetition_disagreement_samples")
 
 
-def file_inventory(loaded: DataFrame, sets: DataFrame, disagreement: DataFrame, found: DataFrame, channels: DataFrame, params: AuditParams) -> DataFrame:
-    """The 28 fields of each loaded recording, plus recording_id."""
+def file_inventory(loaded: DataFrame, labels: DataFrame, found: DataFrame, channels: DataFrame, params: AuditParams) -> DataFrame:
+    """The 28 fields of each loaded recording, plus recording_id. labels: checks.label_facts."""
     trials = found.groupBy("recording_id").agg(F.count("*").alias("active_trial_segments"))
     bad = channels.groupBy("recording_id").agg(F.sum("nonfinite_count").alias("nonfinite_emg_values"))
-    out = loaded.join(sets, "recording_id", "left").join(disagreement, "recording_id", "left").join(trials, "recording_id", "left").join(bad, "recording_id", "left")
+    out = loaded.join(labels, "recording_id", "left").join(trials, "recording_id", "left").join(bad, "recording_id", "left")
     out = out.fillna(0, ["active_trial_segments", "nonfinite_emg_values", *DISAGREE])
     text = lambda c: F.coalesce(joined(F.col(c)), F.lit(""))
     return out.select(

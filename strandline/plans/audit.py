@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from strandline.operators import align, channels, checks, rollup, trials
 from strandline.params import AuditParams
 
 
-def audit_dataset(samples: DataFrame, recordings: DataFrame, expected: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None, raw: DataFrame | None = None, method: str = "rank") -> dict[str, DataFrame]:
-    """Every result table by name. Nothing runs until one is written or read."""
-    lengths = align.stream_lengths(samples, recordings)
-    facts = checks.recording_facts(recordings, samples, lengths, params, catalogue, scalars, raw)
+def audit_dataset(
+    samples: DataFrame, recordings: DataFrame, expected: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None,
+    raw: DataFrame | None = None, method: str = "rank", keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> dict[str, DataFrame]:
+    """Every result table by name. Nothing runs until one is written or read.
+
+    Samples are read for the per-recording facts, for label facts, for runs, and twice for channel statistics. ``keep`` is given
+    each small intermediate table (facts, labels, trials, channels) with its name and may return it persisted or written, so
+    that several results do not read the samples again.
+    """
+    lengths = align.stream_lengths(samples, recordings, checks.sample_facts())
+    facts = keep(checks.recording_facts(recordings, lengths, params, catalogue, scalars, raw), "facts")
     loaded = facts.where("stop_category is null")
     aligned = align.truncate(samples, loaded)
-    sets = checks.active_sets(aligned, params)
+    labels = keep(checks.label_facts(aligned, params), "labels")
     runs = trials.label_runs(trials.label_stream(aligned, params), params.chunk_samples)
-    found = trials.trials(runs)
+    found = keep(trials.trials(runs), "trials")
     keyed = trials.with_windows(found, params)
     inventory = trials.trial_inventory(found, recordings, params)
-    quality = channels.channel_statistics(aligned, params.extreme_repeat_threshold, method, params.chunk_samples, loaded.select("recording_id", "channel_count"))
+    quality = keep(channels.channel_statistics(aligned, params.extreme_repeat_threshold, method, params.chunk_samples, loaded.select("recording_id", "channel_count")), "channels")
     named = recordings.select("recording_id", "subject", "exercise", "file")
     quality_named = named.join(quality, "recording_id")
-    problems = checks.issues(facts, sets, trials.fragmented(found), expected, recordings, params)
-    files = rollup.file_inventory(loaded, sets, checks.stream_disagreement(aligned), found, quality, params)
+    problems = checks.issues(facts, labels, trials.fragmented(found), expected, recordings, params)
+    files = rollup.file_inventory(loaded, labels, found, quality, params)
     by_subject = keyed.join(named, "recording_id")
     people = rollup.participant_summary(files, by_subject, quality_named, problems, params)
     return {

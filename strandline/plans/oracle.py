@@ -204,6 +204,19 @@ SQL = {
     "participant_summary": f"{_AUDIT}, {_FLAGS}, {_PEOPLE} SELECT p.subject, file_count, exercise_count, total_samples, round(total_samples / 2000.0, 6) AS total_duration_seconds, CAST(coalesce(g, 0) AS BIGINT) AS generator_window_count, CAST(coalesce(c, 0) AS BIGINT) AS classifier_window_count, nf AS nonfinite_emg_values, CAST(coalesce(k, 0) AS BIGINT) AS constant_channels, CAST(coalesce(s, 0) AS BIGINT) AS potential_saturation_channels, CAST(coalesce(n, 0) AS BIGINT) AS issue_count FROM ppl p LEFT JOIN (SELECT subject, sum(gw) AS g, sum(cw) AS c FROM trl GROUP BY subject) w ON p.subject = w.subject LEFT JOIN (SELECT subject, sum(constant) AS k, sum(sat) AS s FROM flg GROUP BY subject) f ON p.subject = f.subject LEFT JOIN (SELECT subject, count(*) AS n FROM iss GROUP BY subject) i ON p.subject = i.subject",
     "dataset_summary": f"{_AUDIT}, {_FLAGS} {_SUMMARY}",
     "rollup_levels": f"{_AUDIT}, w AS (SELECT user_id, sum(gw) AS g, sum(cw) AS c FROM trl GROUP BY user_id) SELECT subject, recording_id, CAST(grouping(subject) * 2 + grouping(recording_id) AS INT) AS level, count(*) AS files, CAST(sum(emg_samples) AS BIGINT) AS samples, CAST(sum(coalesce(g, 0)) AS BIGINT) AS generator_windows, CAST(sum(coalesce(c, 0)) AS BIGINT) AS classifier_windows, CAST(sum(nonfinite_emg_values) AS BIGINT) AS nonfinite_values FROM fil f LEFT JOIN w ON f.user_id = w.user_id GROUP BY ROLLUP (subject, recording_id)",
+    "audit_report_lines": f"{_AUDIT}, {_FLAGS}, sm AS ({_SUMMARY})" + """
+      SELECT CAST(0 AS INT) AS line_no, 'status: ' || upper(status) AS line FROM sm
+      UNION ALL SELECT 1, 'subjects: ' || CAST(subject_count AS VARCHAR) FROM sm
+      UNION ALL SELECT 2, 'files: ' || CAST(observed_file_count AS VARCHAR) || ' observed, ' || CAST(expected_file_count AS VARCHAR) || ' expected, ' || CAST(loaded_file_count AS VARCHAR) || ' loaded' FROM sm
+      UNION ALL SELECT 3, 'hours: ' || printf('%.3f', total_hours) FROM sm
+      UNION ALL SELECT 4, 'trials: ' || CAST(active_trial_segments AS VARCHAR) FROM sm
+      UNION ALL SELECT 5, 'windows: ' || CAST(generator_window_count AS VARCHAR) || ' generator, ' || CAST(classifier_window_count AS VARCHAR) || ' classifier' FROM sm
+      UNION ALL SELECT 6, 'tail tolerance ms: ' || printf('%.3f', max_tail_mismatch_ms) FROM sm
+      UNION ALL SELECT 7, 'aligned files: ' || CAST(aligned_file_count AS VARCHAR) FROM sm
+      UNION ALL SELECT 8, 'non-finite values: ' || CAST(nonfinite_emg_values AS VARCHAR) FROM sm
+      UNION ALL SELECT 9, 'channels: ' || CAST(constant_channels AS VARCHAR) || ' constant, ' || CAST(potential_saturation_channels AS VARCHAR) || ' possibly saturated' FROM sm
+      UNION ALL SELECT 10, 'issues: ' || CAST(error_count AS VARCHAR) || ' errors, ' || CAST(warning_count AS VARCHAR) || ' warnings' FROM sm
+    """,
     "content_manifest": "SELECT source AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents",
     "source_completeness": f"SELECT subject, count(*) AS file_count, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) = 50 AS complete FROM ({_D}) d GROUP BY subject",
     "collection_totals": f"SELECT count(DISTINCT subject) AS subject_count, count(*) AS file_count, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(DISTINCT subject) = 20 AND count(*) = 1000 AS complete FROM ({_D}) d",

@@ -131,8 +131,9 @@ def channel_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The small intermediate tables are persisted (they have a row for each recording, trial or channel), so that results share them."""
     e = b.events(spark, sf_dir)
-    return audit_dataset(e.samples, e.recordings, checks.requested_pairs(spark, e.params), e.params, e.catalogue, e.scalars, e.raw)
+    return audit_dataset(e.samples, e.recordings, checks.requested_pairs(spark, e.params), e.params, e.catalogue, e.scalars, e.raw, keep=lambda df, _: df.persist())
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
