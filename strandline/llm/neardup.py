@@ -221,3 +221,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.drop("sketch").join(found, key, "left")
     whole = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), (F.col("doc_id") == whole).alias("kept"))
+
+
+#: near_duplicates over documents as SQL: exact joins of whole shingles, for tables that are small enough for it.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0) a),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n AS x ON c.a = x.doc_id JOIN n AS y ON c.b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, low) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT e.b, r.low FROM r JOIN e ON e.a = r.doc_id WHERE r.low < e.b)
+SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.low) AS component_id, w.doc_id = min(r.low) AS kept
+FROM w JOIN r ON w.doc_id = r.doc_id LEFT JOIN n ON w.doc_id = n.doc_id GROUP BY w.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, mixing
+from strandline.llm import chat, mixing, neardup
 
 
 #: Vocabulary file of the tokenizer; never copied into the repository.
@@ -17,9 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandline.llm.neardup import near_duplicates
-
-    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_preference_format, op4_sharding, op5_source_mixing, op6_cross_polytope_ann, op7_exact_topk, op8_sentencepiece, op9_html_extraction, op10_language_id)}
 LLM_SQL = {
+    "op1_minhash_near_dedup": neardup.SQL,
     "op3_preference_format": chat.SQL,
     "op5_source_mixing": mixing.SQL,
     "op7_exact_topk": """
