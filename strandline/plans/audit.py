@@ -1,48 +1,79 @@
-"""The whole audit as a set of lazy DataFrames."""
+"""The whole audit as a set of DataFrames."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 from strandline.operators import align, channels, checks, rollup, trials
 from strandline.params import AuditParams
 
+RESULTS = ("file_inventory", "trial_inventory", "window_counts", "channel_quality", "participant_summary", "issues", "dataset_summary", "rollup_levels")
+
 
 def audit_dataset(
     samples: DataFrame, recordings: DataFrame, expected: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None,
-    raw: DataFrame | None = None, method: str = "rank", keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    raw: DataFrame | None = None, method: str = "rank", results: tuple[str, ...] = RESULTS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> dict[str, DataFrame]:
-    """Every result table by name. Nothing runs until one is written or read.
+    """The asked-for result tables by name.
 
-    Samples are read for the per-recording facts, for label facts, for runs, and twice for channel statistics. ``keep`` is given
-    each small intermediate table (facts, labels, trials, channels) with its name and may return it persisted or written, so
-    that several results do not read the samples again.
+    Samples are read for the per-recording facts, for label facts, for runs, and twice for channel statistics, each only if a
+    result needs it. ``keep`` is given each of these small intermediate tables (facts, labels, trials, channels) with its name. By
+    default all stays lazy; pass ``strandline.sources.stage.written`` to write them once, so that several results, or one that
+    uses a table often, neither read the samples again nor carry their whole plan.
     """
-    lengths = align.stream_lengths(samples, recordings, checks.sample_facts())
-    facts = keep(checks.recording_facts(recordings, lengths, params, catalogue, scalars, raw), "facts")
-    loaded = facts.where("stop_category is null")
-    aligned = align.truncate(samples, loaded)
-    labels = keep(checks.label_facts(aligned, params), "labels")
-    runs = trials.label_runs(trials.label_stream(aligned, params), params.chunk_samples)
-    found = keep(trials.trials(runs), "trials")
-    keyed = trials.with_windows(found, params)
-    inventory = trials.trial_inventory(found, recordings, params)
-    quality = keep(channels.channel_statistics(aligned, params.extreme_repeat_threshold, method, params.chunk_samples, loaded.select("recording_id", "channel_count")), "channels")
+
+    @cache
+    def facts() -> DataFrame:
+        lengths = align.stream_lengths(samples, recordings, checks.sample_facts())
+        return keep(checks.recording_facts(recordings, lengths, params, catalogue, scalars, raw), "facts")
+
+    @cache
+    def loaded() -> DataFrame:
+        return facts().where("stop_category is null")
+
+    @cache
+    def aligned() -> DataFrame:
+        return align.truncate(samples, loaded())
+
+    @cache
+    def labels() -> DataFrame:
+        return keep(checks.label_facts(aligned(), params), "labels")
+
+    @cache
+    def found() -> DataFrame:
+        return keep(trials.trials(trials.label_runs(trials.label_stream(aligned(), params), params.chunk_samples)), "trials")
+
+    @cache
+    def quality() -> DataFrame:
+        wide = loaded().select("recording_id", "channel_count")
+        return keep(channels.channel_statistics(aligned(), params.extreme_repeat_threshold, method, params.chunk_samples, wide), "channels")
+
     named = recordings.select("recording_id", "subject", "exercise", "file")
-    quality_named = named.join(quality, "recording_id")
-    problems = checks.issues(facts, labels, trials.fragmented(found), expected, recordings, params)
-    files = rollup.file_inventory(loaded, labels, found, quality, params)
-    by_subject = keyed.join(named, "recording_id")
-    people = rollup.participant_summary(files, by_subject, quality_named, problems, params)
-    return {
+    windows = lambda: trials.with_windows(found(), params)
+
+    @cache
+    def issues() -> DataFrame:
+        return checks.issues(facts(), labels(), trials.fragmented(found()), expected, recordings, params)
+
+    @cache
+    def files() -> DataFrame:
+        return rollup.file_inventory(loaded(), labels(), found(), quality(), params)
+
+    @cache
+    def people() -> DataFrame:
+        return rollup.participant_summary(files(), windows().join(named, "recording_id"), named.join(quality(), "recording_id"), issues(), params)
+
+    build = {
         "file_inventory": files,
-        "trial_inventory": inventory,
-        "window_counts": trials.with_windows(inventory, params),
-        "channel_quality": quality_named.drop("recording_id"),
+        "trial_inventory": lambda: trials.trial_inventory(found(), recordings, params),
+        "window_counts": lambda: trials.with_windows(trials.trial_inventory(found(), recordings, params), params),
+        "channel_quality": lambda: named.join(quality(), "recording_id").drop("recording_id"),
         "participant_summary": people,
-        "issues": problems,
-        "dataset_summary": rollup.dataset_summary(expected, recordings, files, keyed, quality, problems, people, params),
-        "rollup_levels": rollup.rollup_levels(files, keyed),
+        "issues": issues,
+        "dataset_summary": lambda: rollup.dataset_summary(expected, recordings, files(), windows(), quality(), issues(), people(), params),
+        "rollup_levels": lambda: rollup.rollup_levels(files(), windows()),
     }
+    return {name: build[name]() for name in results}

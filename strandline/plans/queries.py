@@ -9,6 +9,7 @@ from strandline.operators import align, channels, checks, rollup, trials
 from strandline.plans import bindings as b
 from strandline.plans.audit import audit_dataset
 from strandline.sources import files
+from strandline.sources.stage import written
 from strandline.sources.variables import missing_variables
 
 SATURATION = 0.01
@@ -130,34 +131,34 @@ def channel_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.channel_count_check(b.embedding_signal(spark, sf_dir), AuditParams())
 
 
-def _audit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The small intermediate tables are persisted (they have a row for each recording, trial or channel), so that results share them."""
+def _audit(spark: SparkSession, sf_dir: str, result: str) -> DataFrame:
+    """One result over the events; the small tables it is made of are written once."""
     e = b.events(spark, sf_dir)
-    return audit_dataset(e.samples, e.recordings, checks.requested_pairs(spark, e.params), e.params, e.catalogue, e.scalars, e.raw, keep=lambda df, _: df.persist())
+    return audit_dataset(e.samples, e.recordings, checks.requested_pairs(spark, e.params), e.params, e.catalogue, e.scalars, e.raw, results=(result,), keep=written)[result]
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir)["issues"]
+    return _audit(spark, sf_dir, "issues")
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir)["file_inventory"]
+    return _audit(spark, sf_dir, "file_inventory")
 
 
 def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_audit(spark, sf_dir)["participant_summary"])
+    return _rounded(_audit(spark, sf_dir, "participant_summary"))
 
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_audit(spark, sf_dir)["dataset_summary"].drop("window_definitions", "subjects_requested"))
+    return _rounded(_audit(spark, sf_dir, "dataset_summary").drop("window_definitions", "subjects_requested"))
 
 
 def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir)["rollup_levels"]
+    return _audit(spark, sf_dir, "rollup_levels")
 
 
 def audit_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.report_lines(_audit(spark, sf_dir)["dataset_summary"])
+    return rollup.report_lines(_audit(spark, sf_dir, "dataset_summary"))
 
 
 def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_missing_variables(spark):
 
 
 def test_sinks(spark, sf, tmp_path):
-    summary = queries._audit(spark, sf)["dataset_summary"].persist()
+    summary = queries._audit(spark, sf, "dataset_summary").persist()
     sinks.write_summary(summary, str(tmp_path / "summary"), "/data")
     text = "".join(p.read_text() for p in (tmp_path / "summary").glob("*.json"))
     keys = list(json.loads(text))
