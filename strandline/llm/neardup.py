@@ -27,9 +27,11 @@ NATS = 12.5  # five standard deviations
 #: Buckets up to this size are compared pair by pair; members of larger ones join one family, which step 4 takes apart.
 BUCKET = 256
 #: A block of a family has about so many documents and shingles at most.
-BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 1_500_000
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 600_000
 #: Bits of the filter that spares texts outside families a second transfer; fixed, so its size has a bound (1 MB).
 FILTER_BITS = 1 << 23
+#: Pairs whose likelihoods are in memory at once.
+_PAIRS = 3000
 _SALT = np.uint64(0x51ED270B9F2D3A4C)
 
 
@@ -75,9 +77,9 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = np.arange(len(ids))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), K.REGISTERS)
         keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), 20_000):
-            x, y = a[i : i + 20_000], b[i : i + 20_000]
-            keep[i : i + 20_000] = K.plausible(sketch[x], sketch[y], n[x], n[y], NUMERATOR / DENOMINATOR, NATS)
+        for i in range(0, len(a), _PAIRS):
+            x, y = a[i : i + _PAIRS], b[i : i + _PAIRS]
+            keep[i : i + _PAIRS] = K.plausible(sketch[x], sketch[y], n[x], n[y], NUMERATOR / DENOMINATOR, NATS)
         root = small_components(len(ids), a[keep], b[keep])
         in_large = large[run]
         root[in_large] = starts[run][in_large]
@@ -149,14 +151,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links inside each (family, low block, high block); a spanning forest of them is passed on."""
     for t, run in sorted_runs(batches, ["family", "low", "high"]):
         ids, block, low = t.column("doc_id").to_numpy(), t.column("block").to_numpy(), t.column("low").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        stored = t.column("shingles")
         starts = np.flatnonzero(np.diff(run, prepend=-1))
         us, vs = [], []
         for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
             if e - s < 2:
                 continue
+            sets = [np.frombuffer(x, np.uint64) for x in stored.slice(s, e - s).to_pylist()]
             split = block[s:e] == low[s]
-            rows = [np.flatnonzero(split) + s, np.flatnonzero(~split) + s]
+            rows = [np.flatnonzero(split), np.flatnonzero(~split)]
             first = [sets[i] for i in rows[0]]
             if len(rows[1]):
                 if not first:
@@ -168,7 +171,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             na, nb = np.array([len(sets[i]) for i in ra]), np.array([len(sets[i]) for i in rb])
             union = na[:, None] + nb[None, :] - common
             x, y = np.nonzero(DENOMINATOR * common >= NUMERATOR * union)
-            x, y = ra[x] - s, rb[y] - s
+            x, y = ra[x], rb[y]
             root = small_components(e - s, x[x != y], y[x != y])
             some = np.flatnonzero(root != np.arange(e - s))
             us.append(ids[s:e][some])
@@ -206,7 +209,7 @@ def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    docs needs an integer doc_id, unique, and text; other columns are left alone. Null, empty and all-blank texts have no
+    docs needs an integer doc_id and text; other columns are left alone. Repeated rows are repeated. Null, empty and all-blank texts have no
     shingles and stay alone. A null doc_id is left out: it names no document.
     """
     named = docs.where(F.col("doc_id").isNotNull())

@@ -30,9 +30,9 @@ _WORDS = re.compile(f"{MARK}+[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers between batches; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Rows whose words are looked up together.
-AT_ONCE = 512
+AT_ONCE = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
