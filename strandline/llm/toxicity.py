@@ -99,8 +99,8 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return one.mapInArrow(_train, "feature bigint, weight double")
 
 
-def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
-    """All columns of docs and score. weights: the few that training left, with the bias under -1. Without any, scores are 0."""
+def score(docs: DataFrame, weights: list[tuple[int, float]], carry: list[str] | None = None) -> DataFrame:
+    """The columns of docs in ``carry`` (all, if None) and score. weights: the few that training left, with the bias under -1. Without any, scores are 0."""
     spark = docs.sparkSession
     table = np.zeros(1 << BITS, np.float32)
     bias = None
@@ -126,10 +126,10 @@ def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
                     out[row] = 1 / (1 + np.exp(-np.clip(float(w[f].sum()) + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
 
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("_text"))
-    schema = ", ".join(f"_{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", score double"
-    scored = carried.mapInArrow(run, schema)
-    return scored.toDF(*docs.columns, "score")
+    carry, kinds = docs.columns if carry is None else carry, dict(docs.dtypes)
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
+    schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + ["score double"])
+    return carried.mapInArrow(run, schema).toDF(*carry, "score")
 
 
 def learnable(doc_id: Column) -> Column:
@@ -145,5 +145,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     fold = docs.where(learnable(F.col("doc_id")))
     weights = [(r.feature, r.weight) for r in train(fold, labels.where(learnable(F.col("doc_id")))).collect()]
-    scored = score(docs.select("doc_id", "text").withColumn("held_out", ~learnable(F.col("doc_id"))).select("doc_id", "held_out", "text"), weights)
+    scored = score(docs.select("doc_id", "text").withColumn("held_out", ~learnable(F.col("doc_id"))).select("doc_id", "held_out", "text"), weights, carry=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
