@@ -16,10 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.batches import matrix, sorted_runs
+from strandline.llm.store import written
 
 TABLES, PROBES, ROUNDS = 16, 8, 3
 #: A bucket is split into blocks of about so many vectors; a query visits all blocks of a bucket, so nothing is left out.
 BLOCK_ROWS = 4096
+#: Rows of the table of bucket sizes up to which it is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def transform(x: np.ndarray) -> np.ndarray:
@@ -49,7 +52,7 @@ def axes(turned: np.ndarray, count: int) -> np.ndarray:
     n, d = turned.shape
     count = min(count, 2 * d)
     both = np.stack([turned, -turned], axis=2).reshape(n, 2 * d)
-    return np.argsort(-both, axis=1, kind="stable")[:, :count]
+    return both.argmax(axis=1)[:, None] if count == 1 else np.argsort(-both, axis=1, kind="stable")[:, :count]
 
 
 def usable(vectors: DataFrame, zero: bool = False) -> DataFrame:
@@ -135,7 +138,9 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """
     placed = usable(vectors).mapInArrow(_places(every), "tab bigint, bucket bigint, query boolean, vec_id bigint, v array<double>")
     sizes = placed.where("not query").groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    joined = placed.join(sizes, ["tab", "bucket"])  # at most TABLES times twice the (padded) length rows: Spark broadcasts them
+    # A row for each bucket: TABLES times twice the padded length, for each vector length that occurs. Counted before it is broadcast.
+    sizes = written(sizes, "ann-buckets")
+    joined = placed.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["tab", "bucket"])
     one = F.array(F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     block = F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(one))
     cells = joined.withColumn("block", block).select(F.xxhash64("tab", "bucket", "block").alias("cell"), "query", "vec_id", "v")
