@@ -24,6 +24,8 @@ EPOCHS, BATCH, RATE = 6, 128, 0.004
 STEPS, UPPER = 800, 0.15
 #: Windows that go through the network at once.
 _AT_ONCE = 128
+#: Rows of an Arrow batch whose texts are Python strings at once.
+_ROWS = 512
 UNKNOWN = "und"
 
 
@@ -186,19 +188,20 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], np
     return names, scores
 
 
-def label(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of docs, lang_pred and score. The network (some 10 KB) is broadcast."""
+def label(docs: DataFrame, net: Network | None, carry: list[str] | None = None) -> DataFrame:
+    """The columns of docs in ``carry`` (all, if None), lang_pred and score. The network (some 10 KB) is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
-        for batch in batches:
+        for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             names, scores = predict(own, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("_text"))
-    schema = ", ".join([f"_{i} {t}" for i, (_, t) in enumerate(docs.dtypes)] + ["lang_pred string", "score double"])
-    return carried.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "score")
+    carry, kinds = docs.columns if carry is None else carry, dict(docs.dtypes)
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
+    schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + ["lang_pred string", "score double"])
+    return carried.mapInArrow(run, schema).toDF(*carry, "lang_pred", "score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -209,4 +212,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     net = train(docs.where(learnable(F.col("doc_id"))).select("doc_id", "text", "lang"))
     ready = docs.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "text")
-    return label(ready, net).select("doc_id", "held_out", "lang_pred", "score")
+    return label(ready, net, carry=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
