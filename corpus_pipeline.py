@@ -39,8 +39,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with its target weights, in its order; it ends when a source has no block left."""
-    found = mixing.schedule(docs, ["doc_id"]).where("in_mix")
+    """Every document, in the order of the mix: it keeps its target weights until a source has no block left, later slots follow."""
+    found = mixing.schedule(docs, ["doc_id"])
     return found.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from strandline.llm import neardup
+from strandline.llm import mixing, neardup
 
 
 def test_stages(spark, sf):
@@ -37,3 +37,14 @@ def test_empty(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_keeps_every_row(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sources = ["hot"] * 900 + [f"s{i % 5}" for i in range(400)] + [None] * 3
+    given = spark.createDataFrame([(i, f"text {i}", "en", s, 6) for i, s in enumerate(sources)], docs.schema)
+    for df in (given, docs):
+        mixed = P.mix(spark, df, sf).collect()
+        assert sorted(mixed, key=str) == sorted(df.collect(), key=str)
+        order = [r.doc_id for r in mixing.schedule(df, ["doc_id"]).orderBy("position").collect()]
+        assert [r.doc_id for r in mixed] == order
