@@ -15,6 +15,8 @@ from strandline.llm.store import written
 
 #: A text whose best language is less sure than this is no text in a known language.
 SURE = 0.3
+#: Least Jaccard similarity, as a fraction, of near duplicates in the corpus; the query op1 has its own.
+SIMILAR = 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +34,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: tuple[int, int] = neardup.THRESHOLD) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id")
+    dropped = neardup.near_duplicates(docs, threshold).where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def deduplicate_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """deduplicate() from the corpus's similarity SIMILAR on."""
+    return deduplicate(spark, docs, sf_dir, SIMILAR)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the mix: it keeps its target weights until a source has no block left, later slots follow."""
     found = mixing.schedule(docs, ["doc_id"])
@@ -49,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(docs.select("doc_id", "lang", "source", "text"), sentencepiece.load(PIECES), carry=["doc_id", "lang", "source"])
 
 
-STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", deduplicate), ("mixing", mix), ("sentencepiece", tokens)]
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", deduplicate_corpus), ("mixing", mix), ("sentencepiece", tokens)]
 
 #: No SQL expresses a trained network; tests compare the stages with plain versions.
 ORACLE_SQL = None

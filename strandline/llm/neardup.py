@@ -3,7 +3,7 @@
 Stages: (1) sketch every text; (2) texts of equal sets become one class; (3) bands of registers deal the classes into
 buckets, and inside a bucket register comparison by joint likelihood joins those that may reach the threshold into
 families; (4) each family's full sets meet, in blocks, and exact intersections give the links; (5) components of the links.
-A pair at the threshold is missed only if none of 16 bands agrees (chance under 1e-5) or its registers are five standard
+A pair at the threshold is missed only if no band agrees (chance under 1e-5, see band_rows) or its registers are five standard
 deviations off; a family is a superset, so nothing is lost by joining too much.
 """
 
@@ -22,7 +22,10 @@ from strandline.llm.graph import components, small_components
 from strandline.llm.shingles import mix, shingles, text_words
 from strandline.llm.store import written
 
-NUMERATOR, DENOMINATOR = 85, 100
+#: Least similarity of a link as a fraction, unless another one is asked for.
+THRESHOLD = 85, 100
+#: Bound of the chance that a pair at the threshold shares no band.
+MISS = 1e-5
 NATS = 12.5  # five standard deviations
 #: Buckets up to this size are compared pair by pair; members of larger ones join one family, which step 4 takes apart.
 BUCKET = 256
@@ -66,37 +69,46 @@ def _pairs(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket, edges that join documents whose registers allow the threshold; at most one edge a row."""
-    for t, run in sorted_runs(batches, ["bucket"], BUCKET):
-        ids, n = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
-        counts = np.bincount(run)
-        starts = np.cumsum(counts) - counts
-        large = counts > BUCKET
-        a, b = _pairs(np.where(large, 0, counts), starts)
-        root = np.arange(len(ids))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), K.REGISTERS)
-        keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), _PAIRS):
-            x, y = a[i : i + _PAIRS], b[i : i + _PAIRS]
-            keep[i : i + _PAIRS] = K.plausible(sketch[x], sketch[y], n[x], n[y], NUMERATOR / DENOMINATOR, NATS)
-        root = small_components(len(ids), a[keep], b[keep])
-        in_large = large[run]
-        root[in_large] = starts[run][in_large]
-        rows = np.flatnonzero(root != np.arange(len(ids)))
-        u, v = ids[rows], ids[root[rows]]
-        yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
-
-
-def families(classes: DataFrame) -> DataFrame:
+def band_rows(threshold: float) -> int:
+    """Registers of a band: as many as keep the chance that a pair at the threshold shares no band under MISS."""
+    return max((r for r in range(1, K.ROWS + 1) if (1 - threshold**r) ** (K.REGISTERS // r) < MISS), default=1)
+
+
+def _families(threshold: float):
+    def run_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per bucket, edges that join documents whose registers allow the threshold; at most one edge a row."""
+        for t, run in sorted_runs(batches, ["bucket"], BUCKET):
+            ids, n = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
+            counts = np.bincount(run)
+            starts = np.cumsum(counts) - counts
+            large = counts > BUCKET
+            a, b = _pairs(np.where(large, 0, counts), starts)
+            root = np.arange(len(ids))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), K.REGISTERS)
+            keep = np.zeros(len(a), bool)
+            for i in range(0, len(a), _PAIRS):
+                x, y = a[i : i + _PAIRS], b[i : i + _PAIRS]
+                keep[i : i + _PAIRS] = K.plausible(sketch[x], sketch[y], n[x], n[y], threshold, NATS)
+            root = small_components(len(ids), a[keep], b[keep])
+            in_large = large[run]
+            root[in_large] = starts[run][in_large]
+            rows = np.flatnonzero(root != np.arange(len(ids)))
+            u, v = ids[rows], ids[root[rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
+
+    return run_families
+
+
+def families(classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate edges (u, v) between classes that share a band of registers."""
-    width = K.ROWS * 2
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(K.BANDS)])
+    rows = band_rows(threshold)
+    width = rows * 2
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(K.REGISTERS // rows)])
     keyed = classes.select("doc_id", F.explode(bands).alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     met = keyed.join(shared, "bucket").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     dealt = met.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    return dealt.mapInArrow(_families, "u bigint, v bigint")
+    return dealt.mapInArrow(_families(threshold), "u bigint, v bigint")
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -147,40 +159,43 @@ def _meets(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact links inside each (family, low block, high block); a spanning forest of them is passed on."""
-    for t, run in sorted_runs(batches, ["family", "low", "high"]):
-        ids, block, low = t.column("doc_id").to_numpy(), t.column("block").to_numpy(), t.column("low").to_numpy()
-        stored = t.column("shingles")
-        starts = np.flatnonzero(np.diff(run, prepend=-1))
-        us, vs = [], []
-        for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
-            if e - s < 2:
-                continue
-            sets = [np.frombuffer(x, np.uint64) for x in stored.slice(s, e - s).to_pylist()]
-            split = block[s:e] == low[s]
-            rows = [np.flatnonzero(split), np.flatnonzero(~split)]
-            first = [sets[i] for i in rows[0]]
-            if len(rows[1]):
-                if not first:
+def _links(numerator: int, denominator: int):
+    def run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact links inside each (family, low block, high block); a spanning forest of them is passed on."""
+        for t, run in sorted_runs(batches, ["family", "low", "high"]):
+            ids, block, low = t.column("doc_id").to_numpy(), t.column("block").to_numpy(), t.column("low").to_numpy()
+            stored = t.column("shingles")
+            starts = np.flatnonzero(np.diff(run, prepend=-1))
+            us, vs = [], []
+            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if e - s < 2:
                     continue
-                second = [sets[i] for i in rows[1]]
-                common, ra, rb = _meets(first, second), rows[0], rows[1]
-            else:
-                common, ra, rb = _meets(first, first), rows[0], rows[0]
-            na, nb = np.array([len(sets[i]) for i in ra]), np.array([len(sets[i]) for i in rb])
-            union = na[:, None] + nb[None, :] - common
-            x, y = np.nonzero(DENOMINATOR * common >= NUMERATOR * union)
-            x, y = ra[x], rb[y]
-            root = small_components(e - s, x[x != y], y[x != y])
-            some = np.flatnonzero(root != np.arange(e - s))
-            us.append(ids[s:e][some])
-            vs.append(ids[s:e][root[some]])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-
-def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+                sets = [np.frombuffer(x, np.uint64) for x in stored.slice(s, e - s).to_pylist()]
+                split = block[s:e] == low[s]
+                rows = [np.flatnonzero(split), np.flatnonzero(~split)]
+                first = [sets[i] for i in rows[0]]
+                if len(rows[1]):
+                    if not first:
+                        continue
+                    second = [sets[i] for i in rows[1]]
+                    common, ra, rb = _meets(first, second), rows[0], rows[1]
+                else:
+                    common, ra, rb = _meets(first, first), rows[0], rows[0]
+                na, nb = np.array([len(sets[i]) for i in ra]), np.array([len(sets[i]) for i in rb])
+                union = na[:, None] + nb[None, :] - common
+                x, y = np.nonzero(denominator * common >= numerator * union)
+                x, y = ra[x], rb[y]
+                root = small_components(e - s, x[x != y], y[x != y])
+                some = np.flatnonzero(root != np.arange(e - s))
+                us.append(ids[s:e][some])
+                vs.append(ids[s:e][root[some]])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return run_links
+
+
+def verified_links(docs: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Exact links (a spanning forest of each block pair) inside families; members: doc_id, family, n_shingles."""
     sizes = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_DOCUMENTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
@@ -203,11 +218,11 @@ def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("other", other).select("doc_id", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     met = cells.join(sets, "doc_id")
-    return met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "doc_id").mapInArrow(_links, "u bigint, v bigint")
+    return met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "doc_id").mapInArrow(_links(*threshold), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Texts of at least the threshold's similarity are linked.
 
     docs needs an integer doc_id and text; other columns are left alone. Repeated rows are repeated. Null, empty and all-blank texts have no
     shingles and stay alone. A null doc_id is left out: it names no document.
@@ -216,9 +231,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(signatures(named), "signatures")
     key = ["n_shingles", "set_low", "set_high"]
     classes = written(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
-    family = components(families(classes)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    family = components(families(classes, threshold[0] / threshold[1])).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     members = written(family.join(classes.select("doc_id", "n_shingles"), "doc_id"), "members")
-    linked = components(verified_links(named, members)).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
+    linked = components(verified_links(named, members, threshold)).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
     found = classes.select(*key, F.col("doc_id").alias("class_id")).join(linked, "class_id", "left")
     found = found.select(*key, F.coalesce("joined", "class_id").alias("component_id"))
     out = signed.drop("sketch").join(found, key, "left")

@@ -136,3 +136,45 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()))
     want = {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100, 300: 70, 70: 70}
     assert got == want
+
+
+def near_pairs():
+    """Texts and edited copies, some from 0.80 to 0.85 and some below, and a pair of 0.80 itself."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(60):
+        base = [f"p{i}w{j}" for j in range(200)]
+        texts.append((i, 1.0, " ".join(base)))
+        for n in (4, 5):  # an edit in the middle costs five shingles of 196
+            copy = list(base)
+            for at in rng.sample(range(10, 190, 10), n):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            texts.append((i, n, " ".join(copy)))
+    base = [f"q{j}" for j in range(13)]
+    texts.append((60, 1.0, " ".join(base)))
+    texts.append((60, 0.8, " ".join(base[:12] + ["last"])))
+    return [Row(doc_id=i, text=t, n_shingles=0, component_id="") for i, (_, _, t) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("threshold", [(80, 100), (85, 100)])
+def test_threshold(spark, threshold):
+    rows = near_pairs()
+    sets = [shingle_set(r.text) for r in rows]
+    want = set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if threshold[1] * len(sets[a] & sets[b]) >= threshold[0] * len(sets[a] | sets[b]):
+                want.add((a, b))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), threshold).collect()}
+    root = {i: i for i in got}
+    for a, b in sorted(want):
+        root[b] = min(root[b], root[a])
+    assert got == root
+    assert bool(want) == (threshold == (80, 100))
+
+
+def test_bands_keep_pairs_at_the_threshold():
+    for t in (0.8, 0.85, 0.9):
+        r = neardup.band_rows(t)
+        assert (1 - t**r) ** (K.REGISTERS // r) < 1e-5
+    assert neardup.band_rows(0.85) == K.ROWS

@@ -48,3 +48,17 @@ def test_mix_keeps_every_row(spark, sf):
         assert sorted(mixed, key=str) == sorted(df.collect(), key=str)
         order = [r.doc_id for r in mixing.schedule(df, ["doc_id"]).orderBy("position").collect()]
         assert [r.doc_id for r in mixed] == order
+
+
+def test_stage_links_from_080(spark, sf):
+    words = [f"w{i}" for i in range(200)]
+    edited = list(words)
+    for at in (20, 60, 100, 140):  # twenty of 196 shingles differ: 176 of 216 in common
+        edited[at] = f"e{at}"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1), (2, " ".join(edited), "en", "a", 1)], schema)
+    assert neardup.near_duplicates(docs).where("kept").count() == 2
+    stage = dict(P.STAGES)["near_duplicates"]
+    assert [r.doc_id for r in stage(spark, docs, sf).collect()] == [1]
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r.doc_id for r in stage(spark, given, sf).collect()} == {r.doc_id for r in neardup.near_duplicates(given, (80, 100)).where("kept").collect()}
