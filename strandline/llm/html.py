@@ -131,7 +131,7 @@ def _marks(attributes: str) -> bool:
         return False
     for m in _MARKED.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        if len(value) < 200 and _hint(value):
+        if (_hint if len(value) < 200 else _hint.__wrapped__)(value):  # long values are rare and stay out of the cache
             return True
     return bool(_HIDDEN.search(attributes))
 

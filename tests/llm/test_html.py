@@ -31,6 +31,14 @@ def test_known(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("mark", ["class", "id", "role"])
+def test_long_marks(mark):
+    for at in range(150, 5000, 97):
+        long = " ".join(f"u-{i}" for i in range(at // 4))
+        for value in (long + " comments", "comments " + long):
+            assert main_text(f"<div><p>{LONG}</p><p>{MORE}</p></div><div {mark}='{value}'><p>{LONG}</p></div>") == f"{LONG}\n\n{MORE}"
+
+
 def test_tree_fits_its_table():
     x, y = labelled()
     assert (classify(trained(), x) == y).all()
