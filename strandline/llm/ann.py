@@ -2,7 +2,7 @@
 
 A table's hash turns a unit vector by three rounds of random signs and a fast Hadamard transform and takes the nearest signed
 axis. Every vector stands in one bucket of each table; a query visits the buckets of its PROBES nearest axes of each table.
-What it meets is scored exactly. Measured recall of the five nearest: 0.98 at 500 rows to 0.996 at 51,282 (see the README).
+What it meets is scored exactly; a query that meets fewer than k others is compared with all vectors of its length. Measured recall of the five nearest: 0.98 at 500 rows to 0.996 at 51,282 (see the README).
 """
 
 from __future__ import annotations
@@ -130,13 +130,27 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def searched(vectors: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block of all vectors for each row of asks; both have vec_id and v."""
+    sizes = written(vectors.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "ann-lengths")
+    placed = vectors.withColumn("query", F.lit(False)).unionByName(asks.withColumn("query", F.lit(True))).withColumn("d", F.size("v"))
+    joined = placed.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "d")
+    one = F.array(F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    block = F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(one))
+    cells = joined.withColumn("block", block).select(F.xxhash64("d", "block").alias("cell"), "query", "vec_id", "v")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
+
+
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose vec_id is divisible by ``every``.
 
+    A query with fewer than k found in its buckets gets its exact nearest, so fewer rows mean that there are no others.
+
     vectors: vec_id and embedding; other columns are left alone. A query meets all rows but those of its own vec_id. Vectors of
     different lengths never meet. Equal vectors are candidates like any other; of equal scores the smaller vec_id stands first.
     """
-    placed = usable(vectors).mapInArrow(_places(every), "tab bigint, bucket bigint, query boolean, vec_id bigint, v array<double>")
+    fine = usable(vectors)
+    placed = fine.mapInArrow(_places(every), "tab bigint, bucket bigint, query boolean, vec_id bigint, v array<double>")
     sizes = placed.where("not query").groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     # A row for each bucket: TABLES times twice the padded length, for each vector length that occurs. Counted before it is broadcast.
     sizes = written(sizes, "ann-buckets")
@@ -145,4 +159,10 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     block = F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(one))
     cells = joined.withColumn("block", block).select(F.xxhash64("tab", "bucket", "block").alias("cell"), "query", "vec_id", "v")
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
-    return top(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    best = written(top(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k), "ann-found")
+    full = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = written(fine.where(F.col("vec_id") % every == 0).join(full, "vec_id", "left_anti"), "ann-short")
+    if not short.limit(1).count():
+        return best
+    both = best.select("query_id", "vec_id", "score").unionByName(searched(fine, short, k))
+    return top(both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

@@ -73,6 +73,24 @@ def test_recall(spark, sf, odd):
         assert all(abs(exact[q, i] - s) < 1e-12 for q in got for s, i in got[q] if (q, i) in exact)
 
 
+def test_few_candidates(spark):
+    """Tables of a few rows, and queries that point away from a tight cluster, get all their neighbours."""
+    rng = np.random.default_rng(11)
+    few = [(i * 50, rng.normal(size=64)) for i in range(12)] + [(5000 + i, np.eye(64)[i]) for i in range(4)]
+    few += [(7000 + i * 50, rng.normal(size=16)) for i in range(4)]  # another length with three others at most
+    centre = rng.normal(size=32)
+    hot = [(i * 50 + 1, centre + 0.01 * rng.normal(size=32)) for i in range(3000)] + [(10**6 + i * 50, -centre + 0.01 * rng.normal(size=32)) for i in range(3)]
+    for rows in (few, hot):
+        df = spark.createDataFrame([Row(vec_id=int(i), embedding=v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>")
+        want = brute_cosines(df, 50, 5)
+        got = {}
+        for r in ann.neighbours(df, 50, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+        if rows is hot:
+            assert got == {q: [i for _, i in v] for q, v in want.items()}
+
+
 def test_ties(odd):
     r = [x.vec_id for x in ann.neighbours(odd, 500, 5).where("query_id = 500").orderBy("rank").collect()]
     assert r == [7, 400, 401, 402, 403]
