@@ -81,7 +81,7 @@ def _families(threshold: float):
             ids, n = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
             counts = np.bincount(run)
             starts = np.cumsum(counts) - counts
-            large = counts > BUCKET
+            large = t.column("large").to_numpy()[starts]  # of the whole bucket, of which this run may be a part
             a, b = _pairs(np.where(large, 0, counts), starts)
             root = np.arange(len(ids))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), K.REGISTERS)
@@ -105,7 +105,7 @@ def families(classes: DataFrame, threshold: float) -> DataFrame:
     width = rows * 2
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(K.REGISTERS // rows)])
     keyed = classes.select("doc_id", F.explode(bands).alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", (F.col("c") > BUCKET).alias("large"))
     met = keyed.join(shared, "bucket").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     dealt = met.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
     return dealt.mapInArrow(_families(threshold), "u bigint, v bigint")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -178,3 +179,17 @@ def test_bands_keep_pairs_at_the_threshold():
         r = neardup.band_rows(t)
         assert (1 - t**r) ** (K.REGISTERS // r) < 1e-5
     assert neardup.band_rows(0.85) == K.ROWS
+
+
+def test_late_parts_of_a_large_bucket(monkeypatch):
+    """The last rows of a bucket that spans batches join its family, although their registers differ from all others'."""
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    rng = np.random.default_rng(0)
+
+    def batch(ids):
+        sketches = [K.registers(rng.integers(0, 2**63, 50).astype(np.uint64)).tobytes() for _ in ids]
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([5] * n), pa.array(ids), pa.array([50] * n), pa.array(sketches, pa.binary()), pa.array([True] * n)], ["bucket", "doc_id", "n_shingles", "sketch", "large"])
+
+    out = list(neardup._families(0.85)(iter([batch(list(range(12))), batch([12, 13, 14])])))
+    assert {(u, v) for b in out for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)} == {(i, 0) for i in range(1, 15)}
