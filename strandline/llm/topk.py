@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm buckets: long vectors first, short ones pruned by length or by coordinates.
 
 A query's threshold comes from the longest vectors of all. A vector is sent to a query block only if its length allows it to
-reach some threshold there. In a bucket of vectors of similar length, a query's local cosine threshold decides: a high one
+reach some threshold there, and a query to a bucket only if some vector there is long enough. In a bucket of vectors of similar length, a query's local cosine threshold decides: a high one
 prunes by its largest coordinates, whose values a vector must then have within a narrow range; a low one prunes by length.
 What remains is verified by integer products.
 """
@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.ann import top, usable
 from strandline.llm.batches import matrix, sorted_runs
+from strandline.llm.store import written
 
 SCALE = 1024
 #: The longest vectors, from which thresholds are taken: a bounded table.
@@ -24,6 +25,8 @@ SEED_ROWS = 2048
 #: Queries of a block and vectors of a block of a bucket, about.
 QUERY_ROWS, BLOCK_ROWS = 1024, 4096
 BUCKETS = 64
+#: Groups of queries by the length they need; larger groups are split further by a hash.
+BANDS = 64
 #: Largest coordinates of a query that are tested, and the local cosine threshold from which they are.
 FOCUS, SHARP = 4, 0.6
 _SLACK = 1e-9
@@ -124,32 +127,46 @@ def integers(vectors: DataFrame) -> DataFrame:
     return whole.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
 
-def top_products(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest integer inner products of every vector whose vec_id is divisible by ``every``.
+def cells(vectors: DataFrame, every: int, k: int) -> DataFrame:
+    """(cell, query, vec_id, v, threshold): what meets in each cell, after pruning by length on both sides.
 
-    vectors: vec_id and embedding; other columns are left alone. A query meets all rows but those of its own vec_id; vectors of
-    different lengths never meet. Zero vectors take part. Equal rows count once for each vec_id. Ties go to the smaller vec_id.
+    Queries are grouped by the length that a vector needs to reach their thresholds, so a group of demanding queries is sent the
+    long vectors only; and a query is sent only to buckets that hold a vector of the length it needs.
     """
     spark = vectors.sparkSession
     whole = integers(vectors)
     seeds = whole.orderBy(F.col("length").desc(), "vec_id").limit(SEED_ROWS).select("vec_id", "v").collect()  # a bounded number of rows
     sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in seeds], np.int64), np.array([len(r["v"]) for r in seeds]), [np.array(r["v"]) for r in seeds]))
-    queries = whole.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("d")).mapInArrow(_needs(every, k, sent), "vec_id bigint, v array<double>, d int, threshold double, need double")
-    stats = whole.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.percentile_approx("length", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts")).first()
-    groups = max(1, -(-int(stats["q"]) // QUERY_ROWS))
-    cuts = sorted(set(stats["cuts"] or []))
-    queries = queries.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)))
+    asking = whole.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("d"))
+    queries = written(asking.mapInArrow(_needs(every, k, sent), "vec_id bigint, v array<double>, d int, threshold double, need double"), "topk-queries")
+    cut = lambda c, n: F.percentile_approx(c, [i / n for i in range(1, n)] or [0.5], 1000)
+    groups = max(1, -(-queries.count() // QUERY_ROWS))
+    bands = min(BANDS, groups)
+    queries = queries.withColumn("band", _place("need", queries.agg(cut("need", bands)).first()[0] if bands > 1 else []))
+    queries = queries.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(-(-groups // bands))) * BANDS + F.col("band"))
     # Least length that some query of a group (and vector size) needs: a number for each group, never a row for each query.
-    needs = queries.groupBy("d", "group").agg(F.min("need").alias("least"))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col("length") > c).cast("int")
-    dealt = whole.withColumns({"d": F.size("v"), "bucket": bucket})
-    counts = dealt.groupBy("d", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    needs = written(queries.groupBy("d", "group").agg(F.min("need").alias("least")), "topk-needs")
+    dealt = whole.withColumns({"d": F.size("v"), "bucket": _place("length", whole.agg(cut("length", BUCKETS)).first()[0] or [])})
+    counts = written(dealt.groupBy("d", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.max("length").alias("longest")), "topk-buckets")
     rows = dealt.join(counts, ["d", "bucket"]).join(needs, "d").where(F.col("length") >= F.col("least"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
     left = rows.select(F.xxhash64("d", "group", "bucket", block.alias("b")).alias("cell"), F.lit(False).alias("query"), "vec_id", "v", F.lit(0.0).alias("threshold"))
-    asked = queries.join(counts, "d").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = asked.select(F.xxhash64("d", "group", "bucket", "b").alias("cell"), F.lit(True).alias("query"), "vec_id", "v", "threshold")
-    found = left.unionByName(right).repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    asked = queries.join(counts, "d").where(F.col("longest") >= F.col("need")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return left.unionByName(asked.select(F.xxhash64("d", "group", "bucket", "b").alias("cell"), F.lit(True).alias("query"), "vec_id", "v", "threshold"))
+
+
+def _place(column: str, cuts: list[float]) -> Column:
+    """The number of cuts below a value; there are at most BUCKETS of them."""
+    return sum(((F.col(column) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+
+
+def top_products(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest integer inner products of every vector whose vec_id is divisible by ``every``.
+
+    vectors: vec_id and embedding; other columns are left alone. A query meets all rows but those of its own vec_id; vectors of
+    different lengths never meet. Null and empty vectors and those with null or non-finite components take no part, zero vectors
+    do. Equal rows count once for each vec_id. Ties go to the smaller vec_id. An empty table gives an empty result.
+    """
+    met = cells(vectors, every, k)
+    found = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     return top(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from strandline.llm import ann, topk
 
@@ -53,11 +54,28 @@ def test_products(spark, sf, odd, every, k):
         assert sorted(map(tuple, topk.top_products(df, every, k).collect())) == brute_products(df, every, k)
 
 
-def test_products_are_pruned_right(spark):
+def test_products_are_pruned_right(spark, monkeypatch):
+    """On vectors of varied length most pairs are pruned before they are exchanged."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
     rng = np.random.default_rng(1)
     rows = [Row(vec_id=i, embedding=(rng.normal(size=8) * np.exp(rng.normal())).tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert sorted(map(tuple, topk.top_products(df, 50, 10).collect())) == brute_products(df, 50, 10)
+    sides = topk.cells(df, 50, 10).groupBy("cell").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("v"))
+    met = sides.agg(F.sum(F.col("q") * F.col("v"))).first()[0]
+    assert met < 0.25 * 60 * 3000
+
+
+def test_coordinates_prune():
+    """A high local threshold prunes by coordinates: nothing that reaches it goes, most of the rest does."""
+    rng = np.random.default_rng(6)
+    v = np.round(1024 * rng.normal(size=(4000, 16)))
+    q = np.round(1024 * rng.normal(size=16))
+    v[:40] = np.round(q + 200 * rng.normal(size=(40, 16)))
+    lengths = np.sqrt((v * v).sum(axis=1))
+    limit = float(np.sort(v @ q)[-20])
+    kept = topk.prune(q, limit, v, lengths)
+    assert set(np.flatnonzero(v @ q >= limit)) <= set(kept) and len(kept) < 0.2 * len(v)
 
 
 def test_recall(spark, sf, odd):
@@ -73,6 +91,50 @@ def test_recall(spark, sf, odd):
         assert all(abs(exact[q, i] - s) < 1e-12 for q in got for s, i in got[q] if (q, i) in exact)
 
 
+def test_share_of_vectors_falls(spark, sf):
+    """A query is scored against a share of the vectors that falls with their number, equal vectors being scored once."""
+    shares = []
+    for name in ("0.001", "0.1"):
+        df = ann.usable(spark.read.parquet(sf.replace("0.001", name) + "/embeddings.parquet")).withColumn("asks", F.col("vec_id") % 50 == 0)
+        n, q = df.count(), df.where("asks").count()
+        shares.append(ann.candidates(df).distinct().count() / (n * q))
+    assert shares[1] <= 0.2 and shares[1] < 0.75 * shares[0]
+
+
+def test_large_buckets_and_copies(spark, monkeypatch):
+    """Buckets in blocks, several groups of queries, and a third of the rows being one vector, give the exact neighbours found."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=8) for _ in range(600)]
+    rows = [Row(vec_id=i, embedding=(x[3] if i % 3 == 0 else x[i]).tolist()) for i in range(600)]
+    rows += rows[:50] + [Row(vec_id=599, embedding=[9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = brute_cosines(spark.createDataFrame(rows[:600], df.schema), 50, 5)
+    got = {}
+    for r in ann.neighbours(df, 50, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sum(len(set(got[q]) & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert got[0] == [3, 6, 9, 12, 15] and got[150] == [0, 3, 6, 9, 12]
+
+
+def test_transform():
+    for d in (1, 2, 8, 32, 64):
+        h = np.ones((1, 1))
+        while len(h) < d:
+            h = np.kron(h, np.array([[1, 1], [1, -1]]))
+        x = np.random.default_rng(d).normal(size=(5, d))
+        assert np.allclose(ann.transform(x.astype(np.float32)), x @ h / np.sqrt(d), atol=1e-5)
+
+
+def test_visits_are_the_best_sums():
+    rng = np.random.default_rng(4)
+    c = [rng.normal(size=(3, n)).astype(np.float32) for n in (8, 8, 4)]
+    sums = (c[0][:, :, None, None] + c[1][:, None, :, None] + c[2][:, None, None, :]).reshape(3, -1)
+    for got, s in zip(ann.visits(c, 20), sums, strict=True):
+        assert set(got) == set(np.argsort(-s)[:20])
+
+
 def test_few_candidates(spark):
     """Tables of a few rows, and queries that point away from a tight cluster, get all their neighbours."""
     rng = np.random.default_rng(11)
