@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, one machine) a temporary folder."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder under a local master, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -20,6 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back. A lost executor costs only the tasks it had."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/strandline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() that no later step reads."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/strandline-{df.sparkSession.sparkContext.applicationId}/" in folder:
+            _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written with written(). For the end, when all results are stored: lazy results read these tables."""
+    _delete(spark, f"{shared_folder(spark)}/strandline-{spark.sparkContext.applicationId}")
