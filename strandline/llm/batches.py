@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole runs of equal keys of sorted batches, with the run's number of each row.
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys of sorted batches, with the run's number of each row."""
+    kept: list[pa.RecordBatch] = []  # parts of the last run, put together once it ends
 
-    With ``most``, a run longer than that is passed on in parts, each beginning with the run's first row.
-    """
-    kept: pa.Table | None = None
+    def ends(batch: pa.RecordBatch) -> tuple:
+        return tuple(batch.column(k)[-1].as_py() for k in keys)
 
     def numbered(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -23,20 +23,20 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int |
         return np.cumsum(new)
 
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([kept, t]) if kept is not None else t
-        if not t.num_rows:
+        if not batch.num_rows:
             continue
+        if kept and ends(kept[0]) == ends(batch) == tuple(batch.column(k)[0].as_py() for k in keys):
+            kept.append(batch)
+            continue
+        t = pa.Table.from_batches([*kept, batch])
         run = numbered(t)
         last = int(np.searchsorted(run, run[-1]))
         if last:
             yield t.slice(0, last), run[:last]
-        kept = t.slice(last).combine_chunks()
-        if most is not None and kept.num_rows > most:
-            yield kept, np.zeros(kept.num_rows, int)
-            kept = kept.slice(0, 1)
-    if kept is not None and kept.num_rows:
-        yield kept, np.zeros(kept.num_rows, int)
+        kept = t.slice(last).combine_chunks().to_batches()
+    if kept:
+        t = pa.Table.from_batches(kept)
+        yield t, numbered(t)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

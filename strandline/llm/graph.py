@@ -6,32 +6,35 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.store import written
+from strandline.llm.hot import spread_join
+from strandline.llm.store import discard, written
 
 MAX_ROUNDS = 60
 
 
-def _lead(edges: DataFrame) -> DataFrame:
-    """Adds the least neighbour m of u (itself included). The minimum is combined before the shuffle; Spark can split the join's hot keys."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+def _lead(edges: DataFrame, total: int) -> DataFrame:
+    """Adds the least neighbour m of u (itself included). The minimum is combined before the shuffle, and hubs are split in the join."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    return spread_join(edges, least, ["u"], "c", total).drop("c")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge, component being the least node reachable.
 
     edges: (u, v) of any comparable type; order, repetition and loops do not matter. Each round is written to the shared
-    folder, so lineage stays short and nothing is collected but two numbers a round.
+    folder and the one before deleted, so lineage stays short and nothing is collected but three numbers a round.
     """
     both = edges.where("u <> v").select("u", "v")
-    now, before = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
+    now = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _state(now)
     for _ in range(MAX_ROUNDS):
         two_way = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lead(two_way).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        led = _lead(large)  # every row has v < u here
+        large = _lead(two_way, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        led = _lead(large, 2 * before[0])  # every row has v < u here
         small = led.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(led.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 998244353)).first()
+        last, now = now, written(small, "edges")
+        discard(last)
+        state = _state(now)
         if state == before:
             break
         before = state
@@ -40,6 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 998244353)).first())
+
+
 def small_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least reachable index of each of n nodes, for a graph that is in memory."""
     label = np.arange(n)

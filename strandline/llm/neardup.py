@@ -1,8 +1,9 @@
 """Near-duplicate documents by SetSketch bands, likelihood and verification on full shingle sets.
 
-Stages: (1) sketch every text; (2) texts of equal sets become one class; (3) bands of registers deal the classes into
-buckets, and inside a bucket register comparison by joint likelihood joins those that may reach the threshold into
-families; (4) each family's full sets meet, in blocks, and exact intersections give the links; (5) components of the links.
+Stages: (1) sketch every text; (2) texts of one word sequence (by SHA-256) become one class; (3) bands of registers deal the
+classes into buckets, and inside a bucket register comparison by joint likelihood joins those that may reach the threshold into
+families; (4) each family's texts meet, in blocks, and exact intersections of full shingle sets give the links; the sets are
+compared by hash only after the texts showed that equal hashes are equal shingles; (5) components of the links.
 A pair at the threshold is missed only if no band agrees (chance under 1e-5, see band_rows) or its registers are five standard
 deviations off; a family is a superset, so nothing is lost by joining too much.
 """
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from strandline.llm import setsketch as K
 from strandline.llm.batches import sorted_runs
 from strandline.llm.graph import components, small_components
-from strandline.llm.shingles import mix, shingles, text_words
+from strandline.llm.hot import spread_join
+from strandline.llm.shingles import Words, exact_shingles, faithful, sequence, shingles, text_words
 from strandline.llm.store import written
 
 #: Least similarity of a link as a fraction, unless another one is asked for.
@@ -27,7 +29,7 @@ THRESHOLD = 85, 100
 #: Bound of the chance that a pair at the threshold shares no band.
 MISS = 1e-5
 NATS = 12.5  # five standard deviations
-#: Buckets up to this size are compared pair by pair; members of larger ones join one family, which step 4 takes apart.
+#: Buckets up to this size are compared pair by pair; members of larger ones join one family, which verification takes apart.
 BUCKET = 256
 #: A block of a family has about so many documents and shingles at most.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 600_000
@@ -35,25 +37,23 @@ BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 600_000
 FILTER_BITS = 1 << 23
 #: Pairs whose likelihoods are in memory at once.
 _PAIRS = 3000
-_SALT = np.uint64(0x51ED270B9F2D3A4C)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, low, high, sketches = batch.column("doc_id"), [], [], [], []
+        ids, sizes, whole, sketches = batch.column("doc_id"), [], [], []
         for _, words in text_words(batch.column("text")):
             s = shingles(words)
             sizes.append(len(s))
-            low.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-            high.append(int(mix(s ^ _SALT).sum(dtype=np.uint64).astype(np.int64)))
+            whole.append(sequence(words))
             sketches.append(K.registers(s).tobytes())
-        arrays = [ids, pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_low", "set_high", "sketch"])
+        arrays = [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "words", "sketch"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and its registers."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, set_low bigint, set_high bigint, sketch binary")
+    """doc_id, n_shingles, a digest of the word sequence, and the registers."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, words binary, sketch binary")
 
 
 def _pairs(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,21 +77,16 @@ def band_rows(threshold: float) -> int:
 def _families(threshold: float):
     def run_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per bucket, edges that join documents whose registers allow the threshold; at most one edge a row."""
-        for t, run in sorted_runs(batches, ["bucket"], BUCKET):
+        for t, run in sorted_runs(batches, ["bucket"]):
             ids, n = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
             counts = np.bincount(run)
-            starts = np.cumsum(counts) - counts
-            large = t.column("large").to_numpy()[starts]  # of the whole bucket, of which this run may be a part
-            a, b = _pairs(np.where(large, 0, counts), starts)
-            root = np.arange(len(ids))
+            a, b = _pairs(counts, np.cumsum(counts) - counts)
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), K.REGISTERS)
             keep = np.zeros(len(a), bool)
             for i in range(0, len(a), _PAIRS):
                 x, y = a[i : i + _PAIRS], b[i : i + _PAIRS]
                 keep[i : i + _PAIRS] = K.plausible(sketch[x], sketch[y], n[x], n[y], threshold, NATS)
             root = small_components(len(ids), a[keep], b[keep])
-            in_large = large[run]
-            root[in_large] = starts[run][in_large]
             rows = np.flatnonzero(root != np.arange(len(ids)))
             u, v = ids[rows], ids[root[rows]]
             yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
@@ -100,15 +95,21 @@ def _families(threshold: float):
 
 
 def families(classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate edges (u, v) between classes that share a band of registers."""
+    """Candidate edges (u, v) between classes that share a band of registers.
+
+    Buckets of up to BUCKET classes are compared pair by pair. All members of a larger one are joined to its first, by a join
+    that splits it into many tasks; verification takes such families apart.
+    """
     rows = band_rows(threshold)
-    width = rows * 2
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(K.REGISTERS // rows)])
-    keyed = classes.select("doc_id", F.explode(bands).alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", (F.col("c") > BUCKET).alias("large"))
-    met = keyed.join(shared, "bucket").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    dealt = met.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    return dealt.mapInArrow(_families(threshold), "u bigint, v bigint")
+    width, bands = rows * 2, K.REGISTERS // rows
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(bands)])
+    keyed = classes.select("doc_id", F.explode(keys).alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1")
+    met = spread_join(keyed, shared, ["bucket"], "c", classes.count() * bands)
+    large = met.where(F.col("c") > BUCKET).select(F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v")
+    small = met.where(F.col("c") <= BUCKET).select("bucket", "doc_id").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    dealt = small.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    return large.unionByName(dealt.mapInArrow(_families(threshold), "u bigint, v bigint"))
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -122,12 +123,6 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(words).tobytes() for _, words in text_words(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc_id", "shingles"])
-
-
 def _meets(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of sets of a with sets of b. Only values in both sides count, some columns at a time."""
     same = a is b
@@ -159,32 +154,38 @@ def _meets(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _common(first: list[Words], second: list[Words] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of all intersections of the sets of first with those of second (or of first), and the sizes of both sides' sets."""
+    if faithful(first + (second or [])):
+        a = [shingles(w) for w in first]
+        b = a if second is None else [shingles(w) for w in second]
+        return _meets(a, b), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    # Some hash stands for two texts: this block is done by the texts alone.
+    c = [exact_shingles(w) for w in first]
+    d = c if second is None else [exact_shingles(w) for w in second]
+    return np.array([[len(x & y) for y in d] for x in c]).reshape(len(c), len(d)), np.array([len(x) for x in c]), np.array([len(x) for x in d])
+
+
 def _links(numerator: int, denominator: int):
     def run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact links inside each (family, low block, high block); a spanning forest of them is passed on."""
         for t, run in sorted_runs(batches, ["family", "low", "high"]):
             ids, block, low = t.column("doc_id").to_numpy(), t.column("block").to_numpy(), t.column("low").to_numpy()
-            stored = t.column("shingles")
+            texts = t.column("text")
             starts = np.flatnonzero(np.diff(run, prepend=-1))
             us, vs = [], []
             for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if e - s < 2:
                     continue
-                sets = [np.frombuffer(x, np.uint64) for x in stored.slice(s, e - s).to_pylist()]
+                words = [w for _, w in text_words(texts.slice(s, e - s).combine_chunks())]
                 split = block[s:e] == low[s]
-                rows = [np.flatnonzero(split), np.flatnonzero(~split)]
-                first = [sets[i] for i in rows[0]]
-                if len(rows[1]):
-                    if not first:
-                        continue
-                    second = [sets[i] for i in rows[1]]
-                    common, ra, rb = _meets(first, second), rows[0], rows[1]
-                else:
-                    common, ra, rb = _meets(first, first), rows[0], rows[0]
-                na, nb = np.array([len(sets[i]) for i in ra]), np.array([len(sets[i]) for i in rb])
+                ra, rb = np.flatnonzero(split), np.flatnonzero(~split)
+                if not len(ra):
+                    continue
+                common, na, nb = _common([words[i] for i in ra], [words[i] for i in rb] if len(rb) else None)
                 union = na[:, None] + nb[None, :] - common
-                x, y = np.nonzero(denominator * common >= numerator * union)
-                x, y = ra[x], rb[y]
+                x, y = np.nonzero((common > 0) & (denominator * common >= numerator * union))
+                x, y = ra[x], (rb if len(rb) else ra)[y]
                 root = small_components(e - s, x[x != y], y[x != y])
                 some = np.flatnonzero(root != np.arange(e - s))
                 us.append(ids[s:e][some])
@@ -199,25 +200,23 @@ def verified_links(docs: DataFrame, members: DataFrame, threshold: tuple[int, in
     """Exact links (a spanning forest of each block pair) inside families; members: doc_id, family, n_shingles."""
     sizes = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_DOCUMENTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    split = sizes.select("family", blocks.alias("blocks")).where("blocks > 1")
+    # Families of several blocks are few, and Spark broadcasts their list while it is small; their members are split in any case.
+    split = written(sizes.select("family", blocks.alias("blocks")).where("blocks > 1"), "split")
     placed = members.join(split, "family", "left").select("doc_id", "family", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter(members))
 
-    def some_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = bits.value
-
-        def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        for batch in batches:
             k = batch.column("bit").to_numpy()
-            return batch.filter(pa.array((bitmap[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
-
-        yield from _sets(wanted(b) for b in batches)
+            yield batch.filter(pa.array((bitmap[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(FILTER_BITS)).alias("bit"))
-    sets = texts.mapInArrow(some_sets, "doc_id bigint, shingles binary")
+    some = texts.mapInArrow(wanted, "doc_id bigint, text string")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("other", other).select("doc_id", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    met = cells.join(sets, "doc_id")
+    met = cells.join(some, "doc_id")
     return met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "doc_id").mapInArrow(_links(*threshold), "u bigint, v bigint")
 
 
@@ -229,16 +228,17 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     """
     named = docs.where(F.col("doc_id").isNotNull())
     signed = written(signatures(named), "signatures")
-    key = ["n_shingles", "set_low", "set_high"]
-    classes = written(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    some = signed.where("n_shingles > 0")
+    classes = written(some.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("c")), "classes")
     family = components(families(classes, threshold[0] / threshold[1])).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     members = written(family.join(classes.select("doc_id", "n_shingles"), "doc_id"), "members")
     linked = components(verified_links(named, members, threshold)).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
-    found = classes.select(*key, F.col("doc_id").alias("class_id")).join(linked, "class_id", "left")
-    found = found.select(*key, F.coalesce("joined", "class_id").alias("component_id"))
-    out = signed.drop("sketch").join(found, key, "left")
-    whole = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), (F.col("doc_id") == whole).alias("kept"))
+    found = classes.select("words", "c", F.col("doc_id").alias("class_id")).join(linked, "class_id", "left")
+    found = found.select("words", "c", F.coalesce("joined", "class_id").alias("component_id"))
+    out = spread_join(some.select("doc_id", "n_shingles", "words"), found, ["words"], "c", signed.count())
+    alone = signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    names = ["doc_id", "n_shingles", "component_id"]
+    return out.select(*names).unionByName(alone.select(*names)).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 #: near_duplicates over documents as SQL: exact joins of whole shingles, for tables that are small enough for it.

@@ -1,43 +1,46 @@
-"""Five-word shingles of whole texts as 64-bit hashes, for whole Arrow batches at once in numpy.
+"""Five-word shingles of whole texts as 64-bit hashes, for whole Arrow batches at once in numpy, and their comparison as text.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. All steps work on the UTF-8 bytes, which is the same:
-none of the bytes concerned occurs inside a longer UTF-8 sequence.
+none of the bytes concerned occurs inside a longer UTF-8 sequence. Hashes only find what may be equal; ``faithful`` tells whether
+equal hashes of some words stand for equal text, and ``exact_shingles`` does without hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS = 5
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER += 1  # so that a NUL byte counts
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIXERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
+_SEED, _STEP = np.uint64(0x243F6A8885A308D3), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are hashed in numpy, eight at a time; longer words are hashed by BLAKE2b.
+_SHORT = 64
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _BLOCK = 1 << 20
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+class Words(NamedTuple):
+    """Words of some bytes: the bytes with white space as spaces, and start, size and hash of each word."""
 
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    code: np.ndarray
 
-_CACHE: dict[str, np.ndarray] = {}
+    def part(self, low: int, high: int) -> Words:
+        return Words(self.data, self.start[low:high], self.size[low:high], self.code[low:high])
 
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CACHE.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        _CACHE["up"], _CACHE["down"] = _powers(_BASE, size), _powers(_UNBASE, size)
-    return _CACHE["up"], _CACHE["down"]
+    def text(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.start[i] + self.size[i]].tobytes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,20 +50,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start byte of each word of some bytes; a text must end in a separator or at the end of the bytes."""
-    inside = ~separators[data]
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-    start, end = edge[0::2], edge[1::2]
-    up, down = _tables(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LOWER[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
-
-
-def text_words(texts: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of every row; null and empty texts have none. Bytes are taken in blocks of bounded size."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; data has eight bytes more than are asked for."""
+    return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+
+
+def words_of(raw: bytes, separators: np.ndarray = _SPACE) -> Words:
+    """The words of some bytes, which end in a separator."""
+    bytes_in = np.frombuffer(raw + bytes(8), np.uint8)
+    apart = separators[bytes_in]
+    apart[len(raw) :] = True
+    data = _LOWER[bytes_in]
+    data[apart] = 32
+    edge = np.flatnonzero(np.diff((~apart).astype(np.int8), prepend=0, append=0))
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    code = _SEED ^ (size.astype(np.uint64) * _STEP)
+    eights = _eights(data)
+    some = np.arange(len(start))
+    for at in range(0, _SHORT, 8):
+        some = some[size[some] > at]
+        if not len(some):
+            break
+        chunk = eights[start[some] + at] & _KEEP[np.minimum(size[some] - at, 8)]
+        code[some] = mix((code[some] ^ chunk) * _STEP + np.uint64(at))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        digest = hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest()
+        code[i] = int.from_bytes(digest, "little")
+    return Words(data, start, size, code)
+
+
+def text_words(texts: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[tuple[int, Words]]:
+    """(row, words) of every row; null and empty texts have none. Bytes are taken in blocks of bounded size."""
     rows, size = [], 0
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     for i, n in enumerate(lengths.tolist()):
@@ -73,26 +93,103 @@ def text_words(texts: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[tup
         yield from _block(texts, rows, lengths, separators)
 
 
-def _block(texts: pa.Array, rows: list[int], lengths: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    part = texts.slice(rows[0], len(rows))
-    joined = b" ".join((x or b"") for x in part.cast(pa.large_binary()).to_pylist())
-    words, start = word_hashes(np.frombuffer(joined, np.uint8), separators)
-    ends = np.cumsum(lengths[rows] + 1)
-    cut = np.searchsorted(start, ends)
+def _block(texts: pa.Array, rows: list[int], lengths: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, Words]]:
+    part = texts.slice(rows[0], len(rows)).cast(pa.large_binary()).to_pylist()
+    words = words_of(b"".join([(x or b"") + b" " for x in part]), separators)
+    cut = np.searchsorted(words.start, np.cumsum(lengths[rows] + 1))
     before = 0
     for row, to in zip(rows, cut.tolist(), strict=True):
-        yield row, words[before:to]
+        yield row, words.part(before, to)
         before = to
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingle hashes of one text's words; a text of fewer words is one shingle, one without words none."""
-    n = len(words)
+def shingle_codes(words: Words) -> np.ndarray:
+    """Hash of the shingle that begins at each word; a text of fewer words is one shingle, one without words none."""
+    code = words.code
+    n = len(code)
     if n == 0:
         return np.empty(0, np.uint64)
     if n < WORDS:
-        return mix((words * _MIXERS[:n]).sum(keepdims=True) + np.uint64(n))
-    h = words[: n - WORDS + 1] * _MIXERS[0]
-    for i in range(1, WORDS):
-        h = h + words[i : n - WORDS + 1 + i] * _MIXERS[i]
-    return np.unique(mix(h + np.uint64(WORDS)))
+        return mix((mix(code + _MIXERS[:n]) * _MIXERS[:n]).sum(keepdims=True) + np.uint64(n))
+    h = np.full(n - WORDS + 1, np.uint64(WORDS))
+    for i in range(WORDS):
+        h = mix(h ^ (code[i : n - WORDS + 1 + i] * _MIXERS[i]))
+    return h
+
+
+def shingles(words: Words) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text's words. Where a hash repeats, the texts are compared; if they differ, the set is made from texts."""
+    codes = shingle_codes(words)
+    found = np.unique(codes)
+    if len(found) < len(codes) and not faithful([words]):
+        return np.unique(np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in exact_shingles(words)], np.uint64))
+    return found
+
+
+def exact_shingles(words: Words) -> set[bytes]:
+    """The distinct shingles as text."""
+    texts = [words.text(i) for i in range(len(words.start))]
+    if not texts:
+        return set()
+    return {b" ".join(texts[i : i + WORDS]) for i in range(max(1, len(texts) - WORDS + 1))}
+
+
+def sequence(words: Words) -> bytes:
+    """SHA-256 of the whole sequence of words: texts of one sequence have one set."""
+    if not len(words.start):
+        return b""
+    data = words.data[words.start[0] : words.start[-1] + words.size[-1]]
+    gap = data == 32
+    return hashlib.sha256(data[~(gap & np.append(False, gap[:-1]))].tobytes()).digest()
+
+
+def _differ(words: Words, i: np.ndarray, j: np.ndarray) -> bool:
+    """Whether some word i is not its word j."""
+    if (words.size[i] != words.size[j]).any():
+        return True
+    size, a, b = words.size[i], words.start[i], words.start[j]
+    eights = _eights(words.data)
+    for at in range(0, _SHORT, 8):
+        some = np.flatnonzero(size > at)
+        if not len(some):
+            return False
+        keep = _KEEP[np.minimum(size[some] - at, 8)]
+        if ((eights[a[some] + at] ^ eights[b[some] + at]) & keep).any():
+            return True
+    return any(words.text(int(x)) != words.text(int(y)) for x, y in zip(i[size > _SHORT], j[size > _SHORT], strict=True))
+
+
+def faithful(texts: list[Words]) -> bool:
+    """Whether equal hashes mean equal text, for all words and shingles of some texts."""
+    texts = [t for t in texts if len(t.start)]
+    if not texts:
+        return True
+    if all(t.data is texts[0].data for t in texts):
+        data, shift = texts[0].data, [0] * len(texts)
+    else:
+        data = np.concatenate([t.data for t in texts])
+        shift = np.cumsum([0, *[len(t.data) for t in texts[:-1]]]).tolist()
+    whole = Words(data, np.concatenate([t.start + s for t, s in zip(texts, shift, strict=True)]), np.concatenate([t.size for t in texts]), np.concatenate([t.code for t in texts]))
+    order = np.argsort(whole.code, kind="stable")
+    same = np.flatnonzero(whole.code[order[1:]] == whole.code[order[:-1]])
+    if len(same) and _differ(whole, order[same], order[same + 1]):
+        return False
+    # Words are told apart by their hashes now; so are shingles if equal hashes have equal words.
+    codes, begin, count, at = [], [], [], 0
+    for t in texts:
+        c = shingle_codes(t)
+        codes.append(c)
+        begin.append(at + np.arange(len(c)))
+        count.append(np.full(len(c), min(len(t.code), WORDS)))
+        at += len(t.code)
+    code, begin, count = np.concatenate(codes), np.concatenate(begin), np.concatenate(count)
+    order = np.argsort(code, kind="stable")
+    same = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+    i, j = order[same], order[same + 1]
+    if (count[i] != count[j]).any():
+        return False
+    for n in range(WORDS):
+        some = count[i] > n
+        if (whole.code[begin[i[some]] + n] != whole.code[begin[j[some]] + n]).any():
+            return False
+    return True

@@ -1,5 +1,5 @@
 """Tables written once to the folder that all executors share, to cut lineage."""
 
-from strandline.sources.stage import shared_folder, written
+from strandline.sources.stage import discard, shared_folder, written
 
-__all__ = ["shared_folder", "written"]
+__all__ = ["discard", "shared_folder", "written"]

@@ -71,7 +71,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column("toxic").to_pylist()
         for row, words in S.text_words(batch.column("text"), _SEPARATORS):
-            present = np.unique(features(words)).astype(np.int32) if len(words) else np.empty(0, np.int32)
+            present = np.unique(features(words.code)).astype(np.int32) if len(words.code) else np.empty(0, np.int32)
             model.learn(present, labels[row])
             if size + len(present) <= TRAIN_FEATURES:
                 kept.append((present, labels[row]))
@@ -121,7 +121,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], carry: list[str] |
             out = np.zeros(batch.num_rows)
             if bias is not None:
                 for row, words in S.text_words(texts, _SEPARATORS):
-                    f = features(words) if len(words) else np.empty(0, np.int64)
+                    f = features(words.code) if len(words.code) else np.empty(0, np.int64)
                     f = np.unique(f[w[f] != 0])
                     out[row] = 1 / (1 + np.exp(-np.clip(float(w[f].sum()) + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])

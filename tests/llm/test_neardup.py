@@ -7,9 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from strandline.llm import neardup
+from strandline.llm import hot, neardup
 from strandline.llm import setsketch as K
+from strandline.llm import shingles as S
 from strandline.llm.graph import components
 from strandline.llm.neardup import near_duplicates
 
@@ -181,15 +183,74 @@ def test_bands_keep_pairs_at_the_threshold():
     assert neardup.band_rows(0.85) == K.ROWS
 
 
-def test_late_parts_of_a_large_bucket(monkeypatch):
-    """The last rows of a bucket that spans batches join its family, although their registers differ from all others'."""
-    monkeypatch.setattr(neardup, "BUCKET", 8)
+def sketched(spark, n, same):
+    """n classes that share one band, of which two have equal registers."""
     rng = np.random.default_rng(0)
-
-    def batch(ids):
-        sketches = [K.registers(rng.integers(0, 2**63, 50).astype(np.uint64)).tobytes() for _ in ids]
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array([5] * n), pa.array(ids), pa.array([50] * n), pa.array(sketches, pa.binary()), pa.array([True] * n)], ["bucket", "doc_id", "n_shingles", "sketch", "large"])
-
-    out = list(neardup._families(0.85)(iter([batch(list(range(12))), batch([12, 13, 14])])))
-    assert {(u, v) for b in out for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)} == {(i, 0) for i in range(1, 15)}
+    band = rng.integers(0, 60000, K.ROWS).astype(np.uint16)
+    rows = []
+    for i in range(n):
+        s = K.registers(rng.integers(0, 2**63, 50).astype(np.uint64))
+        s[: K.ROWS] = band
+        rows.append([i, 50, s])
+    rows[same[1]][2] = rows[same[0]][2]
+    return spark.createDataFrame([Row(doc_id=i, n_shingles=n, sketch=bytearray(x.tobytes())) for i, n, x in rows], "doc_id bigint, n_shingles bigint, sketch binary")
+
+
+@pytest.mark.parametrize("n,same", [(400, (5, 350)), (200, (5, 150))])
+def test_buckets_across_arrow_batches(spark, n, same):
+    """Equal registers meet however a bucket is cut into Arrow batches; a bucket over the bound is one family."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (10_000, 60, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            edges = {(r.u, r.v) for r in neardup.families(sketched(spark, n, same), 0.85).collect()}
+            root = neardup.small_components(n, np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+            assert root[same[0]] == root[same[1]]
+            assert n <= neardup.BUCKET or (root == 0).all()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_words_of_one_polynomial_value(spark):
+    """Complementary Thue-Morse words have equal polynomial hashes modulo powers of two; they are not equal."""
+    rows = []
+    for n in (1024, 2048, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        rows += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    got = near_duplicates(spark.createDataFrame([Row(doc_id=i, text=t, n_shingles=0, component_id="") for i, t in enumerate(rows)], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, 1, i) for i in range(6)]
+
+
+@pytest.mark.parametrize("bits", [3, 6, 64])
+def test_links_do_not_trust_hashes(monkeypatch, bits):
+    """With a hash of few bits, sizes and links are still those of the texts."""
+    monkeypatch.setattr(S, "mix", lambda h: h & np.uint64((1 << bits) - 1))
+    rows = [r for r in planted() if r.doc_id is not None]
+    texts = pa.array([r.text for r in rows])
+    for row, words in S.text_words(texts):
+        assert len(S.shingles(words)) == len(shingle_set(rows[row].text))
+    ids = [r.doc_id for r in rows]
+    zero = pa.array([0] * len(ids), pa.int64())
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array(ids), texts], ["family", "low", "high", "block", "doc_id", "text"])
+    edges = [(u, v) for b in neardup._links(85, 100)(iter([batch])) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    at = {d: i for i, d in enumerate(ids)}
+    root = neardup.small_components(len(ids), np.array([at[u] for u, _ in edges]), np.array([at[v] for _, v in edges]))
+    assert {d: ids[root[at[d]]] for d in ids} == {d: c for d, (_, c) in brute([(r.doc_id, r.text) for r in rows]).items()}
+
+
+def test_same_set_in_another_order(spark):
+    """Texts of one set but different word sequences are linked."""
+    base = [f"s{i}" for i in range(40)]
+    rows = [" ".join(base * 2), " ".join(base * 3), " ".join(base * 3) + " other"]
+    compare(spark.createDataFrame([Row(doc_id=i, text=t, n_shingles=0, component_id="") for i, t in enumerate(rows)], SCHEMA))
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """A join whose keys are mostly one gives the rows of a plain join."""
+    monkeypatch.setattr(hot, "LEAST", 4)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "u bigint, v bigint")
+    keyed = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    got = hot.spread_join(rows, keyed, ["u"], "c", 300)
+    assert sorted(map(tuple, got.select("u", "v", "m", "c").collect())) == sorted(map(tuple, rows.join(keyed, "u").select("u", "v", "m", "c").collect()))
+    edges = spark.createDataFrame([(i, 7 if i > 7 else 900) for i in range(400)], "u bigint, v bigint")
+    assert dict(map(tuple, components(edges).collect())) == {i: 0 for i in [*range(400), 900]}
