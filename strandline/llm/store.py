@@ -3,3 +3,11 @@
 from strandline.sources.stage import discard, shared_folder, written
 
 __all__ = ["discard", "shared_folder", "written"]
+
+
+def free(taken: list[str], name: str) -> str:
+    """The name, with as many "_" in front as keep it apart from the taken ones; Spark does not mind case, so neither does this."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name
