@@ -28,17 +28,22 @@ _HINTS = frozenset(
     "comment comments commentlist reply replies respond discussion disqus cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe subscription "
     "signup login paywall footer masthead topbar toolbar share sharing social related recommended recommendations trending widget widgets search form copyright complementary contentinfo skip".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|title|canvas|audio|video|map)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>|<[!?/a-zA-Z][^<>]*\Z",
-    re.S | re.I,
+# Words that go with a hint in a name without changing what it says: "cookie-box" is a cookie notice, "notice-of-award" is no notice.
+_PLAIN = frozenset(
+    "area bar bars block blocks body bottom box button buttons card cards column container content entry group head header heading inner icons item items left link links list main "
+    "module outer panel post posts right section site slot stories story tools top unit wrap wrapper".split()
 )
+# Elements whose content is no text.
+_RAW = frozenset("script style noscript template svg math iframe object textarea title canvas audio video map".split())
+# Possessive quantifiers: a tag is read once or not at all.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "outside_article", "marked", "heading", "item")
-# The labelled table. FEATURES, then 1 for main text, 0 for the rest.
+# The labelled table. FEATURES, then 1 for main text, 0 for the rest. marked is 1 where a part of a name marks a block, 2 where all of it does.
 LABELLED = """
 40 0.00 60 0.00 55 0.00 1 0 0 0 0 1
 12 0.00 60 0.00 55 0.00 1 0 0 0 0 1
@@ -70,23 +75,23 @@ LABELLED = """
 25 0.00 60 0.00 0 0.00 0 0 0 0 0 1
 40 0.00 2 1.00 2 1.00 0 0 0 0 0 1
 22 0.05 12 0.80 60 0.00 0 0 0 0 0 1
-3 1.00 3 1.00 3 1.00 1 0 1 0 1 0
-2 1.00 0 0.00 2 1.00 1 0 1 0 1 0
-8 0.00 40 0.00 40 0.00 1 0 1 0 0 0
-30 0.00 40 0.00 40 0.00 1 0 1 0 0 0
-60 0.00 8 0.00 30 0.00 1 0 1 0 0 0
-3 0.00 30 0.00 12 0.00 1 0 1 1 0 0
-12 0.00 3 0.00 14 0.00 1 0 1 0 1 0
-1 1.00 0 0.00 1 1.00 0 1 1 0 1 0
-2 1.00 2 1.00 2 1.00 0 1 1 0 1 0
-1 1.00 1 1.00 8 0.00 0 1 1 0 1 0
-8 0.00 1 1.00 10 0.00 0 1 1 0 0 0
-12 0.00 1 1.00 10 0.00 0 1 1 0 0 0
-9 0.00 70 0.00 0 0.00 0 1 1 0 0 0
-25 0.00 70 0.00 0 0.00 0 1 1 0 0 0
-60 0.00 70 0.00 40 0.00 0 1 1 0 0 0
-90 0.05 20 0.00 40 0.00 0 1 1 0 0 0
-4 0.00 1 1.00 60 0.00 0 1 1 1 0 0
+3 1.00 3 1.00 3 1.00 1 0 2 0 1 0
+2 1.00 0 0.00 2 1.00 1 0 2 0 1 0
+8 0.00 40 0.00 40 0.00 1 0 2 0 0 0
+30 0.00 40 0.00 40 0.00 1 0 2 0 0 0
+60 0.00 8 0.00 30 0.00 1 0 2 0 0 0
+3 0.00 30 0.00 12 0.00 1 0 2 1 0 0
+12 0.00 3 0.00 14 0.00 1 0 2 0 1 0
+1 1.00 0 0.00 1 1.00 0 1 2 0 1 0
+2 1.00 2 1.00 2 1.00 0 1 2 0 1 0
+1 1.00 1 1.00 8 0.00 0 1 2 0 1 0
+8 0.00 1 1.00 10 0.00 0 1 2 0 0 0
+12 0.00 1 1.00 10 0.00 0 1 2 0 0 0
+9 0.00 70 0.00 0 0.00 0 1 2 0 0 0
+25 0.00 70 0.00 0 0.00 0 1 2 0 0 0
+60 0.00 70 0.00 40 0.00 0 1 2 0 0 0
+90 0.05 20 0.00 40 0.00 0 1 2 0 0 0
+4 0.00 1 1.00 60 0.00 0 1 2 1 0 0
 6 0.00 0 0.00 3 1.00 0 1 0 1 0 0
 3 1.00 6 0.00 3 1.00 0 1 0 0 0 0
 10 0.00 3 1.00 60 0.00 0 1 0 0 0 0
@@ -112,36 +117,104 @@ LABELLED = """
 3 0.00 5 0.00 4 1.00 0 0 0 0 1 0
 6 0.00 2 1.00 0 0.00 0 0 0 0 0 0
 8 0.60 60 0.00 9 0.70 0 0 0 0 0 0
-70 0.00 8 0.00 80 0.00 0 0 1 0 0 0
-20 0.00 5 1.00 5 1.00 0 0 1 0 0 0
-5 0.00 30 0.00 30 0.00 0 0 1 0 0 0
-4 0.00 3 1.00 20 0.00 0 0 1 1 0 0
-3 1.00 3 1.00 3 1.00 0 0 1 0 1 0
-12 0.00 20 0.00 20 0.00 0 0 1 0 1 0
+70 0.00 8 0.00 80 0.00 0 0 2 0 0 0
+20 0.00 5 1.00 5 1.00 0 0 2 0 0 0
+5 0.00 30 0.00 30 0.00 0 0 2 0 0 0
+4 0.00 3 1.00 20 0.00 0 0 2 1 0 0
+3 1.00 3 1.00 3 1.00 0 0 2 0 1 0
+12 0.00 20 0.00 20 0.00 0 0 2 0 1 0
+12 0.00 40 0.00 40 0.00 1 0 1 0 0 1
+40 0.05 40 0.00 9 0.00 1 0 1 0 0 1
+6 0.00 0 0.00 30 0.00 1 0 1 1 0 1
+3 0.00 12 0.00 8 0.00 1 0 1 0 1 1
+12 0.00 60 0.00 40 0.00 0 0 1 0 0 0
+60 0.05 60 0.00 40 0.00 0 0 1 0 0 0
+30 0.00 70 0.00 0 0.00 0 1 1 0 0 0
+4 0.00 0 0.00 60 0.00 0 0 1 1 0 0
+6 0.00 0 0.00 20 0.00 0 0 0 1 0 1
+5 0.00 0 0.00 60 0.00 0 0 0 1 0 1
+9 0.00 2 1.00 25 0.00 0 0 0 1 0 1
+2 0.00 0 0.00 45 0.05 0 0 0 1 0 1
+3 0.00 0 0.00 2 1.00 0 0 0 1 0 0
+2 0.00 0 0.00 1 1.00 0 0 0 1 0 0
+4 0.00 3 0.00 3 0.80 0 0 0 1 0 0
 """
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each piece of markup in page order; what is no tag has an empty name.
+
+    The time is linear in the page, however broken it is: each search for an end that fails is the last of its kind. Where some
+    quote never closes before the end of the page, quotes are no longer minded from that tag on. Markup that is never closed goes
+    on to the end of the page.
+    """
+    at, size, tag, endings = 0, len(page), _TAG, {}
+    while (start := page.find("<", at)) >= 0:
+        following = page[start + 1 : start + 2]
+        if following.isascii() and following.isalpha() or following == "/" and page[start + 2 : start + 3].isalpha():
+            m = tag.match(page, start)
+            if m is None and tag is _TAG:
+                tag = _BARE
+                m = tag.match(page, start)
+            if m is None:
+                yield start, size, "", False, ""
+                return
+            name, closing = m[2].lower(), bool(m[1])
+            at = m.end()
+            if name in _RAW and not closing:
+                if name not in endings:
+                    endings[name] = re.compile(rf"</{name}\s*+>", re.I)
+                end = endings[name].search(page, at)
+                at = end.end() if end else size
+                name = ""
+            yield start, at, name, closing, m[3]
+        elif following in ("!", "?", "/") and following:
+            end = page.find("-->", start + 4) if page.startswith("<!--", start) else page.find(">", start)
+            at = size if end < 0 else end + (3 if page.startswith("<!--", start) else 1)
+            yield start, at, "", False, ""
+        else:  # a sign in the text
+            at = start + 1
+
+
 @cache
-def _hint(marks: str) -> bool:
-    return any(w.lower() in _HINTS for w in _WORDS.findall(marks))
+def _hint(word: str) -> int:
+    """How surely a class, id or role word marks what is not the article: 0 not, 1 if a part of it does, 2 if it says nothing else."""
+    parts = [w.lower() for w in _WORDS.findall(word)]
+    if not any(w in _HINTS for w in parts):
+        return 0
+    return 2 if all(w in _HINTS or w in _PLAIN for w in parts) else 1
 
 
-def _marks(attributes: str) -> bool:
+def _marks(attributes: str) -> int:
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    found = 0
     for m in _MARKED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if (_hint if len(value) < 200 else _hint.__wrapped__)(value):  # long values are rare and stay out of the cache
-            return True
-    return bool(_HIDDEN.search(attributes))
+        for word in (m[1] or m[2] or m[3] or "").split():
+            found = max(found, (_hint if len(word) < 100 else _hint.__wrapped__)(word))  # long words are rare and stay out of the cache
+    return 2 if _HIDDEN.search(attributes) else found
+
+
+class _Holder:
+    """An open element that holds blocks. What depends on its ancestors is kept, so that deep pages take linear time."""
+
+    __slots__ = ("article", "bad", "boiler", "holds", "level", "name", "parent", "sure")
+
+    def __init__(self, name: str, bad: int, parent: _Holder | None) -> None:
+        self.name, self.bad, self.parent, self.holds, self.level = name, bad, parent, False, 0
+        self.article = name in ("article", "main") or (parent is not None and parent.article)  # in one, whatever it is marked as
+        self.sure = (name in ("article", "main") and not bad) or (parent is not None and parent.sure)  # in an unmarked one
+        self.boiler = (bad > 0 and name in _BOILER) or (parent is not None and parent.boiler)
 
 
 def blocks(page: str) -> list[tuple]:
-    """(text, words, linked words, in article, page has an article, marked, heading, item) of each block in page order."""
+    """(text, words, linked words, in article, page has an article, marked, heading, item) of each block in page order; marked is 0 to 2."""
     out: list[tuple] = []
     parts: list[str] = []
     linked: list[str] = []
-    holders: list[list] = []  # [name, marked by what is not the article, holds an article]
+    holders: list[_Holder] = []  # the open ones
+    every: list[_Holder] = []
+    opened: dict[str, int] = {}
     anchors, kind, at, in_head, has_article = 0, "", 0, False, False
 
     def close() -> None:
@@ -149,23 +222,18 @@ def blocks(page: str) -> list[tuple]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n = len(text.split(" "))
-                chain = tuple(map(id, holders))
                 links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, n, min(n, links), list(holders), kind, chain))
+                out.append((text, n, min(n, links), holders[-1] if holders else None, kind))
             parts.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not in_head:
-            piece = page[at : m.start()]
+    for start, end, name, closing, attributes in tags(page):
+        if start > at and not in_head:
+            piece = page[at:start]
             parts.append(piece)
             if anchors:
                 linked.append(piece)
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(m[2])
+        at = end
         if name == "a":
             anchors = max(0, anchors + (-1 if closing else 1))
         elif name == "br":
@@ -176,29 +244,34 @@ def blocks(page: str) -> list[tuple]:
             close()
             in_head, anchors = False, 0
             kind = "" if closing else name
-            if name in _HOLDERS:
-                if closing:
-                    for i in range(len(holders) - 1, -1, -1):
-                        if holders[i][0] == name:
-                            del holders[i:]
-                            break
-                elif not m[4].endswith("/"):
-                    inside = any(h[0] in ("article", "main") for h in holders)
-                    bad = name in _BOILER or (name == "header" and not inside) or _marks(m[4])
-                    if name in ("article", "main") and not bad:
-                        has_article = has_article or not any(h[1] and h[0] in _BOILER for h in holders)
-                        for h in holders:  # a wrapper of the article is none of the rest, whatever its class
-                            h[2] = True
-                    holders.append([name, bad, False])
+            if name not in _HOLDERS:
+                continue
+            if closing:
+                while opened.get(name):
+                    last = holders.pop()
+                    opened[last.name] -= 1
+                    if last.name == name:
+                        break
+            elif not attributes.endswith("/"):
+                parent = holders[-1] if holders else None
+                bad = 2 if name in _BOILER or (name == "header" and not (parent and parent.article)) else _marks(attributes)
+                if name in ("article", "main") and not bad:
+                    has_article = has_article or not (parent and parent.boiler)
+                    h = parent
+                    while h and not h.holds:  # a wrapper of the article is none of the rest, whatever its class
+                        h.holds, h = True, h.parent
+                holders.append(_Holder(name, bad, parent))
+                every.append(holders[-1])
+                opened[name] = opened.get(name, 0) + 1
     if at < len(page) and not in_head:
         parts.append(page[at:])
     close()
-    described = []
-    for text, n, links, chain, tag, _ in out:
-        bad = any(h[1] and (not h[2] or h[0] in _BOILER) for h in chain)
-        article = any(h[0] in ("article", "main") and not h[1] for h in chain)
-        described.append((text, n, links, article, has_article, bad, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "td", "th", "dd", "dt", "option")))
-    return described
+    for h in every:  # outer ones first
+        h.level = max(h.parent.level if h.parent else 0, h.bad if not h.holds or h.name in _BOILER else 0)
+    return [
+        (text, n, links, bool(h and h.sure), has_article, h.level if h else 0, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "td", "th", "dd", "dt", "option"))
+        for text, n, links, h, tag in out
+    ]
 
 
 def features(found: list[tuple]) -> np.ndarray:
@@ -219,7 +292,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :-1], rows[:, -1].astype(int)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple:
     """A decision tree by Gini impurity: (feature, cut, below, above), or (class,) at a leaf."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return (int(y.mean() >= 0.5),)

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -39,6 +40,35 @@ def test_long_marks(mark):
             assert main_text(f"<div><p>{LONG}</p><p>{MORE}</p></div><div {mark}='{value}'><p>{LONG}</p></div>") == f"{LONG}\n\n{MORE}"
 
 
+def test_titles_and_names():
+    """A heading before the text is the article's; a name that only contains a marking word does not drop what stands in an article."""
+    assert main_text(f"<div class=post><h1>A title of five words</h1><p>{LONG}</p><p>{MORE}</p></div>") == f"A title of five words\n\n{LONG}\n\n{MORE}"
+    page = f'<article><h1>Prizes</h1><p>{LONG}</p><section class="notice-of-award"><p>{MORE}</p></section><div class="newsletter-signup"><p>Get our letter every week.</p></div></article>'
+    assert main_text(page) == f"Prizes\n\n{LONG}\n\n{MORE}"
+    for name in ("ad-slot", "related-posts", "cookie_box", "shareButtons", "comment-list", "sidebar"):
+        assert main_text(f'<article><p>{LONG}</p><div class="x {name}"><p>{MORE}</p></div></article>') == LONG
+
+
+BROKEN = ["<!-", "<script", "<p <b ", "<p a='>'\"", '<p "', '<p a=">"', "<", "</", "<a href=", "<!--", "</script", "<style>", "<div class='", "&", "<p>", "<?", "<p ' \" >"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_broken_markup_is_linear(piece):
+    """200 KB of broken markup, alone and in pairs, in under a second."""
+    for other in ("", "<!-", "<script", "'", '"', ">"):
+        page = (piece + other) * (200_000 // len(piece + other))
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 1.5
+
+
+def test_broken_markup_has_a_result():
+    assert main_text(f"<article><p>5 < 6 and 7 <8</p><p title=\"never closed>{LONG}</p><p>{MORE}</p></article>") == f"5 < 6 and 7 <8\n\n{LONG}\n\n{MORE}"
+    assert main_text(f"<article><p>{LONG}</p><p>{MORE}<!- no comment") == f"{LONG}\n\n{MORE}"
+    assert main_text(f"<article><p>{LONG}<script>var x = '<p>';") == LONG
+    assert main_text(f"<article><p title='a > b'>{LONG}</p></article>") == LONG
+
+
 def test_tree_fits_its_table():
     x, y = labelled()
     assert (classify(trained(), x) == y).all()
