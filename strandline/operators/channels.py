@@ -51,24 +51,32 @@ def _moments(signal: DataFrame, percentiles: bool) -> DataFrame:
     return out.withColumns({n: F.col("q")[i] for i, n in enumerate(QUANTILES)}).drop("q") if percentiles else out
 
 
-def value_statistics(signal: DataFrame) -> DataFrame:
-    """Exact percentiles and the extreme-repeat fraction from value counts, in one pass and one sort that can spill.
+def value_statistics(signal: DataFrame, bucket_values: int = 100_000) -> DataFrame:
+    """Exact percentiles and the extreme-repeat fraction from value counts.
 
     A percentile interpolates the two values around rank q(n-1); the extremes' counts are those of the least and largest value.
+    A channel's distinct values are ranked in ranges of about bucket_values each, so one long recording is many tasks.
     """
     keys = ["recording_id", "channel"]
     counts = signal.where(finite(F.col("x"))).groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    w = W.partitionBy(*keys).orderBy("x")
-    ranked = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
+    whole = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.ceil(F.count("*") / bucket_values).alias("buckets"), F.greatest(F.min_by("c", "x"), F.max_by("c", "x")).alias("most"))
+    part = F.col("x") / 2 - F.col("lo") / 2  # halves, so that a difference stays finite
+    place = F.when(F.col("hi") > F.col("lo"), F.floor(part / (F.col("hi") / 2 - F.col("lo") / 2) * F.col("buckets"))).otherwise(F.lit(0))
+    placed = counts.join(whole.select(*keys, "lo", "hi", "buckets"), keys).select(*keys, "x", "c", place.alias("bucket"))
+    sizes = placed.groupBy(*keys, "bucket").agg(F.sum("c").alias("s"))
+    start = F.coalesce(F.sum("s").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "bucket", start.alias("start"))
+    inside = F.sum("c").over(W.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.withColumn("inside", inside).join(starts, [*keys, "bucket"]).withColumn("upto", F.col("start") + F.col("inside")).join(whole.select(*keys, "n"), keys)
 
     def at(rank: Column) -> Column:  # the value whose run of equal values holds the 0-based rank
         return F.min(F.when(F.col("upto") > rank, F.col("x")))
 
-    aggs = [F.first("n").alias("n"), F.greatest(F.min_by("c", "x"), F.max_by("c", "x")).alias("most")]
+    aggs = []
     for name, q in QUANTILES.items():
         rank = F.lit(q) * (F.col("n") - 1)
         aggs += [at(F.floor(rank)).alias(f"{name}_lo"), at(F.ceil(rank)).alias(f"{name}_hi")]
-    out = ranked.groupBy(*keys).agg(*aggs).withColumn("extreme_repeat_fraction", F.col("most") / F.col("n"))
+    out = ranked.groupBy(*keys).agg(*aggs).join(whole.select(*keys, "n", "most"), keys).withColumn("extreme_repeat_fraction", F.col("most") / F.col("n"))
     for name, q in QUANTILES.items():
         rank = F.lit(q) * (F.col("n") - 1)
         out = out.withColumn(name, F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (rank - F.floor(rank)))
@@ -87,11 +95,11 @@ def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
     return joined.groupBy(*keys).agg(F.greatest(*share).alias("extreme_repeat_fraction"))
 
 
-def channel_statistics(samples: DataFrame, threshold: float, method: str = "percentile", chunk_samples: int | None = None, recordings: DataFrame | None = None) -> DataFrame:
+def channel_statistics(samples: DataFrame, threshold: float, method: str = "rank", chunk_samples: int | None = None, recordings: DataFrame | None = None) -> DataFrame:
     """One row for each (recording, channel): counts, 13 statistics and two flags.
 
-    method: ``percentile`` (a value-count map in memory for each group, a third pass for the extremes) or ``rank`` (value counts
-    and a sort that spills, two passes in all); both are exact.
+    method: ``rank`` (value counts and sorts that spill, two passes in all) or ``percentile`` (a value-count map in memory for each
+    group, a third pass for the extremes); both are exact.
     With recordings (recording_id, channel_count), channels of recordings without a sample have a row as well.
     """
     if method not in ("percentile", "rank"):

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from strandline.functions.expr import finite, listed, positives
 from strandline.operators.align import removed_text
-from strandline.params import EXERCISES, AuditParams
+from strandline.params import STREAMS, AuditParams
 
 LABELS = ("stimulus", "restimulus", "repetition", "rerepetition")
 # The texts of findings.
 MISSING_FILE = "expected one MATLAB file"
 DUPLICATE_FILE = "observed %d MATLAB files"
 NOT_INTEGER = "{} must contain finite integer labels"
-NOT_ONE = "{} must contain one value, received %d"
-TOO_LONG = "length mismatch exceeds {} samples: %d"
+NOT_ONE = "{} must contain one value, received (%d,)"
+TOO_LONG = "time-series length mismatch exceeds {} sample(s): %s"
 ALIGNED = "aligned all streams to %d samples; removed trailing samples: %s"
 MISMATCH = "filename=%d, variable=%d"
 CHANNELS = "observed=%d, expected={}"
@@ -25,8 +25,8 @@ FRAGMENTED = "movement=%d, repetition=%d, segments=%d"
 
 
 def requested_pairs(spark: SparkSession, params: AuditParams) -> DataFrame:
-    """(subject, exercise) of every requested subject; a table of parameters only."""
-    pairs = [(s, e) for s in params.requested_subjects for e in EXERCISES]
+    """(subject, exercise) of every requested subject and every exercise of the label table, each once; a table of parameters only."""
+    pairs = [(s, e) for s in sorted(set(params.requested_subjects)) for e in params.exercises]
     return spark.createDataFrame(pairs, "subject int, exercise int")
 
 
@@ -168,7 +168,8 @@ def recording_facts(recordings: DataFrame, lengths: DataFrame, params: AuditPara
         out = out.join(label_validity(raw, streams), "recording_id", "left")
         steps += [("invalid_metadata", F.when(F.col(f"{c}_invalid"), F.lit(NOT_INTEGER.format(c)))) for c in streams]
     steps += [("invalid_metadata", F.when(F.col(f"{c}_hole"), F.lit(f"{c} has a gap before its end"))) for c in LABELS]
-    steps.append(("invalid_metadata", F.when(F.col("longest") - F.col("shortest") > params.max_tail_mismatch, F.format_string(TOO_LONG.format(params.max_tail_mismatch), F.col("longest") - F.col("shortest")))))
+    lengths_text = F.concat_ws(", ", *[F.format_string(f"{s}=%d", f"{s}_length") for s in STREAMS])
+    steps.append(("invalid_metadata", F.when(F.col("longest") - F.col("shortest") > params.max_tail_mismatch, F.format_string(TOO_LONG.format(params.max_tail_mismatch), lengths_text))))
     first = F.coalesce(*[F.when(m.isNotNull(), F.struct(F.lit(c).alias("c"), m.alias("m"))) for c, m in steps])
     return out.withColumn("stop", first).withColumns({"stop_category": F.col("stop.c"), "stop_detail": F.col("stop.m")}).drop("stop")
 

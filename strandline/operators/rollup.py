@@ -47,60 +47,80 @@ def participant_summary(files: DataFrame, windows: DataFrame, channels: DataFram
     )
 
 
-def dataset_summary(expected: DataFrame, recordings: DataFrame, files: DataFrame, windows: DataFrame, channels: DataFrame, issues: DataFrame, participants: DataFrame, params: AuditParams) -> DataFrame:
+def dataset_summary(expected: DataFrame, recordings: DataFrame, files: DataFrame, windows: DataFrame, channels: DataFrame, issues: DataFrame, params: AuditParams) -> DataFrame:
     """One row: the summary's keys without the wall clock and the data root, which the sink adds."""
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     label_removed = reduce(lambda a, b: a + b, [F.col(f"{s}_samples_removed") for s in STREAMS[1:]])
     parts = [
+        expected.agg(F.count("*").alias("expected_file_count")),
+        recordings.agg(F.count("*").alias("observed_file_count")),
         files.agg(
-            F.countDistinct("subject").alias("subject_count"), F.count("*").alias("loaded_file_count"), zero("emg_samples").alias("total_samples"),
-            zero("active_trial_segments").alias("active_trial_segments"), zero("nonfinite_emg_values").alias("nonfinite_emg_values"),
+            F.countDistinct("subject").alias("subject_count"), F.count("*").alias("successfully_loaded_file_count"), zero("emg_samples").alias("total_emg_samples"),
+            zero("nonfinite_emg_values").alias("nonfinite_emg_values"), *[zero(c).alias(c) for c in DISAGREE],
             F.count_if(F.col("trailing_samples_removed") > 0).alias("aligned_file_count"), zero("emg_samples_removed").alias("emg_tail_samples_removed"), zero(label_removed).alias("label_tail_samples_removed"),
-            *[zero(c).alias(c) for c in DISAGREE],
         ),
-        expected.agg(F.count("*").alias("expected_file_count")),
-        recordings.agg(F.count("*").alias("observed_file_count")),
-        windows.agg(zero("generator_window_count").alias("generator_window_count"), zero("classifier_window_count").alias("classifier_window_count")),
-        channels.agg(F.count_if("constant_channel").alias("constant_channels"), F.count_if("potential_saturation").alias("potential_saturation_channels")),
+        windows.agg(F.count("*").alias("trial_segment_count"), zero("generator_window_count").alias("generator_window_count"), zero("classifier_window_count").alias("classifier_window_count")),
+        channels.agg(F.count("*").alias("channel_record_count"), F.count_if("constant_channel").alias("constant_channels"), F.count_if("potential_saturation").alias("potential_saturation_channels")),
         issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count")),
-        participants.agg(F.count("*").alias("participant_count")),
     ]
     one = reduce(DataFrame.crossJoin, parts)
     window = lambda w: F.struct(F.lit(w.length_samples).alias("length_samples"), F.lit(w.step_samples).alias("step_samples"))
-    requested = F.array(*map(F.lit, params.requested_subjects)).cast("array<int>") if params.requested_subjects else F.array().cast("array<int>")
     return one.withColumns(
         {
-            "status": F.when(F.col("error_count") == 0, "pass").otherwise("fail"),
-            "total_hours": hours(F.col("total_samples"), params.sampling_rate_hz),
+            "audit_status": F.when(F.col("error_count") == 0, "pass").otherwise("fail"),
+            "label_source": F.lit(params.label_source),
             "sampling_rate_hz": F.lit(params.sampling_rate_hz),
             "expected_channels": F.lit(params.expected_channels),
-            "label_source": F.lit(params.label_source),
             "max_tail_mismatch_samples": F.lit(params.max_tail_mismatch),
-            "max_tail_mismatch_ms": milliseconds(F.lit(params.max_tail_mismatch), params.sampling_rate_hz),
-            "extreme_repeat_threshold": F.lit(float(params.extreme_repeat_threshold)),
-            "subjects_requested": requested,
-            "window_definitions": F.struct(window(params.generator).alias("generator"), window(params.classifier).alias("classifier")),
+            "max_tail_mismatch_milliseconds": milliseconds(F.lit(params.max_tail_mismatch), params.sampling_rate_hz),
+            "subjects_requested": F.array(*map(F.lit, params.requested_subjects)).cast("array<int>"),
+            "total_recording_hours": hours(F.col("total_emg_samples"), params.sampling_rate_hz),
+            "generator_window": window(params.generator),
+            "classifier_window": window(params.classifier),
         }
     )
 
 
-def report_lines(summary: DataFrame) -> DataFrame:
-    """The text report, a line a row."""
+def report_lines(summary: DataFrame, title: str = "DATA AUDIT") -> DataFrame:
+    """The text report, a line a row. The lines of the wall clock and the source directory are there if the summary has generated_utc and data_root."""
     f = F.format_string
-    lines = F.array(
-        f("status: %s", F.upper("status")),
-        f("subjects: %d", "subject_count"),
-        f("files: %d observed, %d expected, %d loaded", "observed_file_count", "expected_file_count", "loaded_file_count"),
-        f("hours: %.3f", "total_hours"),
-        f("trials: %d", "active_trial_segments"),
-        f("windows: %d generator, %d classifier", "generator_window_count", "classifier_window_count"),
-        f("tail tolerance ms: %.3f", "max_tail_mismatch_ms"),
-        f("aligned files: %d", "aligned_file_count"),
-        f("non-finite values: %d", "nonfinite_emg_values"),
-        f("channels: %d constant, %d possibly saturated", "constant_channels", "potential_saturation_channels"),
-        f("issues: %d errors, %d warnings", "error_count", "warning_count"),
-    )
-    return summary.select(F.posexplode(lines).alias("line_no", "line"))
+    given = [f(text, name) for text, name in (("Generated (UTC): %s", "generated_utc"), ("Source directory: %s", "data_root")) if name in summary.columns]
+    # The texts of the report.
+    lines = [
+        F.lit(title),
+        F.lit("=" * len(title)),
+        f("Status: %s", F.upper("audit_status")),
+        *given,
+        f("Primary labels: %s", "label_source"),
+        f("Terminal alignment limit: %d samples (%.3f ms)", "max_tail_mismatch_samples", "max_tail_mismatch_milliseconds"),
+        F.lit(""),
+        F.lit("DATA ACCOUNTING"),
+        f("Subjects: %d", "subject_count"),
+        f("MATLAB files: %d loaded / %d expected", "successfully_loaded_file_count", "expected_file_count"),
+        f("Trial segments: %d", "trial_segment_count"),
+        f("Total EMG samples: %d", "total_emg_samples"),
+        f("Total recording hours: %.3f", "total_recording_hours"),
+        F.lit(""),
+        F.lit("WINDOW ACCOUNTING"),
+        f("Generator windows: %d", "generator_window_count"),
+        f("Classifier windows: %d", "classifier_window_count"),
+        F.lit(""),
+        F.lit("QUALITY SCREEN"),
+        f("Non-finite EMG values: %d", "nonfinite_emg_values"),
+        f("Constant channel records: %d", "constant_channels"),
+        f("Potential saturation channel records: %d", "potential_saturation_channels"),
+        f("Stimulus/restimulus disagreement samples: %d", DISAGREE[0]),
+        f("Repetition/rerepetition disagreement samples: %d", DISAGREE[1]),
+        f("Files aligned at the terminal boundary: %d", "aligned_file_count"),
+        f("EMG tail samples removed: %d", "emg_tail_samples_removed"),
+        f("Label tail samples removed: %d", "label_tail_samples_removed"),
+        f("Errors: %d", "error_count"),
+        f("Warnings: %d", "warning_count"),
+        F.lit(""),
+        F.lit("Interpret potential saturation as a screening flag, not an exclusion rule."),
+        F.lit("Review issues.csv and participant_summary.csv before creating splits."),
+    ]
+    return summary.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
 def rollup_levels(files: DataFrame, windows: DataFrame) -> DataFrame:

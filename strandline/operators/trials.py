@@ -31,12 +31,14 @@ def _runs(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
 
 
 def label_runs(labels: DataFrame, chunk_samples: int | None = None) -> DataFrame:
-    """All maximal runs, rest included.
+    """All maximal runs, rest included. A sample with a movement but no repetition, or the other way round, is an error: the streams end apart.
 
     With a chunk size, runs are found inside (recording, chunk) first, so that one very long recording is many tasks;
     only the few runs of each chunk are then merged across chunk edges.
     """
-    points = labels.withColumn("next_index", F.col("sample_index") + 1)
+    apart = F.col("movement").isNull() != F.col("repetition").isNull()
+    error = F.raise_error(F.lit("label and repetition streams must have the same length")).cast(labels.schema["movement"].dataType)
+    points = labels.withColumns({"next_index": F.col("sample_index") + 1, "movement": F.when(apart, error).otherwise(F.col("movement"))})
     if chunk_samples is None:
         return _runs(points, ["recording_id"], "sample_index", "next_index")
     chunk = F.floor(F.col("sample_index") / F.lit(chunk_samples)).cast("bigint")

@@ -73,7 +73,7 @@ def audit_dataset(
         "channel_quality": lambda: named.join(quality(), "recording_id").drop("recording_id"),
         "participant_summary": people,
         "issues": issues,
-        "dataset_summary": lambda: rollup.dataset_summary(expected, recordings, files(), windows(), quality(), issues(), people(), params),
+        "dataset_summary": lambda: rollup.dataset_summary(expected, recordings, files(), windows(), quality(), issues(), params),
         "rollup_levels": lambda: rollup.rollup_levels(files(), windows()),
     }
     return {name: build[name]() for name in results}

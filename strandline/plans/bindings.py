@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positions(rows: DataFrame, key: str, bucket: Column, order: list[str]) -> DataFrame:
+    """Adds sample_index, 0, 1, ... in each key's order, and n, the key's rows.
+
+    bucket must not fall along the order. Rows are numbered inside (key, bucket) and buckets by their sizes, so that a key with
+    many rows is many tasks.
+    """
+    named = rows.withColumn("_b", bucket)
+    sizes = named.groupBy(key, "_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(key, "_b", F.coalesce(before, F.lit(0)).alias("_s"), F.sum("_c").over(W.partitionBy(key)).alias("n"))
+    inside = named.withColumn("_i", F.row_number().over(W.partitionBy(key, "_b").orderBy(*order)) - 1)
+    out = inside.join(starts, (inside[key] == starts[key]) & inside["_b"].eqNullSafe(starts["_b"]))
+    return out.select(*[inside[c] for c in rows.columns], (F.col("_s") + F.col("_i")).cast("bigint").alias("sample_index"), "n")
+
+
 @dataclass(frozen=True)
 class Events:
     samples: DataFrame
@@ -38,17 +53,19 @@ class Events:
 
 def events(spark: SparkSession, sf_dir: str, params: AuditParams = EVENT_PARAMS) -> Events:
     e = table(spark, sf_dir, "events")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.where("user_id is not null")
+    placed = positions(e.select("user_id", "event_id", "ts", "event_type", "value", "props"), "user_id", F.to_date("ts"), ["ts", "event_id"])
     nan = F.lit(float("nan"))
     value, user = F.col("value"), F.col("user_id")
-    rows = e.select(
-        "user_id", "value", (F.row_number().over(order) - 1).cast("bigint").alias("sample_index"), F.count("*").over(W.partitionBy("user_id")).alias("n"),
+    rows = placed.select(
+        "user_id", "value", "sample_index", "n",
         F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type").isin("signup", "error"), 2).otherwise(0).alias("stimulus"),
         (F.floor((F.day("ts") - 1) / 5) + 1).cast("int").alias("repetition"), F.regexp_extract("props", "([0-9]+)", 1).try_cast("double").alias("k"),
     )
     ended = F.col("sample_index") >= F.col("n") - user % 4
     refined = lambda c: F.when(~ended, F.when(value < 5, 0).otherwise(F.col(c)))
-    rows = rows.withColumns({"restimulus": refined("stimulus"), "rerepetition": refined("repetition"), "recording_id": user.cast("string")})
+    lost = F.when((user % 9 == 0) & (F.col("repetition") == 6), 0).otherwise(F.col("repetition"))  # some recordings lack a repetition
+    rows = rows.withColumns({"restimulus": refined("stimulus"), "rerepetition": F.when(~ended, F.when(value < 5, 0).otherwise(lost)), "recording_id": user.cast("string")})
     emg = F.array(value, F.col("k"), F.when(value > 300, nan).otherwise(value), F.lit(1.0), F.when(user % 7 == 0, nan).otherwise(value))
     samples = rows.select("recording_id", "sample_index", emg.alias("emg"), "stimulus", "restimulus", "repetition", "rerepetition")
     raw = rows.select(
@@ -64,7 +81,7 @@ def events(spark: SparkSession, sf_dir: str, params: AuditParams = EVENT_PARAMS)
         (F.col("subject") + F.when(user % 17 == 0, 1).otherwise(0)).alias("stored_subject"), (F.col("exercise") + F.when(user % 19 == 0, 1).otherwise(0)).alias("stored_exercise"), F.lit(5).alias("channel_count"),
     )
     names = F.array(*map(F.lit, REQUIRED_VARIABLES))
-    catalogue = users.where("acquisition = 1").select(user.cast("string").alias("recording_id"), F.explode(F.when(user % 13 == 0, F.array_remove(names, "rerepetition")).otherwise(names)).alias("variable"))
+    catalogue = users.where("acquisition = 1").select(user.cast("string").alias("recording_id"), F.explode(F.when(user % 13 == 0, F.array_except(names, F.array(F.lit("rerepetition"), F.lit("subject")))).otherwise(names)).alias("variable"))
     pair = lambda name: F.struct(F.lit(name).alias("variable"), F.col(name).cast("double").alias("value"))
     both = F.array(pair("subject"), pair("exercise"))
     scalars = users.where("acquisition = 1").select(user.cast("string").alias("recording_id"), F.inline(F.when(user % 31 == 0, F.concat(both, F.array(pair("subject")))).otherwise(both)))
@@ -84,14 +101,14 @@ def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's lines as a four-channel recording, ordered by all columns."""
     t = table(spark, sf_dir, "lineitem")
-    order = W.partitionBy("l_suppkey").orderBy(*[c for c in t.columns if c != "l_suppkey"])
-    return t.select(
-        F.col("l_suppkey").cast("string").alias("recording_id"), (F.row_number().over(order) - 1).cast("bigint").alias("sample_index"),
+    placed = positions(t, "l_suppkey", F.floor(F.col("l_orderkey") / 100_000), [c for c in t.columns if c != "l_suppkey"])
+    return placed.select(
+        F.col("l_suppkey").cast("string").alias("recording_id"), "sample_index",
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("emg"),
     )
 
 
 def embedding_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "embeddings")
-    order = W.partitionBy("label").orderBy("vec_id")
-    return t.select(F.col("label").cast("string").alias("recording_id"), (F.row_number().over(order) - 1).cast("bigint").alias("sample_index"), F.col("embedding").cast("array<double>").alias("emg"))
+    placed = positions(t.select("label", "vec_id", "embedding"), "label", F.floor(F.col("vec_id") / 10_000), ["vec_id"])
+    return placed.select(F.col("label").cast("string").alias("recording_id"), "sample_index", F.col("embedding").cast("array<double>").alias("emg"))

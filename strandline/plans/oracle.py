@@ -11,7 +11,7 @@ base AS (
   FROM events),
 smp AS (
   SELECT *, CASE WHEN i >= n - user_id % 4 THEN NULL WHEN value < 5 THEN 0 ELSE stim END AS restim,
-    CASE WHEN i >= n - user_id % 4 THEN NULL WHEN value < 5 THEN 0 ELSE rep END AS rerep,
+    CASE WHEN i >= n - user_id % 4 THEN NULL WHEN value < 5 OR (user_id % 9 = 0 AND rep = 6) THEN 0 ELSE rep END AS rerep,
     CAST(floor(user_id / 3.0) + 1 AS INT) AS subject, CAST(user_id % 3 + 1 AS INT) AS exercise FROM base),
 len AS (
   SELECT user_id, CAST(max(n) AS BIGINT) AS full_len, CAST(max(n) - greatest(least(user_id % 4, max(n)), 0) AS BIGINT) AS short_len FROM smp GROUP BY user_id),
@@ -21,9 +21,9 @@ _STOPPED = """
 chk AS (
   SELECT l.*, CASE WHEN user_id % 13 = 0 THEN 'missing_variables' WHEN user_id % 31 = 0 OR (user_id % 23 = 0) OR (user_id % 29 = 0 AND full_len > 1)
       OR full_len - short_len > 2 THEN 'invalid_metadata' END AS stop_category,
-    CASE WHEN user_id % 13 = 0 THEN 'rerepetition' WHEN user_id % 31 = 0 THEN 'subject must contain one value, received 2'
+    CASE WHEN user_id % 13 = 0 THEN 'subject, rerepetition' WHEN user_id % 31 = 0 THEN 'subject must contain one value, received (2,)'
       WHEN user_id % 23 = 0 OR (user_id % 29 = 0 AND full_len > 1) THEN 'stimulus must contain finite integer labels'
-      WHEN full_len - short_len > 2 THEN 'length mismatch exceeds 2 samples: ' || CAST(full_len - short_len AS VARCHAR) END AS stop_detail,
+      WHEN full_len - short_len > 2 THEN 'time-series length mismatch exceeds 2 sample(s): emg=' || full_len || ', stimulus=' || full_len || ', restimulus=' || short_len || ', repetition=' || full_len || ', rerepetition=' || short_len END AS stop_detail,
     CAST(floor(user_id / 3.0) + 1 AS INT) AS subject, CAST(user_id % 3 + 1 AS INT) AS exercise FROM len l),
 ok AS (SELECT * FROM chk WHERE stop_category IS NULL),
 ali AS (SELECT s.*, l.full_len, l.short_len FROM smp s JOIN ok l ON s.user_id = l.user_id WHERE s.i < l.short_len),
@@ -157,8 +157,8 @@ ppl AS (
   SELECT f.subject, count(*) AS file_count, count(DISTINCT exercise) AS exercise_count, CAST(sum(emg_samples) AS BIGINT) AS total_samples, CAST(sum(nonfinite_emg_values) AS BIGINT) AS nf FROM fil f GROUP BY f.subject)
 """
 _SUMMARY = """
-SELECT (SELECT count(DISTINCT subject) FROM fil) AS subject_count, (SELECT count(*) FROM fil) AS loaded_file_count,
-  CAST((SELECT sum(emg_samples) FROM fil) AS BIGINT) AS total_samples, CAST((SELECT sum(active_trial_segments) FROM fil) AS BIGINT) AS active_trial_segments,
+SELECT (SELECT count(DISTINCT subject) FROM fil) AS subject_count, (SELECT count(*) FROM fil) AS successfully_loaded_file_count,
+  CAST((SELECT sum(emg_samples) FROM fil) AS BIGINT) AS total_emg_samples, (SELECT count(*) FROM trl) AS trial_segment_count, (SELECT count(*) FROM flg) AS channel_record_count,
   CAST((SELECT sum(nonfinite_emg_values) FROM fil) AS BIGINT) AS nonfinite_emg_values, (SELECT count(*) FROM fil WHERE trailing_samples_removed > 0) AS aligned_file_count,
   CAST((SELECT sum(emg_samples_removed) FROM fil) AS BIGINT) AS emg_tail_samples_removed, CAST((SELECT sum(stimulus_samples_removed + restimulus_samples_removed + repetition_samples_removed + rerepetition_samples_removed) FROM fil) AS BIGINT) AS label_tail_samples_removed,
   CAST((SELECT sum(stimulus_restimulus_disagreement_samples) FROM fil) AS BIGINT) AS stimulus_restimulus_disagreement_samples, CAST((SELECT sum(repetition_rerepetition_disagreement_samples) FROM fil) AS BIGINT) AS repetition_rerepetition_disagreement_samples,
@@ -166,9 +166,9 @@ SELECT (SELECT count(DISTINCT subject) FROM fil) AS subject_count, (SELECT count
   CAST((SELECT sum(gw) FROM trl) AS BIGINT) AS generator_window_count, CAST((SELECT sum(cw) FROM trl) AS BIGINT) AS classifier_window_count,
   CAST((SELECT sum(constant) FROM flg) AS BIGINT) AS constant_channels, CAST((SELECT sum(sat) FROM flg) AS BIGINT) AS potential_saturation_channels,
   (SELECT count(*) FROM iss WHERE severity = 'error') AS error_count, (SELECT count(*) FROM iss WHERE severity = 'warning') AS warning_count,
-  (SELECT count(DISTINCT subject) FROM fil) AS participant_count, CASE WHEN (SELECT count(*) FROM iss WHERE severity = 'error') = 0 THEN 'pass' ELSE 'fail' END AS status,
-  round((SELECT sum(emg_samples) FROM fil) / 2000.0 / 3600.0, 6) AS total_hours, 2000 AS sampling_rate_hz, 5 AS expected_channels, 'refined' AS label_source, 2 AS max_tail_mismatch_samples,
-  CAST(1.0 AS DOUBLE) AS max_tail_mismatch_ms, CAST(0.001 AS DOUBLE) AS extreme_repeat_threshold
+  CASE WHEN (SELECT count(*) FROM iss WHERE severity = 'error') = 0 THEN 'pass' ELSE 'fail' END AS audit_status,
+  round((SELECT sum(emg_samples) FROM fil) / 2000.0 / 3600.0, 6) AS total_recording_hours, 2000 AS sampling_rate_hz, 5 AS expected_channels, 'refined' AS label_source, 2 AS max_tail_mismatch_samples,
+  CAST(1.0 AS DOUBLE) AS max_tail_mismatch_milliseconds, CAST(0.001 AS DOUBLE) AS extreme_repeat_threshold
 """
 _T = "WITH " + _E + _ALIGNED + _RUNS
 _INV = f"{_T} SELECT {_INVENTORY} FROM trl"
@@ -197,7 +197,7 @@ SQL = {
     "identity_mismatch": f"WITH {_REC.rstrip().rstrip(',')} SELECT subject, exercise, replace({_FILE}, '_A1', '_A' || CAST(a AS VARCHAR)) AS file, 'subject_mismatch' AS category, 'filename=' || CAST(subject AS VARCHAR) || ', variable=' || CAST(subject + 1 AS VARCHAR) AS detail FROM rec WHERE user_id % 17 = 0 UNION ALL SELECT subject, exercise, replace({_FILE}, '_A1', '_A' || CAST(a AS VARCHAR)), 'exercise_mismatch', 'filename=' || CAST(exercise AS VARCHAR) || ', variable=' || CAST(exercise + 1 AS VARCHAR) FROM rec WHERE user_id % 19 = 0",
     "label_validity": "SELECT CAST(user_id AS VARCHAR) AS recording_id, user_id % 23 = 0 OR (user_id % 29 = 0 AND count(*) > 1) AS stimulus_invalid FROM events GROUP BY user_id",
     "scalar_validity": "SELECT CAST(user_id AS VARCHAR) AS recording_id, v AS variable, CAST(CASE WHEN user_id % 31 = 0 AND v = 'subject' THEN 2 ELSE 1 END AS BIGINT) AS values_received, CASE WHEN user_id % 31 = 0 AND v = 'subject' THEN NULL WHEN v = 'subject' THEN CAST(floor(user_id / 3.0) + 1 AS INT) ELSE CAST(user_id % 3 + 1 AS INT) END AS scalar, user_id % 31 = 0 AND v = 'subject' AS invalid FROM (SELECT DISTINCT user_id FROM events) u, (VALUES ('subject'), ('exercise')) t(v)",
-    "missing_variables": "SELECT CAST(user_id AS VARCHAR) AS recording_id, 'rerepetition' AS missing FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 13 = 0) u",
+    "missing_variables": "SELECT CAST(user_id AS VARCHAR) AS recording_id, 'subject, rerepetition' AS missing FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 13 = 0) u",
     "channel_count_check": "SELECT CAST(label AS VARCHAR) AS recording_id, CASE WHEN min(len(embedding)) <> max(len(embedding)) THEN 'invalid_emg_shape' ELSE 'channel_count' END AS category, CASE WHEN min(len(embedding)) <> max(len(embedding)) THEN 'channels vary from ' || CAST(min(len(embedding)) AS VARCHAR) || ' to ' || CAST(max(len(embedding)) AS VARCHAR) ELSE 'observed=' || CAST(max(len(embedding)) AS VARCHAR) || ', expected=12' END AS detail FROM embeddings GROUP BY label HAVING min(len(embedding)) <> max(len(embedding)) OR max(len(embedding)) <> 12",
     "issues": f"{_AUDIT} SELECT * FROM iss",
     "file_inventory": f"{_AUDIT} SELECT * EXCLUDE (user_id) FROM fil",
@@ -205,17 +205,39 @@ SQL = {
     "dataset_summary": f"{_AUDIT}, {_FLAGS} {_SUMMARY}",
     "rollup_levels": f"{_AUDIT}, w AS (SELECT user_id, sum(gw) AS g, sum(cw) AS c FROM trl GROUP BY user_id) SELECT subject, recording_id, CAST(grouping(subject) * 2 + grouping(recording_id) AS INT) AS level, count(*) AS files, CAST(sum(emg_samples) AS BIGINT) AS samples, CAST(sum(coalesce(g, 0)) AS BIGINT) AS generator_windows, CAST(sum(coalesce(c, 0)) AS BIGINT) AS classifier_windows, CAST(sum(nonfinite_emg_values) AS BIGINT) AS nonfinite_values FROM fil f LEFT JOIN w ON f.user_id = w.user_id GROUP BY ROLLUP (subject, recording_id)",
     "audit_report_lines": f"{_AUDIT}, {_FLAGS}, sm AS ({_SUMMARY})" + """
-      SELECT CAST(0 AS INT) AS line_no, 'status: ' || upper(status) AS line FROM sm
-      UNION ALL SELECT 1, 'subjects: ' || CAST(subject_count AS VARCHAR) FROM sm
-      UNION ALL SELECT 2, 'files: ' || CAST(observed_file_count AS VARCHAR) || ' observed, ' || CAST(expected_file_count AS VARCHAR) || ' expected, ' || CAST(loaded_file_count AS VARCHAR) || ' loaded' FROM sm
-      UNION ALL SELECT 3, 'hours: ' || printf('%.3f', total_hours) FROM sm
-      UNION ALL SELECT 4, 'trials: ' || CAST(active_trial_segments AS VARCHAR) FROM sm
-      UNION ALL SELECT 5, 'windows: ' || CAST(generator_window_count AS VARCHAR) || ' generator, ' || CAST(classifier_window_count AS VARCHAR) || ' classifier' FROM sm
-      UNION ALL SELECT 6, 'tail tolerance ms: ' || printf('%.3f', max_tail_mismatch_ms) FROM sm
-      UNION ALL SELECT 7, 'aligned files: ' || CAST(aligned_file_count AS VARCHAR) FROM sm
-      UNION ALL SELECT 8, 'non-finite values: ' || CAST(nonfinite_emg_values AS VARCHAR) FROM sm
-      UNION ALL SELECT 9, 'channels: ' || CAST(constant_channels AS VARCHAR) || ' constant, ' || CAST(potential_saturation_channels AS VARCHAR) || ' possibly saturated' FROM sm
-      UNION ALL SELECT 10, 'issues: ' || CAST(error_count AS VARCHAR) || ' errors, ' || CAST(warning_count AS VARCHAR) || ' warnings' FROM sm
+      SELECT CAST(k - 1 AS INT) AS line_no, l[k] AS line FROM (SELECT [
+        'DATA AUDIT',
+        '==========',
+        'Status: ' || upper(audit_status),
+        'Source directory: DB',
+        'Primary labels: refined',
+        'Terminal alignment limit: 2 samples (1.000 ms)',
+        '',
+        'DATA ACCOUNTING',
+        'Subjects: ' || subject_count,
+        'MATLAB files: ' || successfully_loaded_file_count || ' loaded / ' || expected_file_count || ' expected',
+        'Trial segments: ' || trial_segment_count,
+        'Total EMG samples: ' || total_emg_samples,
+        'Total recording hours: ' || printf('%.3f', total_recording_hours),
+        '',
+        'WINDOW ACCOUNTING',
+        'Generator windows: ' || generator_window_count,
+        'Classifier windows: ' || classifier_window_count,
+        '',
+        'QUALITY SCREEN',
+        'Non-finite EMG values: ' || nonfinite_emg_values,
+        'Constant channel records: ' || constant_channels,
+        'Potential saturation channel records: ' || potential_saturation_channels,
+        'Stimulus/restimulus disagreement samples: ' || stimulus_restimulus_disagreement_samples,
+        'Repetition/rerepetition disagreement samples: ' || repetition_rerepetition_disagreement_samples,
+        'Files aligned at the terminal boundary: ' || aligned_file_count,
+        'EMG tail samples removed: ' || emg_tail_samples_removed,
+        'Label tail samples removed: ' || label_tail_samples_removed,
+        'Errors: ' || error_count,
+        'Warnings: ' || warning_count,
+        '',
+        'Interpret potential saturation as a screening flag, not an exclusion rule.',
+        'Review issues.csv and participant_summary.csv before creating splits.'] AS l FROM sm) x, range(1, 33) t(k)
     """,
     "content_manifest": "SELECT source AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents",
     "source_completeness": f"SELECT subject, count(*) AS file_count, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) = 50 AS complete FROM ({_D}) d GROUP BY subject",

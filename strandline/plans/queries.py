@@ -13,6 +13,8 @@ from strandline.sources.stage import written
 from strandline.sources.variables import missing_variables
 
 SATURATION = 0.01
+#: Samples of a chunk of the signals made from lineitem and embeddings.
+CHUNK = 4096
 
 
 def _aligned(e: b.Events) -> DataFrame:
@@ -35,7 +37,7 @@ def trial_inventory_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, found = _trials(spark, sf_dir, False)
+    e, found = _trials(spark, sf_dir, True)
     keep = ["recording_id", "start_sample", "sample_count", "generator_window_count", "classifier_window_count"]
     return trials.with_windows(found, e.params).select(*keep)
 
@@ -76,15 +78,15 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def channel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "percentile"))
+    return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "percentile", CHUNK))
 
 
 def channel_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "rank"))
+    return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "rank", CHUNK))
 
 
 def channel_quality_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.channel_statistics(b.embedding_signal(spark, sf_dir), SATURATION, "percentile"))
+    return _rounded(channels.channel_statistics(b.embedding_signal(spark, sf_dir), SATURATION, "rank", CHUNK))
 
 
 def channel_quality_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +94,7 @@ def channel_quality_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saturation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.saturation_candidates(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION)))
+    return _rounded(channels.saturation_candidates(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "rank", CHUNK)))
 
 
 def missing_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +152,7 @@ def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_audit(spark, sf_dir, "dataset_summary").drop("window_definitions", "subjects_requested"))
+    return _rounded(_audit(spark, sf_dir, "dataset_summary").drop("generator_window", "classifier_window", "subjects_requested"))
 
 
 def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +160,7 @@ def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.report_lines(_audit(spark, sf_dir, "dataset_summary"))
+    return rollup.report_lines(_audit(spark, sf_dir, "dataset_summary").withColumn("data_root", F.lit("DB")))
 
 
 def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,17 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by:
 
 
 def write_summary(summary: DataFrame, path: str, data_root: str) -> None:
-    """One JSON object with sorted keys; the wall clock and the root are added here only."""
-    full = summary.withColumns({"generated_utc": F.current_timestamp(), "data_root": F.lit(data_root)})
+    """One JSON object with sorted keys."""
+    full = stamped(summary, data_root)
     full.select(*sorted(full.columns)).coalesce(1).write.mode("overwrite").json(path)
 
 
+def stamped(summary: DataFrame, data_root: str) -> DataFrame:
+    """The summary with the wall clock (UTC, ISO 8601) and the root, which are added here only."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return summary.withColumns({"generated_utc": now, "data_root": F.lit(data_root)})
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
 
@@ -32,4 +38,4 @@ def write_audit(results: dict[str, DataFrame], root: str, data_root: str, format
     for name in TABLES:
         write_table(results[name], f"{root}/{name}", format)
     write_summary(results["dataset_summary"], f"{root}/audit_summary", data_root)
-    write_report(report_lines(results["dataset_summary"]), f"{root}/report")
+    write_report(report_lines(stamped(results["dataset_summary"], data_root)), f"{root}/report")

@@ -58,7 +58,7 @@ def test_missing_variables(spark):
     recordings = spark.createDataFrame([("a",), ("b",), ("c",)], "recording_id string")
     have = [("a", v) for v in ("emg", "stimulus", "restimulus", "repetition", "rerepetition", "subject", "exercise")] + [("b", "exercise"), ("b", "emg"), ("b", "odd")]
     got = {r.recording_id: r.missing for r in missing_variables(recordings, spark.createDataFrame(have, "recording_id string, variable string")).collect()}
-    assert got == {"b": "stimulus, restimulus, repetition, rerepetition, subject", "c": "emg, stimulus, restimulus, repetition, rerepetition, subject, exercise"}
+    assert got == {"b": "subject, stimulus, restimulus, repetition, rerepetition", "c": "subject, exercise, emg, stimulus, restimulus, repetition, rerepetition"}
 
 
 def test_sinks(spark, sf, tmp_path):
@@ -66,10 +66,19 @@ def test_sinks(spark, sf, tmp_path):
     sinks.write_summary(summary, str(tmp_path / "summary"), "/data")
     text = "".join(p.read_text() for p in (tmp_path / "summary").glob("*.json"))
     keys = list(json.loads(text))
-    assert keys == sorted(keys) and {"generated_utc", "data_root", "window_definitions"} <= set(keys)
-    sinks.write_report(report_lines(summary), str(tmp_path / "report"))
+    # The keys of the summary.
+    assert keys == sorted(
+        "audit_status generated_utc data_root label_source sampling_rate_hz expected_channels max_tail_mismatch_samples max_tail_mismatch_milliseconds subjects_requested subject_count "
+        "expected_file_count observed_file_count successfully_loaded_file_count trial_segment_count channel_record_count total_emg_samples total_recording_hours generator_window_count "
+        "classifier_window_count nonfinite_emg_values constant_channels potential_saturation_channels stimulus_restimulus_disagreement_samples repetition_rerepetition_disagreement_samples "
+        "aligned_file_count emg_tail_samples_removed label_tail_samples_removed error_count warning_count generator_window classifier_window".split()
+    )
+    assert json.loads(text)["generator_window"] == {"length_samples": 4, "step_samples": 2}
+    sinks.write_report(report_lines(sinks.stamped(summary, "/data")), str(tmp_path / "report"))
     lines = "".join(p.read_text() for p in (tmp_path / "report").glob("*.txt")).splitlines()
-    assert lines[0] == "status: FAIL" and len(lines) == 11
+    assert lines[:3] == ["DATA AUDIT", "==========", "Status: FAIL"] and len(lines) == 33
+    assert lines[3].startswith("Generated (UTC): 20") and lines[3].endswith("+00:00") and lines[4:7] == ["Source directory: /data", "Primary labels: refined", "Terminal alignment limit: 2 samples (1.000 ms)"]
+    assert [x for x in lines if not x or x.isupper()] == ["DATA AUDIT", "", "DATA ACCOUNTING", "", "WINDOW ACCOUNTING", "", "QUALITY SCREEN", ""]
     sinks.write_table(queries.trial_inventory(spark, sf), str(tmp_path / "t"), "csv", None)
     back = spark.read.option("header", True).csv(str(tmp_path / "t"))
     assert back.columns[:3] == ["subject", "exercise", "file"] and back.count() > 0
@@ -78,7 +87,7 @@ def test_sinks(spark, sf, tmp_path):
 
 
 def test_plans_have_no_python_and_prune(spark, sf):
-    for name in ("trial_windows", "channel_quality_rank", "issues"):
+    for name in queries.QUERIES:
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
     e = bindings.events(spark, sf)

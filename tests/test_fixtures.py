@@ -64,6 +64,29 @@ def test_repetition_alone_changes(spark, chunk):
     assert trials.label_runs(df, chunk).agg(F.sum(F.col("stop_sample") - F.col("start_sample"))).first()[0] == 6
 
 
+@pytest.mark.parametrize("chunk", [None, 2])
+def test_unequal_label_streams_are_refused(spark, chunk):
+    for movement, repetition in (([1, 1, 1], [1, 1, None]), ([1, None], [1, 1])):
+        with pytest.raises(Exception, match="must have the same length"):
+            trials.trials(trials.label_runs(labels(spark, movement, repetition), chunk)).collect()
+
+
+def test_expected_pairs(spark):
+    """Requested subjects count once each, and exercises are those of the label table."""
+    params = AuditParams(subjects=(3, 1, 1), expected_labels={2: (1,), 5: (2,)})
+    assert sorted(map(tuple, checks.requested_pairs(spark, params).collect())) == [(1, 2), (1, 5), (3, 2), (3, 5)]
+    assert params.requested_subjects == (1, 1, 3) and checks.requested_pairs(spark, AuditParams()).count() == 120
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 1000])
+def test_percentiles_in_ranges(spark, bucket):
+    """Percentiles do not depend on how the values are cut into ranges."""
+    rows = [[x] for x in (-1e308, 1e308, 0.0, 0.0, -0.0, 1.0, 2.5, 2.5, 7.0, 1e-300)]
+    plain = channels.long_signal(signal(spark, rows), False)
+    one, want = channels.value_statistics(plain, bucket).first(), channels.value_statistics(plain, 10**6).first()
+    assert one == want and one.extreme_repeat_fraction == 0.1 and one.median == 0.5
+
+
 def test_no_samples_no_trials(spark):
     assert trials.trials(trials.label_runs(labels(spark, [], []), 5)).count() == 0
 
@@ -131,7 +154,7 @@ def test_separate_streams(spark):
 
 
 def audit(spark, samples, recordings, **more):
-    params = AuditParams(expected_channels=2, max_tail_mismatch=1, subjects=(1,), generator=Window(2, 1), classifier=Window(1, 1), expected_labels={1: (1,)}, expected_repetitions=(1,), chunk_samples=2)
+    params = AuditParams(expected_channels=2, max_tail_mismatch=1, subjects=(1,), generator=Window(2, 1), classifier=Window(1, 1), expected_labels={1: (1,), 2: (), 3: ()}, expected_repetitions=(1,), chunk_samples=2)
     return audit_dataset(samples, recordings, checks.requested_pairs(spark, params), params, **more)
 
 
@@ -152,7 +175,7 @@ def test_audit_of_every_kind_of_issue(spark):
     assert ("load_failure", "no samples") in found
     assert ("invalid_metadata", "subject must contain a finite value") in found
     assert ("invalid_metadata", "stimulus has a gap before its end") in found
-    assert ("invalid_metadata", "length mismatch exceeds 1 samples: 3") in found
+    assert ("invalid_metadata", "time-series length mismatch exceeds 1 sample(s): emg=4, stimulus=4, restimulus=1, repetition=4, rerepetition=4") in found
     assert ("invalid_emg_shape", "channels vary from 2 to 4") in found
     assert ("channel_count", "observed=3, expected=2") in found
     assert ("movement_coverage", "observed=[1, 2], expected=[1]") in found
@@ -162,9 +185,10 @@ def test_audit_of_every_kind_of_issue(spark):
     assert set(files) == {"dir_a/same.mat", "dir_frag/same.mat", "dir_zero/same.mat"}
     assert files["dir_a/same.mat"].active_labels == "1" and files["dir_zero/same.mat"].emg_samples == 0
     summary = out["dataset_summary"].first()
-    assert summary.status == "fail" and summary.loaded_file_count == 3 and summary.observed_file_count == 8 and summary.expected_file_count == 3
+    assert summary.audit_status == "fail" and summary.successfully_loaded_file_count == 3 and summary.observed_file_count == 8 and summary.expected_file_count == 3
     levels = {r.level: r for r in out["rollup_levels"].collect()}
-    assert levels[3].samples == summary.total_samples == 8
+    assert levels[3].samples == summary.total_emg_samples == 8
+    assert summary.channel_record_count == sum(1 for _ in out["channel_quality"].collect()) and summary.trial_segment_count == out["trial_inventory"].count()
 
 
 def test_label_rules(spark):
