@@ -5,8 +5,8 @@ axis. A table's hash is the axes of several polytopes, of which the last may be
 logarithm of the number of vectors, so that a query meets an ever smaller share of them: about SHARE * n ** -FALL. Every vector
 stands in one bucket of each table; a query visits the buckets whose axes add up to the largest coordinates.
 
-Only ids and codes are shuffled for the tables. The pairs that meet are made distinct, and each vector is joined to the list of
-its queries once for each group of queries. Equal vectors are searched as one. A query that meets fewer than k others is compared
+Only ids and codes are shuffled for the tables. A vector's queries of all tables are made one list, and each vector is joined to
+its list once for each group of queries. Equal vectors are searched as one. A query that meets fewer than k others is compared
 with all vectors of its length.
 """
 
@@ -31,8 +31,8 @@ SHARE, FALL, PROBES = 1.83, 0.315, 96
 BLOCK_ROWS = 4096
 #: Queries of a group, about: their vectors stand in one task's memory.
 QUERY_ROWS = 2048
-#: Pairs that are scored at once.
-_PAIRS = 8192
+#: Pairs that are scored at once, and ids of queries that are passed on at once.
+_PAIRS, _IDS = 8192, 1 << 16
 
 
 def hadamard(n: int) -> np.ndarray:
@@ -125,24 +125,35 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(asks))], ["cell", "vec_id", "asks"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query_id, vec_id) of every query and vector of a cell, a bounded number at a time."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, queries): a row for each vector of a cell that queries visit, with their ids, a bounded number of ids at a time."""
     for t, number in sorted_runs(batches, ["cell", "block"]):
         ids, asks = t.column("vec_id").to_numpy(), t.column("asks").to_numpy()
         starts = np.flatnonzero(np.diff(number, prepend=-1))
-        us, vs, size = [], [], 0
+        rows, lists, sizes, held = [], [], [], 0
+
+        def packed(rows: list, lists: list, sizes: list) -> pa.RecordBatch:
+            ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["vec_id", "queries"])
+
         for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
             q, v = ids[s:e][asks[s:e]], ids[s:e][~asks[s:e]]
-            step = max(1, (1 << 20) // max(1, len(v)))
-            for i in range(0, len(q) if len(v) else 0, step):
-                us.append(np.repeat(q[i : i + step], len(v)))
-                vs.append(np.tile(v, len(q[i : i + step])))
-                size += len(us[-1])
-                if size >= 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["query_id", "vec_id"])
-                    us, vs, size = [], [], 0
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["query_id", "vec_id"])
+            if not len(q) or not len(v):
+                continue
+            for j in range(0, len(q), _IDS):
+                some = q[j : j + _IDS]
+                step = max(1, _IDS // len(some))
+                for i in range(0, len(v), step):
+                    part = v[i : i + step]
+                    rows.append(part)
+                    lists.append(np.tile(some, len(part)))
+                    sizes.append(np.full(len(part), len(some)))
+                    held += len(lists[-1])
+                    if held >= _IDS:
+                        yield packed(rows, lists, sizes)
+                        rows, lists, sizes, held = [], [], [], 0
+        if rows:
+            yield packed(rows, lists, sizes)
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -237,7 +248,7 @@ def searched(vectors: DataFrame, asks: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(query_id, vec_id) of all pairs that meet in some table, with repeats. classes: vec_id, v, asks."""
+    """(vec_id, queries): for each vector and each bucket it shares with queries, the list of these. classes: vec_id, v, asks."""
     counts = written(classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")), "ann-lengths")
     codes = written(classes.withColumn("d", F.size("v")).join(counts, "d").select("vec_id", "v", "asks", "n").mapInArrow(_codes, "cell bigint, vec_id bigint, asks boolean"), "ann-codes")
     # Buckets without a query or with few vectors need no blocks; the table of the others is written, so Spark sees its size.
@@ -245,15 +256,17 @@ def candidates(classes: DataFrame) -> DataFrame:
     one = F.array(F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     block = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(one))
     met = codes.join(large, "cell", "left").withColumn("block", block).select("cell", "block", "vec_id", "asks")
-    return met.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_pairs, "query_id bigint, vec_id bigint")
+    return met.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_lists, "vec_id bigint, queries array<bigint>")
 
 
-def reranked(classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score of the k best distinct pairs of each query."""
+def reranked(classes: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score of the k best distinct pairs of each query; met: candidates()."""
     asking = classes.where("asks").select("vec_id", "v")
     groups = max(1, -(-asking.count() // QUERY_ROWS))
     of = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(groups)).cast("int")
-    lists = written(pairs.groupBy("vec_id", of("query_id").alias("part")).agg(F.collect_set("query_id").alias("queries")), "ann-lists")
+    parted = met.withColumn("part", F.explode(F.array_distinct(F.transform("queries", of))))
+    parted = parted.select("vec_id", "part", F.filter("queries", lambda q: of(q) == F.col("part")).alias("queries"))
+    lists = written(parted.groupBy("vec_id", "part").agg(F.array_distinct(F.flatten(F.collect_list("queries"))).alias("queries")), "ann-lists")
     salts = written(lists.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("salts")), "ann-parts")
     left = lists.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("salts")).cast("int"))
     left = left.select("part", "salt", "vec_id", "queries").join(classes.select("vec_id", "v"), "vec_id").select("part", "salt", "vec_id", "v", "queries")
@@ -276,10 +289,10 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     asks = F.col("vec_id") % every == 0
     # Equal vectors are one class, named by its smallest vec_id; of its members only the k + 1 smallest can be among k nearest.
     classes = written(fine.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.max(asks).alias("asks")).select("vec_id", "v", "asks"), "ann-classes")
-    first = W.partitionBy("v").orderBy("vec_id")
-    named = lambda rows: rows.join(classes.select("v", F.col("vec_id").alias("class_id")), "v").select("class_id", "vec_id")
-    members = written(named(fine.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")), "ann-members")
-    queries = written(named(fine.where(asks)).withColumnRenamed("vec_id", "query_id"), "ann-queries")
+    named = written(fine.join(classes.select("v", F.col("vec_id").alias("class_id")), "v").select("class_id", "vec_id"), "ann-named")
+    first = W.partitionBy("class_id").orderBy("vec_id")
+    members = named.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
+    queries = named.where(asks).withColumnRenamed("vec_id", "query_id")
 
     def expanded(found: DataFrame) -> DataFrame:
         """The k best rows of each query from the best classes of its class."""
