@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys with more than 1 / MOST of all rows, and at least LEAST rows, are split: fewer than MOST keys, so their list has a bound.
-MOST, LEAST = 4096, 512
+MOST, LEAST = 4096, 200_000
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -15,6 +15,8 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     total: number of rows, or more. A hot key's rows are dealt into parts by a hash of the whole row, and its row of keyed is
     repeated for each part. Only the list of hot keys, which is shorter than MOST, is broadcast.
     """
+    if total <= LEAST:
+        return rows.join(keyed, keys)
     limit = max(LEAST, total // MOST)
     parts = F.ceil(F.col(count) / limit).cast("int")
     hot = keyed.where(F.col(count) > limit).select(*keys, parts.alias("_parts"))

@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.store import free, written
+
 WINDOW = 256
 WIDTHS, FILTERS, DIMENSION = (2, 3, 4), 16, 8
 _WIDEST = max(WIDTHS)
-#: The documented bounds of the training sample: expected labelled texts, drawn by a hash of doc_id, and windows of each.
-TRAIN_ROWS, TRAIN_WINDOWS = 4000, 3
+#: The documented bounds of the training sample: expected labelled texts in all, drawn by a hash of doc_id in equal numbers for each
+#: language, the least number of a language where there are many, and windows of each text.
+TRAIN_ROWS, LEAST_ROWS, TRAIN_WINDOWS = 4000, 200, 3
 EPOCHS, BATCH, RATE = 6, 128, 0.004
 #: Steps of training at least, so that a few texts are gone through more often, and the share of windows in upper case.
 STEPS, UPPER = 800, 0.15
@@ -134,12 +137,14 @@ def learnable(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Network | None:
     """Network of the rows with a lang, or None without any. About TRAIN_ROWS texts are drawn by hash, with up to TRAIN_WINDOWS evenly spread windows each.
 
-    Only these few windows reach the driver.
+    Every language has the same share of the sample, however rare it is; one of fewer texts is taken whole. Only these few
+    windows reach the driver.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    share = 1_000_000 if n <= TRAIN_ROWS else int(1_000_000 * TRAIN_ROWS / n)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < share)
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    each = max(LEAST_ROWS, TRAIN_ROWS // max(1, counts.count()))
+    rates = counts.select(F.col("lang").alias("l"), F.least(F.lit(1_000_000), F.ceil(F.lit(1_000_000.0) * each / F.col("n"))).alias("rate"))
+    drawn = known.join(rates, F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < F.col("rate"))
     raw = F.col("text").cast("binary")
     gap = F.greatest(F.floor(F.octet_length("text") / TRAIN_WINDOWS), F.lit(WINDOW)).cast("int")
     cuts = F.array(*[F.substring(raw, gap * i + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)])
@@ -189,7 +194,7 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], np
 
 
 def label(docs: DataFrame, net: Network | None, carry: list[str] | None = None) -> DataFrame:
-    """The columns of docs in ``carry`` (all, if None), lang_pred and score. The network (some 10 KB) is broadcast."""
+    """The columns of docs in ``carry`` (all, if None), lang_pred and score (with "_" in front where one of them has that name). The network (some 10 KB) is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,7 @@ def label(docs: DataFrame, net: Network | None, carry: list[str] | None = None)
     carry, kinds = docs.columns if carry is None else carry, dict(docs.dtypes)
     carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + ["lang_pred string", "score double"])
-    return carried.mapInArrow(run, schema).toDF(*carry, "lang_pred", "score")
+    return carried.mapInArrow(run, schema).toDF(*carry, free(carry, "lang_pred"), free(carry, "score"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

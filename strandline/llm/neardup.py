@@ -32,7 +32,7 @@ NATS = 12.5  # five standard deviations
 #: Buckets up to this size are compared pair by pair; members of larger ones join one family, which verification takes apart.
 BUCKET = 256
 #: A block of a family has about so many documents and shingles at most.
-BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 600_000
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 512, 200_000
 #: Bits of the filter that spares texts outside families a second transfer; fixed, so its size has a bound (1 MB).
 FILTER_BITS = 1 << 23
 #: Pairs whose likelihoods are in memory at once.
@@ -177,7 +177,8 @@ def _links(numerator: int, denominator: int):
             for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if e - s < 2:
                     continue
-                words = [w for _, w in text_words(texts.slice(s, e - s).combine_chunks())]
+                part = texts.slice(s, e - s).combine_chunks()
+                words = [w for _, w in text_words(part)]
                 split = block[s:e] == low[s]
                 ra, rb = np.flatnonzero(split), np.flatnonzero(~split)
                 if not len(ra):

@@ -17,10 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, linked from a similarity of 0.85 on."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     from strandline.llm.toxicity import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -36,6 +38,7 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, checksum, shard (of 24) and slot; the law is that of rows, so grown_shard is null."""
     from strandline.llm.sharding import LAW, digest, shard
 
     out = shard(digest(_table(spark, sf_dir, "documents")), 24)
@@ -43,18 +46,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its block, release time, deadline, slot and position in the mix of sources."""
     from strandline.llm.mixing import schedule
 
     return schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
 
 
 def op6_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every vector whose vec_id is divisible by 50."""
     from strandline.llm.ann import neighbours
 
     return neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest integer products of every vector whose vec_id is divisible by 100."""
     from strandline.llm.topk import top_products
 
     return top_products(_table(spark, sf_dir, "embeddings"), every=100, k=10)
@@ -68,12 +74,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) ->
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, main text and its length of every page."""
     from strandline.llm.html import extract
 
     return extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
     from strandline.llm.langid import identify
 
     return identify(_table(spark, sf_dir, "documents"))

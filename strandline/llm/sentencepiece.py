@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.store import free
+
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]+|{MARK}+")
 # Piece kinds and model kinds of the file format.
@@ -83,6 +85,8 @@ class Model:
         if self.kind not in (UNIGRAM, BPE) or charsmap or extra or USER in self.kinds:
             raise ValueError("only unigram and BPE models with identity normalisation, kept white space and no user-defined pieces are compiled")
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
+        if len(self.byte) not in (0, 256):
+            raise ValueError("byte fallback needs a piece for each byte")
         self.unknown = self.kinds.index(UNKNOWN)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         if self.kind == BPE:
@@ -97,8 +101,8 @@ class Model:
                 for c in reversed(p):
                     node = node.setdefault(c, {})
                 node[""] = i
-        #: Words can be taken one by one: no piece has a mark after another character.
-        self.by_word = self.prefix and not any(MARK in p.lstrip(MARK) for p in self.ids)
+        #: Words can be taken one by one: no piece has a mark after another character, and no run of unknown ones goes over a mark.
+        self.by_word = self.prefix and not any(MARK in p.lstrip(MARK) for p in self.ids) and bool(self.byte or MARK in self.ids)
 
     def _spines(self) -> None:
         """For each piece that merging can make: the parts at its right and left end and the rank at which each goes up."""
@@ -139,7 +143,7 @@ class Model:
                 j += 1
 
     def fallback(self, c: str) -> list[int]:
-        return [self.byte[x] for x in c.encode()] if len(self.byte) == 256 else [self.unknown]
+        return [self.byte[x] for x in c.encode()] if self.byte else [self.unknown]
 
 
 class Encoder:
@@ -169,7 +173,7 @@ class Encoder:
         """(word, piece ids) of some normalised words. They are taken in sorted order: what was found for the beginning that a
         word shares with the one before it holds for it too, since a state depends only on what stands before its position."""
         bpe, ids, follows, top = self.model.kind == BPE, self.model.ids, self._follows, self.model.trie
-        scores, least = self.model.scores, self.least
+        scores, least, unknown = self.model.scores, self.least, self.model.unknown
         before, last, came, cost = "", [-1], [0], [0.0]
         for word in sorted(words):
             n = len(word)
@@ -211,6 +215,8 @@ class Encoder:
                     out += self.model.fallback(word[e - 1])[::-1]
                 e = came[e]
             out.reverse()
+            if not self.model.byte:  # without byte fallback a run of unknown characters is one piece
+                out = [x for i, x in enumerate(out) if x != unknown or not i or out[i - 1] != unknown]
             before = word
             yield word, array("i", out).tobytes()
 
@@ -247,12 +253,6 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def _free(names: list[str], new: str) -> str:
-    while new in names:
-        new = "_" + new
-    return new
-
-
 def encode(docs: DataFrame, model: Model, check: bool = False, carry: list[str] | None = None) -> DataFrame:
     """The columns of docs in ``carry`` (all, if None), n_tokens and ids, from the whole text. A column of docs that has one of these names keeps it, and the new one gets "_" in front.
 
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, model: Model, check: bool = False, carry: list[str]
     names = [f"_{i}" for i in range(len(carry))] + added
     new = ["n_tokens bigint", "ids array<int>", "decodes boolean"][: len(added)]
     schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + new)
-    return carried.mapInArrow(run, schema).toDF(*carry, *[_free(carry, a) for a in added])
+    return carried.mapInArrow(run, schema).toDF(*carry, *[free(carry, a) for a in added])
 
 
 def decode(coded: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
@@ -301,4 +301,4 @@ def decode(coded: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     names = [f"_{i}" for i in range(len(coded.columns))] + ["text_decoded"]
     carried = coded.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(coded.columns)], F.col(ids).alias("_ids"))
     schema = ", ".join([f"_{i} {t}" for i, (_, t) in enumerate(coded.dtypes)] + ["text_decoded string"])
-    return carried.mapInArrow(run, schema).toDF(*coded.columns, _free(coded.columns, "text_decoded"))
+    return carried.mapInArrow(run, schema).toDF(*coded.columns, free(coded.columns, "text_decoded"))

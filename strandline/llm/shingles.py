@@ -63,7 +63,8 @@ def words_of(raw: bytes, separators: np.ndarray = _SPACE) -> Words:
     data = _LOWER[bytes_in]
     data[apart] = 32
     edge = np.flatnonzero(np.diff((~apart).astype(np.int8), prepend=0, append=0))
-    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    edge = edge.astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    start, size = edge[0::2].copy(), edge[1::2] - edge[0::2]
     code = _SEED ^ (size.astype(np.uint64) * _STEP)
     eights = _eights(data)
     some = np.arange(len(start))
@@ -175,14 +176,11 @@ def faithful(texts: list[Words]) -> bool:
     if len(same) and _differ(whole, order[same], order[same + 1]):
         return False
     # Words are told apart by their hashes now; so are shingles if equal hashes have equal words.
-    codes, begin, count, at = [], [], [], 0
-    for t in texts:
-        c = shingle_codes(t)
-        codes.append(c)
-        begin.append(at + np.arange(len(c)))
-        count.append(np.full(len(c), min(len(t.code), WORDS)))
-        at += len(t.code)
-    code, begin, count = np.concatenate(codes), np.concatenate(begin), np.concatenate(count)
+    sizes = np.array([len(t.code) for t in texts])
+    number = np.maximum(sizes - WORDS + 1, 1)
+    code = np.concatenate([shingle_codes(t) for t in texts])
+    begin = (np.arange(len(code)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(number) + number, number)).astype(np.int32)
+    count = np.repeat(np.minimum(sizes, WORDS), number).astype(np.int8)
     order = np.argsort(code, kind="stable")
     same = np.flatnonzero(code[order[1:]] == code[order[:-1]])
     i, j = order[same], order[same + 1]

@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import shingles as S
+from strandline.llm.store import free
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
 #: The documented bound of the training sample: expected labelled rows, drawn by a hash of doc_id, and passes over them.
 TRAIN_ROWS, PASSES = 20_000, 4
-#: Feature indexes that the training task keeps for its later passes; rows beyond are used in the first pass only.
-TRAIN_FEATURES = 30_000_000
 THRESHOLD = 0.3
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -67,18 +66,11 @@ class Ftrl:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, kept, size = Ftrl(), [], 0
+    model = Ftrl()
     for batch in batches:
         labels = batch.column("toxic").to_pylist()
         for row, words in S.text_words(batch.column("text"), _SEPARATORS):
-            present = np.unique(features(words.code)).astype(np.int32) if len(words.code) else np.empty(0, np.int32)
-            model.learn(present, labels[row])
-            if size + len(present) <= TRAIN_FEATURES:
-                kept.append((present, labels[row]))
-                size += len(present)
-    for _ in range(PASSES - 1):
-        for present, label in kept:
-            model.learn(present, label)
+            model.learn(np.unique(features(words.code)) if len(words.code) else np.empty(0, np.int64), labels[row])
     if model.rows:
         w = model.weights(slice(0, 1 << BITS))
         at = np.flatnonzero(w)
@@ -88,19 +80,21 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(feature, weight) of a model of the rows of labels whose toxic is 0 or 1; feature -1 is the bias.
 
-    Rows are drawn by a hash of doc_id, TRAIN_ROWS of them as expected, and go to one task: its input has that bound.
+    Rows are drawn by a hash of doc_id, TRAIN_ROWS of them as expected, and go to one task, PASSES times over: its input has that
+    bound, and it holds one batch of texts at a time, of whatever length.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     share = 1_000_000 if n <= TRAIN_ROWS else int(1_000_000 * TRAIN_ROWS / n)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most about TRAIN_ROWS rows
-    one = rows.select("toxic", "text", F.xxhash64("doc_id").alias("order")).repartition(1).sortWithinPartitions("order").select("toxic", "text")
-    return one.mapInArrow(_train, "feature bigint, weight double")
+    again = F.explode(F.array(*map(F.lit, range(PASSES))))
+    one = rows.select("toxic", "text", F.xxhash64("doc_id").alias("order"), again.alias("pass")).repartition(1).sortWithinPartitions("pass", "order")
+    return one.select("toxic", "text").mapInArrow(_train, "feature bigint, weight double")
 
 
 def score(docs: DataFrame, weights: list[tuple[int, float]], carry: list[str] | None = None) -> DataFrame:
-    """The columns of docs in ``carry`` (all, if None) and score. weights: the few that training left, with the bias under -1. Without any, scores are 0."""
+    """The columns of docs in ``carry`` (all, if None) and score (with "_" in front where one of them has that name). weights: the few that training left, with the bias under -1. Without any, scores are 0."""
     spark = docs.sparkSession
     table = np.zeros(1 << BITS, np.float32)
     bias = None
@@ -129,7 +123,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], carry: list[str] |
     carry, kinds = docs.columns if carry is None else carry, dict(docs.dtypes)
     carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + ["score double"])
-    return carried.mapInArrow(run, schema).toDF(*carry, "score")
+    return carried.mapInArrow(run, schema).toDF(*carry, free(carry, "score"))
 
 
 def learnable(doc_id: Column) -> Column:

@@ -39,6 +39,42 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[name][at]) < 1e-4
 
 
+def test_against_plain_forward_pass(monkeypatch):
+    """Every filter at every place, by loops."""
+    monkeypatch.setattr(langid, "STEPS", 60)
+    parts = [b"the cat and the dog and the house are here", b"der hund und die katze und das haus sind da"] * 10
+    net = fit(parts, np.array([0, 1] * 10), ["en", "de"])
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    text = "der Hund \u00e9tait l\u00e0 " * 15
+    raw, total = text.encode(), np.zeros(2)
+    for s in range(0, len(raw), langid.WINDOW):
+        part = raw[s : s + langid.WINDOW]
+        codes = [*part, *[256] * (langid.WINDOW + 3 - len(part))]
+        h = []
+        for f in range(len(langid.WIDTHS) * langid.FILTERS):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            best = max(sum(p["embed"][codes[i + j]] @ p["conv"][j * langid.DIMENSION : (j + 1) * langid.DIMENSION, f] for j in range(width)) for i in range(langid.WINDOW))
+            h.append(max(0.0, best + p["bias"][f]))
+        out = np.exp(np.array(h) @ p["out"] + p["last"])
+        total += out / out.sum() * len(part)
+    names, scores = predict(net, [text])
+    assert names == [["en", "de"][int(total.argmax())]] and abs(scores[0] - total.max() / len(raw)) < 1e-4
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """A language with a thousandth of the rows is in the sample with as many texts as the others, or all it has."""
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 5)
+    monkeypatch.setattr(langid, "STEPS", 250)
+    rows = [Row(i, f"the cat and the dog {i} are here with the house", "en", "x", 1) for i in range(6000)] + [Row(10_000 + i, f"der hund und die katze {i} sind da im haus", "de", "x", 1) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert langid.train(df).languages == ["de", "en"]
+    ask = spark.createDataFrame([Row(1, "die katze und der hund sind im haus", None, "x", 1)], SCHEMA)
+    assert langid.label(ask, langid.train(df), carry=["doc_id"]).first().lang_pred == "de"
+    clash = langid.label(ask, langid.train(df))
+    assert clash.columns == ["doc_id", "text", "lang", "score", "lang_pred", "_lang_pred", "_score"]
+
+
 def test_whole_text_counts(monkeypatch):
     monkeypatch.setattr(langid, "STEPS", 200)
     parts = [b"the cat and the dog and the house are here", b"der hund und die katze und das haus sind da"] * 40

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import Row
 
 from strandline.llm import sentencepiece as S
@@ -14,8 +15,6 @@ from strandline.llm.queries import PIECES
 
 @pytest.fixture(scope="module")
 def both():
-    import sentencepiece
-
     model = S.load(PIECES)
     return sentencepiece.SentencePieceProcessor(model_file=PIECES), S.Encoder(model), model
 
@@ -109,6 +108,21 @@ def test_unigram():
     assert ids(own, "axb")[2] == model.unknown or model.unknown in ids(own, "axb")
 
 
+def test_unknown_runs_are_one_piece():
+    """Without byte fallback, the ids of the public library."""
+    for pieces in ({"\u2581": -4.0, "a": -3.0, "b": -3.5, "ab": -4.0, "\u2581a": -5.0}, {"a": -3.0, "b": -3.5, "ab": -4.0}):
+        data = message(1, message(1, b"<unk>") + number(3, 0, b"\x02"))
+        for p, s in pieces.items():
+            data += message(1, message(1, p.encode()) + number(2, 5, struct.pack("<f", s)))
+        trainer = message(2, number(3, 0, b"\x01"))
+        normaliser = message(3, message(1, b"identity") + number(3, 0, b"\x01") + number(4, 0, b"\x00") + number(5, 0, b"\x01"))
+        library = sentencepiece.SentencePieceProcessor()
+        library.LoadFromSerializedProto(data + trainer + normaliser)
+        own = S.Encoder(S.Model(data + trainer + normaliser))
+        for text in ("axxxb", "xx", "x y", "ab xxab", "xxa xx xb", "a"):
+            assert ids(own, text) == library.encode(text), text
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         S.Model(message(2, number(3, 0, b"\x03")))
