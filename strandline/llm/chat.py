@@ -85,8 +85,8 @@ def with_neighbour_replies(turns: DataFrame) -> DataFrame:
     swapped = per.withColumn("reply", F.coalesce(following, F.lit("")))
     # Turns of one conversation that repeat the last one, row for row, are all replaced.
     joined = named.join(swapped, "conv_id")
-    last = F.struct("turn", "role", "text") == F.col("last")
-    return joined.select("conv_id", "turn", "role", F.when(F.coalesce(last, F.lit(False)), F.col("reply")).otherwise(F.col("text")).alias("text"))
+    last = F.struct("turn", "role", "text").eqNullSafe(F.col("last"))
+    return joined.select("conv_id", "turn", "role", F.when(last & F.col("last").isNotNull(), F.col("reply")).otherwise(F.col("text")).alias("text"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -41,6 +41,16 @@ def test_neighbours(spark):
     assert got == {(1, 0): "q", (1, 1): "a2", (1, 2): "t", (2, 0): "", (3, 0): "u", (5000, 0): "alone"}
 
 
+def test_repeated_and_unnumbered_last_turns(spark):
+    """A last turn that is given twice is replaced twice; turns without a number come first, in the order of role and text."""
+    c = frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 1, "assistant", "a1"), (2, None, "assistant", "b1"), (2, None, "assistant", "b2"), (2, None, None, None)])
+    got = sorted(((r.conv_id, str(r.turn), r.text or "") for r in with_neighbour_replies(c).collect()))
+    assert got == [(1, "0", "q"), (1, "1", "b2"), (1, "1", "b2"), (2, "None", ""), (2, "None", "a1"), (2, "None", "b1")]
+    out = {r.pair_id: r for r in preference(c, with_neighbour_replies(c), "conv_id").collect()}
+    assert (out[1].prefix_turns, len(out[1].chosen_spans)) == (1, 2) and out[1].trainable
+    assert out[2].prefix_turns == 1 and out[2].prompt == "<||>\n<|end|>\n"
+
+
 def test_long_and_empty(spark):
     long = frame(spark, [(1, i, "assistant" if i % 2 else "user", "x" * 50) for i in range(400)])
     out = preference(long, long.where("turn < 399"), "conv_id").collect()[0]
