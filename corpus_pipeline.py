@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import langid, mixing, neardup, sentencepiece, toxicity
 from strandline.llm.queries import PIECES
-from strandline.llm.store import discard, written
+from strandline.llm.store import discard, free, written
 
 #: A text whose best language is less sure than this is no text in a known language.
 SURE = 0.3
@@ -49,10 +49,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: tu
     Null, empty and blank texts are duplicates of nothing. Rows without a doc_id name no document: they stay, and drop no other.
     """
     found = neardup.near_duplicates(docs, threshold).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
-    marked = written(found.where("not kept or rows > 1").select(F.col("doc_id").alias("_doc_id"), (~F.col("kept")).alias("_drop")), "dedup-marked")
-    same = F.col("_doc_id") == F.col("doc_id")
-    once = docs.join(marked, same, "left_anti")
-    repeated = docs.join(marked.where("not _drop").select("_doc_id"), same, "left_semi").dropDuplicates(["doc_id"])
+    name = free(docs.columns, "_marked")
+    marked = written(found.where("not kept or rows > 1").select(F.col("doc_id").alias(name), "kept"), "dedup-marked")
+    same = F.col(name) == F.col("doc_id")
+    once = docs.join(marked.select(name), same, "left_anti")
+    repeated = docs.join(marked.where("kept").select(name), same, "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated)
 
 
