@@ -88,6 +88,13 @@ def events(spark: SparkSession, sf_dir: str, params: AuditParams = EVENT_PARAMS)
     return Events(samples, recordings, raw, catalogue, scalars, params)
 
 
+def event_pairs(spark: SparkSession, sf_dir: str, params: AuditParams = EVENT_PARAMS) -> DataFrame:
+    """(subject, exercise) that are expected: all subjects up to ten more than the table has."""
+    last = table(spark, sf_dir, "events").agg(F.floor(F.max("user_id") / 3).alias("last")).where("last is not null")
+    subjects = last.select(F.explode(F.sequence(F.lit(1), (F.col("last") + 11).cast("int"))).alias("subject"))
+    return subjects.select("subject", F.explode(F.array(*map(F.lit, params.exercises))).alias("exercise"))
+
+
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File paths built from events, with rejects and a case variant."""
     user = F.col("user_id")

@@ -101,7 +101,7 @@ p AS (
     ELSE 'S' || CAST(s AS VARCHAR) || '_E' || CAST(e AS VARCHAR) || '_A' || CAST(a AS VARCHAR) || '.mat' END AS path FROM q)
 """
 _GOOD = "SELECT s AS subject, e AS exercise FROM p WHERE user_id % 25 <> 3"
-_EXPECTED = "SELECT CAST(x AS INT) AS subject, CAST(y AS INT) AS exercise FROM range(1, 61) t(x), range(1, 4) z(y)"
+_EXPECTED = "SELECT CAST(x AS INT) AS subject, CAST(y AS INT) AS exercise FROM (SELECT unnest(range(1, CAST(max(user_id) // 3 + 12 AS BIGINT))) AS x FROM events) t, range(1, 4) z(y)"
 # Recordings of the audit: one file for each user, a second (without samples) for every tenth.
 _REC = """
 rec AS (
@@ -109,9 +109,10 @@ rec AS (
   UNION ALL SELECT user_id, CAST(floor(user_id / 3.0) + 1 AS INT), CAST(user_id % 3 + 1 AS INT), 2, CAST(sum(octet_length(encode(props))) AS BIGINT) FROM events WHERE user_id % 10 = 0 GROUP BY user_id),
 """
 _ISSUES = f"""
+xpd AS ({_EXPECTED}),
 iss AS (
   SELECT 'error' AS severity, x.subject, x.exercise, CAST(NULL AS VARCHAR) AS file, 'missing_file' AS category, 'expected one MATLAB file' AS detail
-    FROM ({_EXPECTED}) x WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.subject = x.subject AND r.exercise = x.exercise)
+    FROM xpd x WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.subject = x.subject AND r.exercise = x.exercise)
   UNION ALL SELECT 'error', subject, exercise, NULL, 'duplicate_file', 'observed ' || CAST(count(*) AS VARCHAR) || ' MATLAB files' FROM rec GROUP BY subject, exercise HAVING count(*) > 1
   UNION ALL SELECT 'error', subject, exercise, {_FILE.replace("_A1", "_A2")}, 'load_failure', 'no samples' FROM rec WHERE a = 2
   UNION ALL SELECT 'error', subject, exercise, {_FILE}, stop_category, stop_detail FROM chk WHERE stop_category IS NOT NULL
@@ -162,13 +163,13 @@ SELECT (SELECT count(DISTINCT subject) FROM fil) AS subject_count, (SELECT count
   CAST((SELECT sum(nonfinite_emg_values) FROM fil) AS BIGINT) AS nonfinite_emg_values, (SELECT count(*) FROM fil WHERE trailing_samples_removed > 0) AS aligned_file_count,
   CAST((SELECT sum(emg_samples_removed) FROM fil) AS BIGINT) AS emg_tail_samples_removed, CAST((SELECT sum(stimulus_samples_removed + restimulus_samples_removed + repetition_samples_removed + rerepetition_samples_removed) FROM fil) AS BIGINT) AS label_tail_samples_removed,
   CAST((SELECT sum(stimulus_restimulus_disagreement_samples) FROM fil) AS BIGINT) AS stimulus_restimulus_disagreement_samples, CAST((SELECT sum(repetition_rerepetition_disagreement_samples) FROM fil) AS BIGINT) AS repetition_rerepetition_disagreement_samples,
-  CAST(180 AS BIGINT) AS expected_file_count, (SELECT count(*) FROM rec) AS observed_file_count,
+  (SELECT count(*) FROM xpd) AS expected_file_count, (SELECT count(*) FROM rec) AS observed_file_count,
   CAST((SELECT sum(gw) FROM trl) AS BIGINT) AS generator_window_count, CAST((SELECT sum(cw) FROM trl) AS BIGINT) AS classifier_window_count,
   CAST((SELECT sum(constant) FROM flg) AS BIGINT) AS constant_channels, CAST((SELECT sum(sat) FROM flg) AS BIGINT) AS potential_saturation_channels,
   (SELECT count(*) FROM iss WHERE severity = 'error') AS error_count, (SELECT count(*) FROM iss WHERE severity = 'warning') AS warning_count,
   CASE WHEN (SELECT count(*) FROM iss WHERE severity = 'error') = 0 THEN 'pass' ELSE 'fail' END AS audit_status,
   round((SELECT sum(emg_samples) FROM fil) / 2000.0 / 3600.0, 6) AS total_recording_hours, 2000 AS sampling_rate_hz, 5 AS expected_channels, 'refined' AS label_source, 2 AS max_tail_mismatch_samples,
-  CAST(1.0 AS DOUBLE) AS max_tail_mismatch_milliseconds, CAST(0.001 AS DOUBLE) AS extreme_repeat_threshold
+  CAST(1.0 AS DOUBLE) AS max_tail_mismatch_milliseconds
 """
 _T = "WITH " + _E + _ALIGNED + _RUNS
 _INV = f"{_T} SELECT {_INVENTORY} FROM trl"

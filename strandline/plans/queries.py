@@ -99,7 +99,7 @@ def saturation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.parse_identity(b.event_paths(spark, sf_dir), strict=False).dropna(subset=["subject"])
-    return checks.missing_recordings(checks.requested_pairs(spark, b.EVENT_PARAMS), found)
+    return checks.missing_recordings(b.event_pairs(spark, sf_dir), found)
 
 
 def duplicate_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def channel_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _audit(spark: SparkSession, sf_dir: str, result: str) -> DataFrame:
     """One result over the events; the small tables it is made of are written once."""
     e = b.events(spark, sf_dir)
-    return audit_dataset(e.samples, e.recordings, checks.requested_pairs(spark, e.params), e.params, e.catalogue, e.scalars, e.raw, results=(result,), keep=written)[result]
+    return audit_dataset(e.samples, e.recordings, b.event_pairs(spark, sf_dir), e.params, e.catalogue, e.scalars, e.raw, results=(result,), keep=written)[result]
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def extracted_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def content_manifest(table: DataFrame, subject: str, content: str) -> DataFrame:
-    """Per subject: file count, bytes, and one digest over each content, for content that is already in a table."""
+    """subject, bytes and SHA-256 of each row's content, for content that is already in a table."""
     return table.select(
         F.col(subject).alias("subject"),
         F.octet_length(content).cast("bigint").alias("bytes"),
