@@ -6,6 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Rows of an Arrow batch of texts, unless the session has its own setting: a batch is in memory several times, here and in the JVM.
+TEXT_ROWS = 2048
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def slim(texts: DataFrame) -> DataFrame:
+    """The same rows, which go to Python workers in batches of TEXT_ROWS where the session has Spark's default of 10,000."""
+    conf = texts.sparkSession.conf
+    if conf.get(_SETTING) == "10000":
+        conf.set(_SETTING, TEXT_ROWS)
+    return texts
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandline.llm.batches import slim
+
 # Element names.
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -346,4 +348,4 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     ids = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {ids['page_id']}, url {ids['url']}, text string, n_chars bigint")
+    return slim(pages).select("page_id", "url", "html").mapInArrow(run, f"page_id {ids['page_id']}, url {ids['url']}, text string, n_chars bigint")

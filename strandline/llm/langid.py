@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import slim
 from strandline.llm.store import free, written
 
 WINDOW = 256
@@ -204,7 +205,7 @@ def label(docs: DataFrame, net: Network | None, carry: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     carry, kinds = docs.columns if carry is None else carry, dict(docs.dtypes)
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
+    carried = slim(docs).select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + ["lang_pred string", "score double"])
     return carried.mapInArrow(run, schema).toDF(*carry, free(carry, "lang_pred"), free(carry, "score"))
 

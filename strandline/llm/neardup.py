@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import setsketch as K
-from strandline.llm.batches import sorted_runs
+from strandline.llm.batches import slim, sorted_runs
 from strandline.llm.graph import components, small_components
 from strandline.llm.hot import spread_join
 from strandline.llm.shingles import Words, exact_shingles, faithful, sequence, shingles, text_words
@@ -53,7 +53,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a digest of the word sequence, and the registers."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, words binary, sketch binary")
+    return slim(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, words binary, sketch binary")
 
 
 def _pairs(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

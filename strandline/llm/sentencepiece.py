@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import slim
 from strandline.llm.store import free
 
 MARK = "▁"
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, model: Model, check: bool = False, carry: list[str]
 
     carry = docs.columns if carry is None else carry
     kinds = dict(docs.dtypes)
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
+    carried = slim(docs).select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     added = ["n_tokens", "ids"] + ["decodes"] * check
     names = [f"_{i}" for i in range(len(carry))] + added
     new = ["n_tokens bigint", "ids array<int>", "decodes boolean"][: len(added)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import shingles as S
+from strandline.llm.batches import slim
 from strandline.llm.store import free
 
 BITS = 20
@@ -87,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = known.count()
     share = 1_000_000 if n <= TRAIN_ROWS else int(1_000_000 * TRAIN_ROWS / n)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most about TRAIN_ROWS rows
+    rows = slim(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most about TRAIN_ROWS rows
     again = F.explode(F.array(*map(F.lit, range(PASSES))))
     one = rows.select("toxic", "text", F.xxhash64("doc_id").alias("order"), again.alias("pass")).repartition(1).sortWithinPartitions("pass", "order")
     return one.select("toxic", "text").mapInArrow(_train, "feature bigint, weight double")
@@ -121,7 +122,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], carry: list[str] |
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
 
     carry, kinds = docs.columns if carry is None else carry, dict(docs.dtypes)
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
+    carried = slim(docs).select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     schema = ", ".join([f"_{i} {kinds[c]}" for i, c in enumerate(carry)] + ["score double"])
     return carried.mapInArrow(run, schema).toDF(*carry, free(carry, "score"))
 
