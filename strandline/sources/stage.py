@@ -19,10 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of the application's own in the shared one, which no other step uses."""
+    return f"{shared_folder(spark)}/strandline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back. A lost executor costs only the tasks it had."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
