@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch of texts, unless the session has its own setting: a batch is in memory several times, here and in the JVM.
 TEXT_ROWS = 2048
@@ -21,6 +22,18 @@ def slim(texts: DataFrame) -> DataFrame:
     return texts
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, jobs send TEXT_ROWS rows a batch to Python workers where the session has Spark's default of 10,000; afterwards the setting is as before."""
+    before = spark.conf.get(_SETTING)
+    try:
+        if before == "10000":
+            spark.conf.set(_SETTING, TEXT_ROWS)
+        yield
+    finally:
+        spark.conf.set(_SETTING, before)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys of sorted batches, with the run's number of each row."""
     kept: list[pa.RecordBatch] = []  # parts of the last run, put together once it ends

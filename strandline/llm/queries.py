@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, merkle, mixing, neardup
+from strandline.llm import chat, merkle, mixing, neardup, warc
 
 
-#: Vocabulary file of the tokenizer; never copied into the repository.
+#: Vocabulary files of the tokenizers; never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,17 +88,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = BYTES, b: str = PIECES) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every whole text."""
+    from strandline.llm.crosstok import digests
+
+    return digests(_table(spark, sf_dir, "documents"), a, b)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_preference_format, op4_sharding, op5_source_mixing, op6_cross_polytope_ann, op7_exact_topk, op8_sentencepiece, op9_html_extraction, op10_language_id, op12_merkle_manifest)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from WARC archives."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_preference_format, op4_sharding, op5_source_mixing, op6_cross_polytope_ann, op7_exact_topk, op8_sentencepiece, op9_html_extraction, op10_language_id, op11_cross_tokenizer_alignment, op12_merkle_manifest, op13_warc)}
 LLM_SQL = {
     "op1_minhash_near_dedup": neardup.SQL,
     "op3_preference_format": chat.SQL,
     "op5_source_mixing": mixing.SQL,
     "op12_merkle_manifest": merkle.sql(),
+    "op13_warc": warc.SQL,
     "op7_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 p AS (

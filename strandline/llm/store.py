@@ -1,8 +1,8 @@
 """Tables written once to the folder that all executors share, to cut lineage."""
 
-from strandline.sources.stage import discard, shared_folder, written
+from strandline.sources.stage import discard, new_folder, shared_folder, written
 
-__all__ = ["discard", "shared_folder", "written"]
+__all__ = ["discard", "new_folder", "shared_folder", "written"]
 
 
 def free(taken: list[str], name: str) -> str:
