@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from strandline.params import STREAMS
 
 
-def stream_lengths(samples: DataFrame, recordings: DataFrame | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
-    """recording_id, {stream}_length, shortest, longest, {stream}_removed. With recordings, those without a sample have length 0.
-
-    more: further aggregates of the same samples, so that they are read once for all per-recording facts.
-    """
+def stream_lengths(samples: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """recording_id, {stream}_length, shortest, longest, {stream}_removed. With recordings, those without a sample have length 0."""
     end = {s: F.coalesce(F.max(F.when(F.col(s).isNotNull(), F.col("sample_index") + 1)), F.lit(0)).cast("bigint") for s in STREAMS}
-    out = samples.groupBy("recording_id").agg(*[e.alias(f"{s}_length") for s, e in end.items()], *more)
+    return with_spans(samples.groupBy("recording_id").agg(*[e.alias(f"{s}_length") for s, e in end.items()]), recordings)
+
+
+def with_spans(lengths: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """Adds shortest, longest and {stream}_removed to {stream}_length, and the recordings without a sample."""
+    out = lengths
     if recordings is not None:
         out = recordings.select("recording_id").join(out, "recording_id", "left").fillna(0, [f"{s}_length" for s in STREAMS])
-    lengths = [F.col(f"{s}_length") for s in STREAMS]
-    out = out.withColumns({"shortest": F.least(*lengths), "longest": F.greatest(*lengths)})
+    each = [F.col(f"{s}_length") for s in STREAMS]
+    out = out.withColumns({"shortest": F.least(*each), "longest": F.greatest(*each)})
     return out.withColumns({f"{s}_removed": F.col(f"{s}_length") - F.col("shortest") for s in STREAMS})
 
 
@@ -37,9 +39,15 @@ def truncate(samples: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def zip_streams(streams: dict[str, DataFrame]) -> DataFrame:
-    """Positional zip of separately stored streams (recording_id, sample_index, value): NULL beyond a stream's end."""
+    """Positional zip of separately stored streams (recording_id, sample_index, value): NULL beyond a stream's end.
+
+    One shuffle: the streams are put under each other and gathered by position. A position that a stream has more than once is as
+    many rows, so that it is not hidden.
+    """
     named = [df.select("recording_id", "sample_index", F.col("value").alias(name)) for name, df in streams.items()]
-    return reduce(lambda a, b: a.join(b, ["recording_id", "sample_index"], "full"), named)
+    under = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    found = under.groupBy("recording_id", "sample_index").agg(*[F.collect_list(name).alias(name) for name in streams])
+    return found.select("recording_id", "sample_index", F.inline_outer(F.arrays_zip(*streams)))
 
 
 def removed_text() -> Column:

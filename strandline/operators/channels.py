@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.expr import finite
 
+Keep = Callable[[DataFrame, str], DataFrame]
+#: Bits of a value's image that a round of selection counts by.
+BITS = 16
 QUANTILES = {"p001": 0.001, "p01": 0.01, "median": 0.5, "p99": 0.99, "p999": 0.999}
 STATISTICS = ("minimum", "maximum", "mean", "standard_deviation", "rms", *QUANTILES, "zero_fraction", "flat_difference_fraction", "extreme_repeat_fraction")
 
@@ -51,36 +57,92 @@ def _moments(signal: DataFrame, percentiles: bool) -> DataFrame:
     return out.withColumns({n: F.col("q")[i] for i, n in enumerate(QUANTILES)}).drop("q") if percentiles else out
 
 
-def value_statistics(signal: DataFrame, bucket_values: int = 100_000) -> DataFrame:
-    """Exact percentiles and the extreme-repeat fraction from value counts.
+def with_image(rows: DataFrame) -> DataFrame:
+    """Adds image, a 64-bit integer in the order of the finite doubles x; -0.0 and 0.0 have the same.
+
+    Exponent and mantissa are found by exact products with powers of two, a step a projection, so that none is computed twice.
+    """
+    x, size = F.col("x"), F.abs("x")
+    part = size * F.pow(F.lit(2.0), -F.col("_near"))
+    mantissa = ((size * F.pow(F.lit(2.0), -F.col("_exponent")) - 1) * F.lit(2.0**52)).cast("bigint")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")  # below the least normal number, and 0
+    out = rows.withColumn("_near", F.floor(F.log2(size)).cast("bigint"))
+    out = out.withColumn("_exponent", F.col("_near") + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0))
+    out = out.withColumn("_bits", F.when(size < F.lit(2.0**-1022), tiny).otherwise((F.col("_exponent") + 1023) * F.lit(1 << 52) + mantissa))
+    return out.withColumn("image", F.when(x < 0, -F.col("_bits")).otherwise(F.col("_bits"))).drop("_near", "_exponent", "_bits")
+
+
+def _wanted(n: Column) -> Column:
+    """The ranks (from 0) that statistics of n values need: those around each percentile, the first and the last."""
+    ranks = [f(F.lit(q) * (n - 1)).cast("bigint") for q in QUANTILES.values() for f in (F.floor, F.ceil)]
+    return F.array(F.lit(0).cast("bigint"), *ranks, n - 1)
+
+
+def selected_values(samples: DataFrame, keep: Keep | None = None, bits: int | None = None) -> DataFrame:
+    """recording_id, channel, n, below, c, lo, hi: the values at the wanted ranks of each channel, by radix selection.
+
+    Each round counts values by the next bits of their image, inside the prefixes that hold a wanted rank: c values from lo to hi
+    with ``below`` values less than them. Values are never sorted, and no task holds more of a prefix than its 2 ** bits counts. After
+    the last round lo is hi. With keep, each round's few rows are stored, and only prefixes of more than one value go on; without, all
+    rounds are in one lazy plan, which has two rounds of 32 bits unless told otherwise. Samples are read once a round and meet the
+    prefixes of their recording before they are unpivoted.
+    """
+    bits = bits or (BITS if keep else 32)
+    keys = ["recording_id", "channel"]
+    found, done = None, []
+    for step in range(64 // bits):
+        prefix = F.shiftright("image", 64 - bits * (step + 1))
+        counted = [F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+        if found is None:
+            counts = with_image(long_signal(samples, False).where(finite(F.col("x")))).groupBy(*keys, prefix.alias("prefix")).agg(*counted)
+            group = W.partitionBy(*keys)
+            counts = counts.withColumns({"n": F.sum("c").over(group), "start": F.lit(0).cast("bigint")})
+        else:
+            of_channel = found.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("prefix", "below"))).alias("p"))
+            of_channel = of_channel.select("recording_id", "channel", F.struct("n", F.col("p.prefix").alias("prefixes"), F.col("p.below").alias("belows")).alias("of"))
+            by_channel = of_channel.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "of"))).alias("of"), F.max("channel").alias("last"))
+            of_recording = by_channel.select("recording_id", F.transform(F.sequence(F.lit(1), "last"), lambda c: F.try_element_at("of", c)).alias("of"))
+            rows = samples.select("recording_id", F.col("emg").cast("array<double>").alias("emg")).join(of_recording, "recording_id")
+            rows = rows.select("recording_id", F.posexplode(F.arrays_zip(F.col("emg").alias("x"), F.col("of").alias("of"))).alias("pos", "v"))
+            rows = with_image(rows.select("recording_id", (F.col("pos") + 1).alias("channel"), F.col("v.x").alias("x"), F.col("v.of").alias("of")).where(finite(F.col("x"))))
+            at = F.array_position("of.prefixes", F.shiftright("image", 64 - bits * step))
+            rows = rows.select(*keys, "x", "of", prefix.alias("prefix"), at.cast("int").alias("at")).where("at > 0")
+            counts = rows.groupBy(*keys, "prefix", F.col("of.n").alias("n"), F.element_at("of.belows", F.col("at")).alias("start")).agg(*counted)
+            group = W.partitionBy(*keys, F.shiftright("prefix", bits))
+        upto = F.col("start") + F.sum("c").over(group.orderBy("prefix").rowsBetween(W.unboundedPreceding, 0))
+        counts = counts.withColumn("below", upto - F.col("c"))
+        holds = F.exists(_wanted(F.col("n")), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))
+        found = counts.where(holds).select(*keys, "n", "prefix", "below", "c", "lo", "hi")
+        if keep is not None:
+            # Prefixes of one value are done; only the others go on.
+            stored = keep(found, f"ranks-{step}")
+            done.append(stored.where("lo = hi"))
+            found = stored.where("lo < hi")
+            if found.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, done) if keep is not None else found
+
+
+def value_statistics(samples: DataFrame, keep: Keep | None = None, bits: int | None = None) -> DataFrame:
+    """Exact percentiles and the extreme-repeat fraction of each channel.
 
     A percentile interpolates the two values around rank q(n-1); the extremes' counts are those of the least and largest value.
-    A channel's distinct values are ranked in ranges of about bucket_values each, so one long recording is many tasks.
     """
     keys = ["recording_id", "channel"]
-    counts = signal.where(finite(F.col("x"))).groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    whole = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.ceil(F.count("*") / bucket_values).alias("buckets"), F.greatest(F.min_by("c", "x"), F.max_by("c", "x")).alias("most"))
-    part = F.col("x") / 2 - F.col("lo") / 2  # halves, so that a difference stays finite
-    place = F.when(F.col("hi") > F.col("lo"), F.floor(part / (F.col("hi") / 2 - F.col("lo") / 2) * F.col("buckets"))).otherwise(F.lit(0))
-    placed = counts.join(whole.select(*keys, "lo", "hi", "buckets"), keys).select(*keys, "x", "c", place.alias("bucket"))
-    sizes = placed.groupBy(*keys, "bucket").agg(F.sum("c").alias("s"))
-    start = F.coalesce(F.sum("s").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*keys, "bucket", start.alias("start"))
-    inside = F.sum("c").over(W.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    ranked = placed.withColumn("inside", inside).join(starts, [*keys, "bucket"]).withColumn("upto", F.col("start") + F.col("inside")).join(whole.select(*keys, "n"), keys)
-
-    def at(rank: Column) -> Column:  # the value whose run of equal values holds the 0-based rank
-        return F.min(F.when(F.col("upto") > rank, F.col("x")))
-
-    aggs = []
-    for name, q in QUANTILES.items():
-        rank = F.lit(q) * (F.col("n") - 1)
-        aggs += [at(F.floor(rank)).alias(f"{name}_lo"), at(F.ceil(rank)).alias(f"{name}_hi")]
-    out = ranked.groupBy(*keys).agg(*aggs).join(whole.select(*keys, "n", "most"), keys).withColumn("extreme_repeat_fraction", F.col("most") / F.col("n"))
+
+    def at(rank: Column, what: str) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("c")), F.col(what)))
+
+    n = F.col("n")
+    aggs = [F.max("n").alias("n"), F.greatest(at(F.lit(0), "c"), at(n - 1, "c")).alias("most")]
     for name, q in QUANTILES.items():
-        rank = F.lit(q) * (F.col("n") - 1)
-        out = out.withColumn(name, F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (rank - F.floor(rank)))
-    return out.select(*keys, *QUANTILES, "extreme_repeat_fraction")
+        aggs += [at(f(F.lit(q) * (n - 1)), "lo").alias(f"{name}_{end}") for f, end in ((F.floor, "lo"), (F.ceil, "hi"))]
+    out = selected_values(samples, keep, bits).groupBy(*keys).agg(*aggs)
+    rank = {name: F.lit(q) * (n - 1) for name, q in QUANTILES.items()}
+    return out.select(
+        *keys, *[(F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (r - F.floor(r))).alias(name) for name, r in rank.items()],
+        (F.col("most") / n).alias("extreme_repeat_fraction"),
+    )
 
 
 def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
@@ -95,21 +157,21 @@ def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
     return joined.groupBy(*keys).agg(F.greatest(*share).alias("extreme_repeat_fraction"))
 
 
-def channel_statistics(samples: DataFrame, threshold: float, method: str = "rank", chunk_samples: int | None = None, recordings: DataFrame | None = None) -> DataFrame:
+def channel_statistics(samples: DataFrame, threshold: float, method: str = "rank", chunk_samples: int | None = None, recordings: DataFrame | None = None, keep: Keep | None = None) -> DataFrame:
     """One row for each (recording, channel): counts, 13 statistics and two flags.
 
-    method: ``rank`` (value counts and sorts that spill, two passes in all) or ``percentile`` (a value-count map in memory for each
-    group, a third pass for the extremes); both are exact.
+    method: ``rank`` (radix selection: no sort of values, up to four passes over the values; ``keep`` stores the few rows of each) or
+    ``percentile`` (a value-count map in memory for each group, and a pass for the extremes); both are exact.
     With recordings (recording_id, channel_count), channels of recordings without a sample have a row as well.
     """
     if method not in ("percentile", "rank"):
         raise ValueError("method must be percentile or rank")
     keys = ["recording_id", "channel"]
-    signal, plain = long_signal(samples, True, chunk_samples), long_signal(samples, False)
-    out = _moments(signal, method == "percentile")
+    out = _moments(long_signal(samples, True, chunk_samples), method == "percentile")
     if method == "rank":
-        out = out.join(value_statistics(plain), keys, "left")
+        out = out.join(value_statistics(samples, keep), keys, "left")
     else:
+        plain = long_signal(samples, False)
         ends = plain.where(finite(F.col("x"))).groupBy(*keys).agg(F.min("x").alias("minimum"), F.max("x").alias("maximum"))
         out = out.join(extreme_repeats(plain, ends), keys, "left")
     if recordings is not None:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions.expr import finite, listed, positives
 from strandline.operators.align import removed_text
+from strandline.operators.intake import LABELS, integer_labels
 from strandline.params import STREAMS, AuditParams
 
-LABELS = ("stimulus", "restimulus", "repetition", "rerepetition")
 # The texts of findings.
 MISSING_FILE = "expected one MATLAB file"
 DUPLICATE_FILE = "observed %d MATLAB files"
@@ -38,28 +38,16 @@ def duplicate_recordings(recordings: DataFrame) -> DataFrame:
     return recordings.groupBy("subject", "exercise").agg(F.count("*").alias("files")).where("files > 1")
 
 
-def integer_labels(column: str) -> Column:
-    """Aggregate: some label is not a finite whole number of 32 bits. NULL (stream ended) is no fault."""
-    x = F.col(column).cast("double")
-    bad = ~finite(x) | (x != F.rint(x)) | (F.abs(x) > 2147483647)
-    return F.coalesce(F.bool_or(F.when(F.col(column).isNotNull(), bad)), F.lit(False))
-
-
-def holes(column: str) -> Column:
-    """Aggregate: a NULL before the stream's last value."""
-    return F.count(column) < F.coalesce(F.max(F.when(F.col(column).isNotNull(), F.col("sample_index") + 1)), F.lit(0))
-
-
 def label_validity(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """recording_id and, per stream, whether it breaks the integer rule."""
     return raw.groupBy("recording_id").agg(*[integer_labels(c).alias(f"{c}_invalid") for c in columns])
 
 
 def scalar_validity(scalars: DataFrame) -> DataFrame:
-    """(recording_id, variable): exactly one finite value, truncated to an integer."""
-    out = scalars.groupBy("recording_id", "variable").agg(F.count("*").alias("values_received"), F.max("value").alias("v"))
-    ok = (F.col("values_received") == 1) & finite(F.col("v"))
-    return out.select("recording_id", "variable", "values_received", F.when(ok, F.col("v").try_cast("int")).alias("scalar"), (~ok).alias("invalid"))
+    """(recording_id, variable): exactly one finite value, truncated to an integer of 64 bits; one beyond that is invalid."""
+    out = scalars.groupBy("recording_id", "variable").agg(F.count("*").alias("values_received"), F.max("value").cast("double").alias("v"))
+    scalar = F.when((F.col("values_received") == 1) & finite(F.col("v")), F.col("v").try_cast("bigint"))
+    return out.select("recording_id", "variable", "values_received", scalar.alias("scalar"), scalar.isNull().alias("invalid"))
 
 
 def _disagreement() -> list[Column]:
@@ -138,15 +126,11 @@ def channel_count_check(samples: DataFrame, params: AuditParams) -> DataFrame:
     )
 
 
-def sample_facts() -> tuple[Column, ...]:
-    """Aggregates of a recording's samples that recording_facts needs besides the lengths."""
-    return (F.min(F.size("emg")).alias("least"), F.max(F.size("emg")).alias("most"), *[holes(c).alias(f"{c}_hole") for c in LABELS], F.lit(True).alias("has_rows"))
-
-
 def recording_facts(recordings: DataFrame, lengths: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
     """One row for each recording with stop_category and stop_detail: the first failing check, or NULL if it loads.
 
-    lengths: stream_lengths of all recordings with sample_facts.
+    lengths: intake.sample_facts of all recordings, with spans. With scalars, stored_subject and stored_exercise are theirs; a recording
+    that has none there keeps its own. raw: labels to judge in place of those of the samples.
     """
     from strandline.sources.variables import missing_variables
 
@@ -159,15 +143,18 @@ def recording_facts(recordings: DataFrame, lengths: DataFrame, params: AuditPara
     if scalars is not None:
         checked = scalar_validity(scalars)
         for name in ("subject", "exercise"):
-            one = checked.where(F.col("variable") == name).select("recording_id", F.col("invalid").alias(f"{name}_bad"), F.col("values_received").alias(f"{name}_n"))
-            out = out.join(one, "recording_id", "left")
+            one = checked.where(F.col("variable") == name).select("recording_id", F.col("invalid").alias(f"{name}_bad"), F.col("values_received").alias(f"{name}_n"), F.col("scalar").alias(f"{name}_scalar"))
+            out = out.join(one, "recording_id", "left").withColumn(f"stored_{name}", F.coalesce(f"{name}_scalar", f"stored_{name}"))
             message = F.when(F.col(f"{name}_n") != 1, F.format_string(NOT_ONE.format(name), f"{name}_n")).otherwise(F.lit(f"{name} must contain a finite value"))
             steps.append(("invalid_metadata", F.when(F.col(f"{name}_bad"), message)))
     if raw is not None:
         streams = tuple(c for c in LABELS if c in raw.columns)
-        out = out.join(label_validity(raw, streams), "recording_id", "left")
-        steps += [("invalid_metadata", F.when(F.col(f"{c}_invalid"), F.lit(NOT_INTEGER.format(c)))) for c in streams]
-    steps += [("invalid_metadata", F.when(F.col(f"{c}_hole"), F.lit(f"{c} has a gap before its end"))) for c in LABELS]
+        out = out.drop(*[f"{c}_invalid" for c in streams]).join(label_validity(raw, streams), "recording_id", "left")
+    steps += [("invalid_metadata", F.when(F.col(f"{c}_invalid"), F.lit(NOT_INTEGER.format(c)))) for c in LABELS]
+    steps.append(("invalid_metadata", F.when(F.col("misplaced") > 0, F.lit("samples without a position"))))
+    for s in STREAMS:
+        steps.append(("invalid_metadata", F.when(F.col(f"{s}_missing") > 0, F.lit(f"{s} has a gap before its end"))))
+        steps.append(("invalid_metadata", F.when(F.col(f"{s}_repeated") > 0, F.lit(f"{s} has repeated positions"))))
     lengths_text = F.concat_ws(", ", *[F.format_string(f"{s}=%d", f"{s}_length") for s in STREAMS])
     steps.append(("invalid_metadata", F.when(F.col("longest") - F.col("shortest") > params.max_tail_mismatch, F.format_string(TOO_LONG.format(params.max_tail_mismatch), lengths_text))))
     first = F.coalesce(*[F.when(m.isNotNull(), F.struct(F.lit(c).alias("c"), m.alias("m"))) for c, m in steps])

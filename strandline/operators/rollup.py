@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.expr import hours, joined, milliseconds, seconds
@@ -47,23 +47,43 @@ def participant_summary(files: DataFrame, windows: DataFrame, channels: DataFram
     )
 
 
-def dataset_summary(expected: DataFrame, recordings: DataFrame, files: DataFrame, windows: DataFrame, channels: DataFrame, issues: DataFrame, params: AuditParams) -> DataFrame:
-    """One row: the summary's keys without the wall clock and the data root, which the sink adds."""
+def summary_measures() -> dict[str, list[Column]]:
+    """The summary's totals as aggregates of the result tables that they come from."""
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     label_removed = reduce(lambda a, b: a + b, [F.col(f"{s}_samples_removed") for s in STREAMS[1:]])
-    parts = [
-        expected.agg(F.count("*").alias("expected_file_count")),
-        recordings.agg(F.count("*").alias("observed_file_count")),
-        files.agg(
-            F.countDistinct("subject").alias("subject_count"), F.count("*").alias("successfully_loaded_file_count"), zero("emg_samples").alias("total_emg_samples"),
-            zero("nonfinite_emg_values").alias("nonfinite_emg_values"), *[zero(c).alias(c) for c in DISAGREE],
+    return {
+        "file_inventory": [
+            F.count("*").alias("successfully_loaded_file_count"), zero("emg_samples").alias("total_emg_samples"), zero("nonfinite_emg_values").alias("nonfinite_emg_values"), *[zero(c).alias(c) for c in DISAGREE],
             F.count_if(F.col("trailing_samples_removed") > 0).alias("aligned_file_count"), zero("emg_samples_removed").alias("emg_tail_samples_removed"), zero(label_removed).alias("label_tail_samples_removed"),
-        ),
-        windows.agg(F.count("*").alias("trial_segment_count"), zero("generator_window_count").alias("generator_window_count"), zero("classifier_window_count").alias("classifier_window_count")),
-        channels.agg(F.count("*").alias("channel_record_count"), F.count_if("constant_channel").alias("constant_channels"), F.count_if("potential_saturation").alias("potential_saturation_channels")),
-        issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count")),
-    ]
-    one = reduce(DataFrame.crossJoin, parts)
+        ],
+        "window_counts": [F.count("*").alias("trial_segment_count"), zero("generator_window_count").alias("generator_window_count"), zero("classifier_window_count").alias("classifier_window_count")],
+        "channel_quality": [F.count("*").alias("channel_record_count"), F.count_if("constant_channel").alias("constant_channels"), F.count_if("potential_saturation").alias("potential_saturation_channels")],
+        "participant_summary": [F.count("*").alias("subject_count")],
+        "issues": [F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count")],
+    }
+
+
+def _listed(expected: DataFrame, recordings: DataFrame) -> list[DataFrame]:
+    """What the summary takes from the tables that come in. The subjects requested are those of ``expected``."""
+    subjects = F.sort_array(F.collect_set(F.col("subject").cast("int"))).alias("subjects_requested")
+    return [expected.agg(F.count("*").alias("expected_file_count"), subjects), recordings.agg(F.count("*").alias("observed_file_count"))]
+
+
+def dataset_summary(expected: DataFrame, recordings: DataFrame, files: DataFrame, windows: DataFrame, channels: DataFrame, issues: DataFrame, params: AuditParams) -> DataFrame:
+    """One row: the summary's keys without the wall clock and the data root, which the sink adds."""
+    measures = summary_measures()
+    tables = {"file_inventory": files, "window_counts": windows, "channel_quality": channels, "issues": issues}
+    subjects = files.agg(F.countDistinct("subject").alias("subject_count"))
+    return _with_settings(reduce(DataFrame.crossJoin, [*_listed(expected, recordings), subjects, *[df.agg(*measures[name]) for name, df in tables.items()]]), params)
+
+
+def observed_summary(expected: DataFrame, recordings: DataFrame, observed: dict[str, int], params: AuditParams) -> DataFrame:
+    """The same row from totals that were gathered while the result tables were written."""
+    one = reduce(DataFrame.crossJoin, _listed(expected, recordings))
+    return _with_settings(one.withColumns({k: F.lit(v).cast("bigint") for k, v in observed.items()}), params)
+
+
+def _with_settings(one: DataFrame, params: AuditParams) -> DataFrame:
     window = lambda w: F.struct(F.lit(w.length_samples).alias("length_samples"), F.lit(w.step_samples).alias("step_samples"))
     return one.withColumns(
         {
@@ -73,7 +93,6 @@ def dataset_summary(expected: DataFrame, recordings: DataFrame, files: DataFrame
             "expected_channels": F.lit(params.expected_channels),
             "max_tail_mismatch_samples": F.lit(params.max_tail_mismatch),
             "max_tail_mismatch_milliseconds": milliseconds(F.lit(params.max_tail_mismatch), params.sampling_rate_hz),
-            "subjects_requested": F.array(*map(F.lit, params.requested_subjects)).cast("array<int>"),
             "total_recording_hours": hours(F.col("total_emg_samples"), params.sampling_rate_hz),
             "generator_window": window(params.generator),
             "classifier_window": window(params.classifier),
@@ -123,11 +142,13 @@ def report_lines(summary: DataFrame, title: str = "DATA AUDIT") -> DataFrame:
     return summary.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
-def rollup_levels(files: DataFrame, windows: DataFrame) -> DataFrame:
+def rollup_levels(files: DataFrame, windows: DataFrame, channels: DataFrame) -> DataFrame:
     """Additive measures at recording, participant and dataset level in one shuffle of per-recording facts."""
     fit = windows.groupBy("recording_id").agg(F.sum("generator_window_count").alias("g"), F.sum("classifier_window_count").alias("c"))
-    facts = files.join(fit, "recording_id", "left").fillna(0, ["g", "c"])
+    flags = channels.groupBy("recording_id").agg(F.count_if("constant_channel").alias("k"), F.count_if("potential_saturation").alias("p"))
+    facts = files.join(fit, "recording_id", "left").join(flags, "recording_id", "left").fillna(0, ["g", "c", "k", "p"])
     return facts.rollup("subject", "recording_id").agg(
         F.grouping_id().cast("int").alias("level"), F.count("*").alias("files"), F.sum("emg_samples").alias("samples"),
         F.sum("g").alias("generator_windows"), F.sum("c").alias("classifier_windows"), F.sum("nonfinite_emg_values").alias("nonfinite_values"),
+        F.sum("k").alias("constant_channels"), F.sum("p").alias("potential_saturation_channels"),
     )

@@ -17,7 +17,7 @@ def label_stream(samples: DataFrame, params: AuditParams) -> DataFrame:
 
 
 def _runs(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """Merges touching rows [start, stop) of one (movement, repetition). A run of any label separates its neighbours."""
+    """Merges touching rows [start, stop) of one (movement, repetition), numbered by run_id. A run of any label separates its neighbours."""
     w = W.partitionBy(*keys).orderBy(start)
     before = F.lag(F.struct(F.col(stop).alias("at"), "movement", "repetition")).over(w)
     same = F.coalesce((before["at"] == F.col(start)) & before["movement"].eqNullSafe(F.col("movement")) & before["repetition"].eqNullSafe(F.col("repetition")), F.lit(False))
@@ -26,25 +26,39 @@ def _runs(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
         .withColumn("run_id", F.sum("is_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*keys, "run_id", "movement", "repetition")
         .agg(F.min(start).alias("start_sample"), F.max(stop).alias("stop_sample"))
-        .drop("run_id")
     )
 
 
+def chunk_runs(labels: DataFrame, chunk_samples: int) -> DataFrame:
+    """The runs inside each (recording, chunk), with edge: whether a run is the first or the last of its chunk.
+
+    All others have neighbours in the chunk and are final; a run that goes on beyond its chunk is an edge on either side.
+    """
+    chunk = F.floor(F.col("sample_index") / F.lit(chunk_samples)).cast("bigint")
+    parts = _runs(labels.withColumns({"chunk": chunk, "next_index": F.col("sample_index") + 1}), ["recording_id", "chunk"], "sample_index", "next_index")
+    edge = (F.col("run_id") == 1) | (F.col("run_id") == F.max("run_id").over(W.partitionBy("recording_id", "chunk")))
+    return parts.withColumn("edge", edge).drop("run_id")
+
+
+def merged_runs(parts: DataFrame) -> DataFrame:
+    """Runs of whole recordings. At most two rows of each chunk meet in a recording's scan; runs inside a chunk stay a group of their own."""
+    group = F.when(F.col("edge"), -1).otherwise(F.col("chunk"))
+    named = parts.select("recording_id", group.alias("part"), "movement", "repetition", F.col("start_sample").alias("part_start"), F.col("stop_sample").alias("part_stop"))
+    return _runs(named, ["recording_id", "part"], "part_start", "part_stop").drop("part", "run_id")
+
+
 def label_runs(labels: DataFrame, chunk_samples: int | None = None) -> DataFrame:
     """All maximal runs, rest included. A sample with a movement but no repetition, or the other way round, is an error: the streams end apart.
 
-    With a chunk size, runs are found inside (recording, chunk) first, so that one very long recording is many tasks;
-    only the few runs of each chunk are then merged across chunk edges.
+    With a chunk size, runs are found inside (recording, chunk) first, so that one very long recording is many tasks, and chunks
+    send no more than their first and last run to the merge, however often labels change.
     """
     apart = F.col("movement").isNull() != F.col("repetition").isNull()
     error = F.raise_error(F.lit("label and repetition streams must have the same length")).cast(labels.schema["movement"].dataType)
-    points = labels.withColumns({"next_index": F.col("sample_index") + 1, "movement": F.when(apart, error).otherwise(F.col("movement"))})
+    points = labels.withColumn("movement", F.when(apart, error).otherwise(F.col("movement")))
     if chunk_samples is None:
-        return _runs(points, ["recording_id"], "sample_index", "next_index")
-    chunk = F.floor(F.col("sample_index") / F.lit(chunk_samples)).cast("bigint")
-    parts = _runs(points.withColumn("chunk", chunk), ["recording_id", "chunk"], "sample_index", "next_index")
-    parts = parts.select("recording_id", "movement", "repetition", F.col("start_sample").alias("part_start"), F.col("stop_sample").alias("part_stop"))
-    return _runs(parts, ["recording_id"], "part_start", "part_stop")
+        return _runs(points.withColumn("next_index", F.col("sample_index") + 1), ["recording_id"], "sample_index", "next_index").drop("run_id")
+    return merged_runs(chunk_runs(points, chunk_samples))
 
 
 def trials(runs: DataFrame) -> DataFrame:

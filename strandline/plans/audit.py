@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame
 
-from strandline.operators import align, channels, checks, rollup, trials
+from strandline.operators import align, channels, checks, intake, rollup, trials
+from strandline.operators.channels import Keep
 from strandline.params import AuditParams
 
 RESULTS = ("file_inventory", "trial_inventory", "window_counts", "channel_quality", "participant_summary", "issues", "dataset_summary", "rollup_levels")
@@ -15,20 +15,23 @@ RESULTS = ("file_inventory", "trial_inventory", "window_counts", "channel_qualit
 
 def audit_dataset(
     samples: DataFrame, recordings: DataFrame, expected: DataFrame, params: AuditParams, catalogue: DataFrame | None = None, scalars: DataFrame | None = None,
-    raw: DataFrame | None = None, method: str = "rank", results: tuple[str, ...] = RESULTS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    raw: DataFrame | None = None, method: str = "rank", results: tuple[str, ...] = RESULTS, keep: Keep | None = None,
 ) -> dict[str, DataFrame]:
     """The asked-for result tables by name.
 
-    Samples are read for the per-recording facts, for label facts, for runs, and twice for channel statistics, each only if a
+    Label streams of samples may be of any numeric type: what they hold is judged in the same pass as lengths and positions.
+    Samples are read for the per-recording facts, for label facts, for runs, and for channel statistics, each only if a
     result needs it. ``keep`` is given each of these small intermediate tables (facts, labels, trials, channels) with its name. By
     default all stays lazy; pass ``strandline.sources.stage.written`` to write them once, so that several results, or one that
     uses a table often, neither read the samples again nor carry their whole plan.
     """
 
+    store = keep or (lambda df, name: df)
+
     @cache
     def facts() -> DataFrame:
-        lengths = align.stream_lengths(samples, recordings, checks.sample_facts())
-        return keep(checks.recording_facts(recordings, lengths, params, catalogue, scalars, raw), "facts")
+        lengths = align.with_spans(intake.sample_facts(samples), recordings)
+        return store(checks.recording_facts(recordings, lengths, params, catalogue, scalars, raw), "facts")
 
     @cache
     def loaded() -> DataFrame:
@@ -36,20 +39,20 @@ def audit_dataset(
 
     @cache
     def aligned() -> DataFrame:
-        return align.truncate(samples, loaded())
+        return align.truncate(intake.typed(samples), loaded())
 
     @cache
     def labels() -> DataFrame:
-        return keep(checks.label_facts(aligned(), params), "labels")
+        return store(checks.label_facts(aligned(), params), "labels")
 
     @cache
     def found() -> DataFrame:
-        return keep(trials.trials(trials.label_runs(trials.label_stream(aligned(), params), params.chunk_samples)), "trials")
+        return store(trials.trials(trials.label_runs(trials.label_stream(aligned(), params), params.chunk_samples)), "trials")
 
     @cache
     def quality() -> DataFrame:
         wide = loaded().select("recording_id", "channel_count")
-        return keep(channels.channel_statistics(aligned(), params.extreme_repeat_threshold, method, params.chunk_samples, wide), "channels")
+        return store(channels.channel_statistics(aligned(), params.extreme_repeat_threshold, method, params.chunk_samples, wide, keep), "channels")
 
     named = recordings.select("recording_id", "subject", "exercise", "file")
     windows = lambda: trials.with_windows(found(), params)
@@ -74,6 +77,6 @@ def audit_dataset(
         "participant_summary": people,
         "issues": issues,
         "dataset_summary": lambda: rollup.dataset_summary(expected, recordings, files(), windows(), quality(), issues(), params),
-        "rollup_levels": lambda: rollup.rollup_levels(files(), windows()),
+        "rollup_levels": lambda: rollup.rollup_levels(files(), windows(), quality()),
     }
     return {name: build[name]() for name in results}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.params import REQUIRED_VARIABLES, AuditParams, Window
+from strandline.params import REQUIRED_VARIABLES, STREAMS, AuditParams, Window
 
 EVENT_PARAMS = AuditParams(
     sampling_rate_hz=2000,
@@ -16,7 +16,6 @@ EVENT_PARAMS = AuditParams(
     max_tail_mismatch=2,
     generator=Window(4, 2),
     classifier=Window(2, 1),
-    subjects=tuple(range(1, 61)),
     expected_labels={1: (1, 2), 2: (1, 2), 3: (1, 2, 3)},
     chunk_samples=16,
 )
@@ -43,6 +42,8 @@ def positions(rows: DataFrame, key: str, bucket: Column, order: list[str]) -> Da
 
 @dataclass(frozen=True)
 class Events:
+    """samples: sound and typed; raw: the same rows as they might come in, with labels as doubles, and faults in labels and positions."""
+
     samples: DataFrame
     recordings: DataFrame
     raw: DataFrame
@@ -68,9 +69,13 @@ def events(spark: SparkSession, sf_dir: str, params: AuditParams = EVENT_PARAMS)
     rows = rows.withColumns({"restimulus": refined("stimulus"), "rerepetition": F.when(~ended, F.when(value < 5, 0).otherwise(lost)), "recording_id": user.cast("string")})
     emg = F.array(value, F.col("k"), F.when(value > 300, nan).otherwise(value), F.lit(1.0), F.when(user % 7 == 0, nan).otherwise(value))
     samples = rows.select("recording_id", "sample_index", emg.alias("emg"), "stimulus", "restimulus", "repetition", "rerepetition")
+    at = F.col("sample_index")
+    faulty = lambda c, where, x: F.when(F.col(c).isNotNull() & where, x).otherwise(F.col(c).cast("double"))
     raw = rows.select(
-        "recording_id", "sample_index",
-        F.when((user % 29 == 0) & (F.col("sample_index") == 1), nan).otherwise(F.col("stimulus") + F.when((user % 23 == 0) & (F.col("sample_index") == 0), 0.5).otherwise(0.0)).alias("stimulus"),
+        "recording_id", F.when((user % 47 == 0) & (at == 2), 1).otherwise(at).cast("bigint").alias("sample_index"), emg.alias("emg"),
+        F.when((user % 29 == 0) & (at == 1), nan).otherwise(F.col("stimulus") + F.when((user % 23 == 0) & (at == 0), 0.5).otherwise(0.0)).alias("stimulus"),
+        faulty("restimulus", (user % 37 == 0) & (at == 0), 3e9).alias("restimulus"), faulty("repetition", (user % 41 == 0) & (at == 1), float("inf")).alias("repetition"),
+        faulty("rerepetition", (user % 43 == 0) & (at == 0), 0.25).alias("rerepetition"),
     )
     users = e.groupBy("user_id").agg(F.sum(F.octet_length("props")).cast("bigint").alias("file_bytes"))
     users = users.withColumns({"subject": (F.floor(user / 3) + 1).cast("int"), "exercise": (user % 3 + 1).cast("int"), "acquisition": F.explode(F.when(user % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))})
@@ -82,9 +87,11 @@ def events(spark: SparkSession, sf_dir: str, params: AuditParams = EVENT_PARAMS)
     )
     names = F.array(*map(F.lit, REQUIRED_VARIABLES))
     catalogue = users.where("acquisition = 1").select(user.cast("string").alias("recording_id"), F.explode(F.when(user % 13 == 0, F.array_except(names, F.array(F.lit("rerepetition"), F.lit("subject")))).otherwise(names)).alias("variable"))
-    pair = lambda name: F.struct(F.lit(name).alias("variable"), F.col(name).cast("double").alias("value"))
-    both = F.array(pair("subject"), pair("exercise"))
-    scalars = users.where("acquisition = 1").select(user.cast("string").alias("recording_id"), F.inline(F.when(user % 31 == 0, F.concat(both, F.array(pair("subject")))).otherwise(both)))
+    pair = lambda name, x: F.struct(F.lit(name).alias("variable"), x.cast("double").alias("value"))
+    subject = pair("subject", F.when(user % 53 == 0, 3e9).otherwise(F.col("subject") + F.when(user % 17 == 0, 1.9).otherwise(0.0)))
+    exercise = pair("exercise", F.when(user % 59 == 0, nan).otherwise(F.col("exercise") + F.when(user % 19 == 0, 1).otherwise(0)))
+    both = F.array(subject, exercise)
+    scalars = users.where("acquisition = 1").select(user.cast("string").alias("recording_id"), F.inline(F.when(user % 31 == 0, F.concat(both, F.array(subject))).otherwise(both)))
     return Events(samples, recordings, raw, catalogue, scalars, params)
 
 
@@ -119,3 +126,13 @@ def embedding_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "embeddings")
     placed = positions(t.select("label", "vec_id", "embedding"), "label", F.floor(F.col("vec_id") / 10_000), ["vec_id"])
     return placed.select(F.col("label").cast("string").alias("recording_id"), "sample_index", F.col("embedding").cast("array<double>").alias("emg"))
+
+
+def misplaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' samples with faults of position: a stream's sample 1 is missing (one stream for each user_id modulo 5), sample 3 is there twice, sample 4 has no position."""
+    e = events(spark, sf_dir).samples
+    user, at = F.col("recording_id").cast("bigint"), F.col("sample_index")
+    lost = {s: F.when((user % 5 == i) & (at == 1), F.lit(None)).otherwise(F.col(s)) for i, s in enumerate(STREAMS)}
+    twice = F.explode(F.when((user % 7 == 3) & (at == 3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    rows = e.withColumns(lost).withColumn("copy", twice).drop("copy")
+    return rows.withColumn("sample_index", F.when((user % 11 == 4) & (at == 4), F.lit(None)).otherwise(at))

@@ -17,17 +17,52 @@ len AS (
   SELECT user_id, CAST(max(n) AS BIGINT) AS full_len, CAST(max(n) - greatest(least(user_id % 4, max(n)), 0) AS BIGINT) AS short_len FROM smp GROUP BY user_id),
 """
 _ALIGNED = "ali AS (SELECT s.*, l.full_len, l.short_len FROM smp s JOIN len l ON s.user_id = l.user_id WHERE l.full_len - l.short_len <= 2 AND s.i < l.short_len),"
-_STOPPED = """
+# What comes in for the audit, fault by fault: raw labels and positions, scalars, and the catalogue of variables; and what each check finds in it.
+_NAMES = ("subject", "exercise", "emg", "stimulus", "restimulus", "repetition", "rerepetition")
+_BAD = "coalesce(bool_or({0} IS NOT NULL AND (isnan({0}) OR isinf({0}) OR {0} <> round({0}) OR abs({0}) > 2147483647)), FALSE)"
+_RAW = f"""
+raw AS (
+  SELECT user_id, i, CASE WHEN user_id % 47 = 0 AND i = 2 THEN 1 ELSE i END AS pos,
+    CASE WHEN user_id % 29 = 0 AND i = 1 THEN CAST('nan' AS DOUBLE) ELSE stim + CASE WHEN user_id % 23 = 0 AND i = 0 THEN 0.5 ELSE CAST(0 AS DOUBLE) END END AS stimulus,
+    CASE WHEN restim IS NOT NULL AND user_id % 37 = 0 AND i = 0 THEN CAST(3e9 AS DOUBLE) ELSE restim END AS restimulus,
+    CASE WHEN user_id % 41 = 0 AND i = 1 THEN CAST('inf' AS DOUBLE) ELSE rep END AS repetition,
+    CASE WHEN rerep IS NOT NULL AND user_id % 43 = 0 AND i = 0 THEN CAST(0.25 AS DOUBLE) ELSE rerep END AS rerepetition FROM smp),
+flt AS (
+  SELECT user_id, count(*) AS n_rows, count(DISTINCT pos) AS places, max(pos) + 1 AS ends, {", ".join(f"{_BAD.format(c)} AS {c}_invalid" for c in _NAMES[3:])}
+  FROM raw GROUP BY user_id)
+"""
+_SCALARS = """
+usr AS (SELECT DISTINCT user_id, CAST(floor(user_id / 3.0) + 1 AS INT) AS subject, CAST(user_id % 3 + 1 AS INT) AS exercise FROM events),
+sca AS (
+  SELECT user_id, 'subject' AS variable, CASE WHEN user_id % 53 = 0 THEN CAST(3e9 AS DOUBLE) ELSE subject + CASE WHEN user_id % 17 = 0 THEN CAST(1.9 AS DOUBLE) ELSE 0 END END AS x FROM usr, range(CASE WHEN user_id % 31 = 0 THEN 2 ELSE 1 END)
+  UNION ALL SELECT user_id, 'exercise', CASE WHEN user_id % 59 = 0 THEN CAST('nan' AS DOUBLE) ELSE exercise + CASE WHEN user_id % 19 = 0 THEN 1 ELSE 0 END END FROM usr),
+scv AS (
+  SELECT user_id, variable, count(*) AS n, CASE WHEN count(*) = 1 AND NOT isnan(max(x)) AND NOT isinf(max(x)) THEN CAST(trunc(max(x)) AS BIGINT) END AS scalar,
+    CASE WHEN count(*) <> 1 THEN variable || ' must contain one value, received (' || count(*) || ',)' WHEN isnan(max(x)) OR isinf(max(x)) THEN variable || ' must contain a finite value' END AS fault
+  FROM sca GROUP BY user_id, variable)
+"""
+_CATALOGUE = f"""
+req AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES))}) t(k, variable)),
+cat AS (SELECT user_id, variable FROM (SELECT DISTINCT user_id FROM events) u, req WHERE NOT (user_id % 13 = 0 AND variable IN ('rerepetition', 'subject'))),
+mis AS (
+  SELECT user_id, string_agg(variable, ', ' ORDER BY k) AS missing FROM (SELECT DISTINCT user_id FROM events) u, req
+  WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.user_id = u.user_id AND cat.variable = req.variable) GROUP BY user_id)
+"""
+_STOPPED = (
+    _RAW + "," + _SCALARS + "," + _CATALOGUE
+    + f""",
 chk AS (
-  SELECT l.*, CASE WHEN user_id % 13 = 0 THEN 'missing_variables' WHEN user_id % 31 = 0 OR (user_id % 23 = 0) OR (user_id % 29 = 0 AND full_len > 1)
-      OR full_len - short_len > 2 THEN 'invalid_metadata' END AS stop_category,
-    CASE WHEN user_id % 13 = 0 THEN 'subject, rerepetition' WHEN user_id % 31 = 0 THEN 'subject must contain one value, received (2,)'
-      WHEN user_id % 23 = 0 OR (user_id % 29 = 0 AND full_len > 1) THEN 'stimulus must contain finite integer labels'
-      WHEN full_len - short_len > 2 THEN 'time-series length mismatch exceeds 2 sample(s): emg=' || full_len || ', stimulus=' || full_len || ', restimulus=' || short_len || ', repetition=' || full_len || ', rerepetition=' || short_len END AS stop_detail,
-    CAST(floor(user_id / 3.0) + 1 AS INT) AS subject, CAST(user_id % 3 + 1 AS INT) AS exercise FROM len l),
+  SELECT l.*, CAST(floor(l.user_id / 3.0) + 1 AS INT) AS subject, CAST(l.user_id % 3 + 1 AS INT) AS exercise, s.scalar AS stored_subject, x.scalar AS stored_exercise,
+    coalesce(missing, s.fault, x.fault, {", ".join(f"CASE WHEN {c}_invalid THEN '{c} must contain finite integer labels' END" for c in _NAMES[3:])},
+      CASE WHEN ends > places THEN 'emg has a gap before its end' END, CASE WHEN n_rows > places THEN 'emg has repeated positions' END,
+      CASE WHEN full_len - short_len > 2 THEN 'time-series length mismatch exceeds 2 sample(s): emg=' || full_len || ', stimulus=' || full_len || ', restimulus=' || short_len || ', repetition=' || full_len || ', rerepetition=' || short_len END) AS stop_detail,
+    CASE WHEN missing IS NOT NULL THEN 'missing_variables' WHEN stop_detail IS NOT NULL THEN 'invalid_metadata' END AS stop_category
+  FROM len l JOIN flt ON l.user_id = flt.user_id LEFT JOIN mis ON l.user_id = mis.user_id
+    JOIN scv s ON l.user_id = s.user_id AND s.variable = 'subject' JOIN scv x ON l.user_id = x.user_id AND x.variable = 'exercise'),
 ok AS (SELECT * FROM chk WHERE stop_category IS NULL),
 ali AS (SELECT s.*, l.full_len, l.short_len FROM smp s JOIN ok l ON s.user_id = l.user_id WHERE s.i < l.short_len),
 """
+)
 _RUNS = """
 chg AS (
   SELECT *, CASE WHEN lag(restim) OVER w IS NOT DISTINCT FROM restim AND lag(rerep) OVER w IS NOT DISTINCT FROM rerep AND i > 0 THEN 0 ELSE 1 END AS c
@@ -118,8 +153,8 @@ iss AS (
   UNION ALL SELECT 'error', subject, exercise, {_FILE}, stop_category, stop_detail FROM chk WHERE stop_category IS NOT NULL
   UNION ALL SELECT 'warning', subject, exercise, {_FILE}, 'trailing_length_alignment', 'aligned all streams to ' || CAST(short_len AS VARCHAR) || ' samples; removed trailing samples: emg=' || CAST(full_len - short_len AS VARCHAR)
     || ', stimulus=' || CAST(full_len - short_len AS VARCHAR) || ', repetition=' || CAST(full_len - short_len AS VARCHAR) FROM ok WHERE full_len > short_len
-  UNION ALL SELECT 'error', subject, exercise, {_FILE}, 'subject_mismatch', 'filename=' || CAST(subject AS VARCHAR) || ', variable=' || CAST(subject + 1 AS VARCHAR) FROM ok WHERE user_id % 17 = 0
-  UNION ALL SELECT 'error', subject, exercise, {_FILE}, 'exercise_mismatch', 'filename=' || CAST(exercise AS VARCHAR) || ', variable=' || CAST(exercise + 1 AS VARCHAR) FROM ok WHERE user_id % 19 = 0
+  UNION ALL SELECT 'error', subject, exercise, {_FILE}, 'subject_mismatch', 'filename=' || CAST(subject AS VARCHAR) || ', variable=' || CAST(stored_subject AS VARCHAR) FROM ok WHERE stored_subject <> subject
+  UNION ALL SELECT 'error', subject, exercise, {_FILE}, 'exercise_mismatch', 'filename=' || CAST(exercise AS VARCHAR) || ', variable=' || CAST(stored_exercise AS VARCHAR) FROM ok WHERE stored_exercise <> exercise
   UNION ALL SELECT 'error', subject, exercise, {_FILE}, 'movement_coverage', 'observed=' || a || ', expected=' || want FROM cov WHERE a <> want
   UNION ALL SELECT 'error', subject, exercise, {_FILE}, 'repetition_coverage', 'observed=' || r || ', expected=[1, 2, 3, 4, 5, 6]' FROM cov WHERE r <> '[1, 2, 3, 4, 5, 6]'
   UNION ALL SELECT 'warning', subject, exercise, {_FILE}, 'fragmented_trial', 'movement=' || CAST(movement AS VARCHAR) || ', repetition=' || CAST(repetition AS VARCHAR) || ', segments=' || CAST(count(*) AS VARCHAR)
@@ -169,10 +204,22 @@ SELECT (SELECT count(DISTINCT subject) FROM fil) AS subject_count, (SELECT count
   (SELECT count(*) FROM iss WHERE severity = 'error') AS error_count, (SELECT count(*) FROM iss WHERE severity = 'warning') AS warning_count,
   CASE WHEN (SELECT count(*) FROM iss WHERE severity = 'error') = 0 THEN 'pass' ELSE 'fail' END AS audit_status,
   round((SELECT sum(emg_samples) FROM fil) / 2000.0 / 3600.0, 6) AS total_recording_hours, 2000 AS sampling_rate_hz, 5 AS expected_channels, 'refined' AS label_source, 2 AS max_tail_mismatch_samples,
-  CAST(1.0 AS DOUBLE) AS max_tail_mismatch_milliseconds
+  CAST(1.0 AS DOUBLE) AS max_tail_mismatch_milliseconds, '{"length_samples":4,"step_samples":2}' AS generator_window, '{"length_samples":2,"step_samples":1}' AS classifier_window,
+  (SELECT string_agg(CAST(subject AS VARCHAR), ';' ORDER BY subject) FROM (SELECT DISTINCT subject FROM xpd)) AS subjects_requested
 """
 _T = "WITH " + _E + _ALIGNED + _RUNS
 _INV = f"{_T} SELECT {_INVENTORY} FROM trl"
+# Rows of the faulty positions: one of the streams lost at sample 1, sample 3 twice, sample 4 without a position.
+_STREAMS = {"emg": "TRUE", "stimulus": "TRUE", "restimulus": "restim IS NOT NULL", "repetition": "TRUE", "rerepetition": "rerep IS NOT NULL"}
+_PLACES = (
+    "plc AS (SELECT user_id, CASE WHEN user_id % 11 = 4 AND i = 4 THEN NULL ELSE i END AS pos, "
+    + ", ".join(f"{there} AND NOT (user_id % 5 = {k} AND i = 1) AS has_{name}" for k, (name, there) in enumerate(_STREAMS.items()))
+    + " FROM smp, range(CASE WHEN user_id % 7 = 3 AND i = 3 THEN 2 ELSE 1 END))"
+)
+_PLACED = ", ".join(
+    f"CAST(coalesce(max(pos + 1) FILTER (WHERE has_{n}), 0) AS BIGINT) AS {n}_length, CAST(coalesce(max(pos + 1) FILTER (WHERE has_{n}), 0) - count(DISTINCT pos) FILTER (WHERE has_{n}) AS BIGINT) AS {n}_missing, count(pos) FILTER (WHERE has_{n}) - count(DISTINCT pos) FILTER (WHERE has_{n}) AS {n}_repeated"
+    for n in _STREAMS
+)
 _D = "SELECT source AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents"
 
 SQL = {
@@ -196,15 +243,16 @@ SQL = {
     "duplicate_recordings": f"WITH {_PATHS} SELECT subject, exercise, count(*) AS files FROM ({_GOOD}) g GROUP BY subject, exercise HAVING count(*) > 1",
     "parse_identity": f"WITH {_PATHS}, f AS (SELECT path, regexp_extract(path, '[^/]+$') AS file FROM p) SELECT path, file, " + ", ".join(f"TRY_CAST(regexp_extract(file, '^S([0-9]+)_E([0-9]+)_A([0-9]+)\\.mat$', {i}, 'i') AS INT) AS {n}" for i, n in ((1, "subject"), (2, "exercise"), (3, "acquisition"))) + " FROM f",
     "identity_mismatch": f"WITH {_REC.rstrip().rstrip(',')} SELECT subject, exercise, replace({_FILE}, '_A1', '_A' || CAST(a AS VARCHAR)) AS file, 'subject_mismatch' AS category, 'filename=' || CAST(subject AS VARCHAR) || ', variable=' || CAST(subject + 1 AS VARCHAR) AS detail FROM rec WHERE user_id % 17 = 0 UNION ALL SELECT subject, exercise, replace({_FILE}, '_A1', '_A' || CAST(a AS VARCHAR)), 'exercise_mismatch', 'filename=' || CAST(exercise AS VARCHAR) || ', variable=' || CAST(exercise + 1 AS VARCHAR) FROM rec WHERE user_id % 19 = 0",
-    "label_validity": "SELECT CAST(user_id AS VARCHAR) AS recording_id, user_id % 23 = 0 OR (user_id % 29 = 0 AND count(*) > 1) AS stimulus_invalid FROM events GROUP BY user_id",
-    "scalar_validity": "SELECT CAST(user_id AS VARCHAR) AS recording_id, v AS variable, CAST(CASE WHEN user_id % 31 = 0 AND v = 'subject' THEN 2 ELSE 1 END AS BIGINT) AS values_received, CASE WHEN user_id % 31 = 0 AND v = 'subject' THEN NULL WHEN v = 'subject' THEN CAST(floor(user_id / 3.0) + 1 AS INT) ELSE CAST(user_id % 3 + 1 AS INT) END AS scalar, user_id % 31 = 0 AND v = 'subject' AS invalid FROM (SELECT DISTINCT user_id FROM events) u, (VALUES ('subject'), ('exercise')) t(v)",
-    "missing_variables": "SELECT CAST(user_id AS VARCHAR) AS recording_id, 'subject, rerepetition' AS missing FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 13 = 0) u",
+    "label_validity": f"WITH {_E} {_RAW} SELECT CAST(user_id AS VARCHAR) AS recording_id, {', '.join(f'{c}_invalid' for c in _NAMES[3:])} FROM flt",
+    "position_integrity": f"WITH {_E} {_PLACES} SELECT CAST(user_id AS VARCHAR) AS recording_id, count(*) FILTER (WHERE pos IS NULL) AS misplaced, {_PLACED} FROM plc GROUP BY user_id",
+    "scalar_validity": f"WITH {_SCALARS} SELECT CAST(user_id AS VARCHAR) AS recording_id, variable, n AS values_received, scalar, fault IS NOT NULL AS invalid FROM scv",
+    "missing_variables": f"WITH {_CATALOGUE} SELECT CAST(user_id AS VARCHAR) AS recording_id, missing FROM mis",
     "channel_count_check": "SELECT CAST(label AS VARCHAR) AS recording_id, CASE WHEN min(len(embedding)) <> max(len(embedding)) THEN 'invalid_emg_shape' ELSE 'channel_count' END AS category, CASE WHEN min(len(embedding)) <> max(len(embedding)) THEN 'channels vary from ' || CAST(min(len(embedding)) AS VARCHAR) || ' to ' || CAST(max(len(embedding)) AS VARCHAR) ELSE 'observed=' || CAST(max(len(embedding)) AS VARCHAR) || ', expected=12' END AS detail FROM embeddings GROUP BY label HAVING min(len(embedding)) <> max(len(embedding)) OR max(len(embedding)) <> 12",
     "issues": f"{_AUDIT} SELECT * FROM iss",
     "file_inventory": f"{_AUDIT} SELECT * EXCLUDE (user_id) FROM fil",
     "participant_summary": f"{_AUDIT}, {_FLAGS}, {_PEOPLE} SELECT p.subject, file_count, exercise_count, total_samples, round(total_samples / 2000.0, 6) AS total_duration_seconds, CAST(coalesce(g, 0) AS BIGINT) AS generator_window_count, CAST(coalesce(c, 0) AS BIGINT) AS classifier_window_count, nf AS nonfinite_emg_values, CAST(coalesce(k, 0) AS BIGINT) AS constant_channels, CAST(coalesce(s, 0) AS BIGINT) AS potential_saturation_channels, CAST(coalesce(n, 0) AS BIGINT) AS issue_count FROM ppl p LEFT JOIN (SELECT subject, sum(gw) AS g, sum(cw) AS c FROM trl GROUP BY subject) w ON p.subject = w.subject LEFT JOIN (SELECT subject, sum(constant) AS k, sum(sat) AS s FROM flg GROUP BY subject) f ON p.subject = f.subject LEFT JOIN (SELECT subject, count(*) AS n FROM iss GROUP BY subject) i ON p.subject = i.subject",
     "dataset_summary": f"{_AUDIT}, {_FLAGS} {_SUMMARY}",
-    "rollup_levels": f"{_AUDIT}, w AS (SELECT user_id, sum(gw) AS g, sum(cw) AS c FROM trl GROUP BY user_id) SELECT subject, recording_id, CAST(grouping(subject) * 2 + grouping(recording_id) AS INT) AS level, count(*) AS files, CAST(sum(emg_samples) AS BIGINT) AS samples, CAST(sum(coalesce(g, 0)) AS BIGINT) AS generator_windows, CAST(sum(coalesce(c, 0)) AS BIGINT) AS classifier_windows, CAST(sum(nonfinite_emg_values) AS BIGINT) AS nonfinite_values FROM fil f LEFT JOIN w ON f.user_id = w.user_id GROUP BY ROLLUP (subject, recording_id)",
+    "rollup_levels": f"{_AUDIT}, {_FLAGS}, w AS (SELECT user_id, sum(gw) AS g, sum(cw) AS c FROM trl GROUP BY user_id), q AS (SELECT user_id, sum(constant) AS k, sum(sat) AS p FROM flg GROUP BY user_id) SELECT subject, recording_id, CAST(grouping(subject) * 2 + grouping(recording_id) AS INT) AS level, count(*) AS files, CAST(sum(emg_samples) AS BIGINT) AS samples, CAST(sum(coalesce(g, 0)) AS BIGINT) AS generator_windows, CAST(sum(coalesce(c, 0)) AS BIGINT) AS classifier_windows, CAST(sum(nonfinite_emg_values) AS BIGINT) AS nonfinite_values, CAST(sum(coalesce(k, 0)) AS BIGINT) AS constant_channels, CAST(sum(coalesce(p, 0)) AS BIGINT) AS potential_saturation_channels FROM fil f LEFT JOIN w ON f.user_id = w.user_id LEFT JOIN q ON f.user_id = q.user_id GROUP BY ROLLUP (subject, recording_id)",
     "audit_report_lines": f"{_AUDIT}, {_FLAGS}, sm AS ({_SUMMARY})" + """
       SELECT CAST(k - 1 AS INT) AS line_no, l[k] AS line FROM (SELECT [
         'DATA AUDIT',

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import align, channels, checks, rollup, trials
+from strandline.operators import align, channels, checks, intake, rollup, trials
 from strandline.plans import bindings as b
 from strandline.plans.audit import audit_dataset
 from strandline.sources import files
@@ -81,12 +81,17 @@ def channel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "percentile", CHUNK))
 
 
+def _selected(signal: DataFrame) -> DataFrame:
+    """Channel statistics by selection; the numbered samples are stored once, as samples are."""
+    return channels.channel_statistics(written(signal, "samples"), SATURATION, "rank", CHUNK, keep=written)
+
+
 def channel_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "rank", CHUNK))
+    return _rounded(_selected(b.lineitem_signal(spark, sf_dir)))
 
 
 def channel_quality_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.channel_statistics(b.embedding_signal(spark, sf_dir), SATURATION, "rank", CHUNK))
+    return _rounded(_selected(b.embedding_signal(spark, sf_dir)))
 
 
 def channel_quality_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +99,7 @@ def channel_quality_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saturation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.saturation_candidates(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "rank", CHUNK)))
+    return _rounded(channels.saturation_candidates(_selected(b.lineitem_signal(spark, sf_dir))))
 
 
 def missing_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,12 @@ def identity_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.label_validity(b.events(spark, sf_dir).raw, ("stimulus",))
+    return checks.label_validity(b.events(spark, sf_dir).raw, intake.LABELS)
+
+
+def position_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and repeated positions of the five streams of recordings with gaps and repeats."""
+    return intake.position_integrity(b.misplaced_events(spark, sf_dir))
 
 
 def scalar_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +146,7 @@ def channel_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _audit(spark: SparkSession, sf_dir: str, result: str) -> DataFrame:
     """One result over the events; the small tables it is made of are written once."""
     e = b.events(spark, sf_dir)
-    return audit_dataset(e.samples, e.recordings, b.event_pairs(spark, sf_dir), e.params, e.catalogue, e.scalars, e.raw, results=(result,), keep=written)[result]
+    return audit_dataset(e.raw, e.recordings, b.event_pairs(spark, sf_dir), e.params, e.catalogue, e.scalars, results=(result,), keep=written)[result]
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +162,10 @@ def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_audit(spark, sf_dir, "dataset_summary").drop("generator_window", "classifier_window", "subjects_requested"))
+    """All keys; windows as JSON text and subjects as a list in text, so that any engine can compare them."""
+    out = _audit(spark, sf_dir, "dataset_summary")
+    texts = {c: F.to_json(c) for c in ("generator_window", "classifier_window")} | {"subjects_requested": F.array_join("subjects_requested", ";")}
+    return _rounded(out.withColumns(texts))
 
 
 def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +195,7 @@ QUERIES = {
     for f in (
         trial_windows, trial_inventory, trial_inventory_chunked, window_counts, fragmented_trials, stream_alignment, stream_disagreement,
         label_coverage, repetition_coverage, channel_quality, channel_quality_rank, channel_quality_arrays, channel_quality_nonfinite,
-        saturation_candidates, missing_recordings, duplicate_recordings, parse_identity, identity_mismatch, label_validity, scalar_validity,
+        saturation_candidates, missing_recordings, duplicate_recordings, parse_identity, identity_mismatch, label_validity, scalar_validity, position_integrity,
         channel_count_check, issues, file_inventory, participant_summary, dataset_summary, rollup_levels, audit_report_lines,
         content_manifest, source_completeness, collection_totals,
     )

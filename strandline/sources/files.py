@@ -10,6 +10,10 @@ from strandline.functions.expr import base_name, relative_to
 
 # Fixed value: the file name format.
 NAME = r"(?i)^S(\d+)_E(\d+)_A(\d+)\.mat\z"
+# The end of an archive's name, the status of an archive, and the marks of the ZIP format as hexadecimal digits.
+ARCHIVE = r"(?i)(?:^|_)s(\d+)\.zip\z"
+PASSED, FAILED = "zip_test_pass", "zip_test_fail"
+END, ENTRY, LOCAL = "504B0506", "504B0102", "504B0304"
 
 
 def parse_identity(files: DataFrame, path: str = "path", strict: bool = True) -> DataFrame:
@@ -50,10 +54,55 @@ def discovered(files: DataFrame, subjects: tuple[int, ...] | None = None) -> Dat
     return select_subjects(parse_identity(files), subjects).orderBy("subject", "exercise", "acquisition", "path")
 
 
-def archive_manifest(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
-    """path, bytes and SHA-256 of each archive; content is dropped as soon as it is hashed."""
+def _number(content: Column, at: Column, size: int) -> Column:
+    """The unsigned little-endian number of some bytes at a position from 0."""
+    digits = F.hex(F.substring(content, (at + 1).cast("int"), F.lit(size)))
+    return F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]), 16, 10).cast("bigint")
+
+
+def _mark(content: Column, at: Column) -> Column:
+    return F.hex(F.substring(content, (at + 1).cast("int"), F.lit(4)))
+
+
+def archive_checked(archives: DataFrame) -> DataFrame:
+    """Adds status to rows with content: PASSED for a ZIP archive of sound structure, else FAILED.
+
+    The end record must close the file, the directory must lie right before it and hold as many entries as it says, and each entry
+    must have a local header, and its data, before the directory. Nothing is unpacked, so a changed byte inside a file's data is not
+    seen. Archives with 64-bit records are not read and fail.
+    """
+    content, size, end, start = F.col("content"), F.octet_length("content").cast("bigint"), F.col("_end"), F.col("_start")
+
+    def ends(at: Column) -> Column:
+        return (_mark(content, at) == END) & (_number(content, at + 20, 2) == size - at - 22)
+
+    # Without a comment, which is the rule, the record is the last 22 bytes; a comment has 65,535 bytes at most.
+    places = F.filter(F.sequence(F.greatest(size - 22 - 65535, F.lit(0)), size - 22), ends)
+    last = F.when(size < 22, F.lit(None)).when(ends(size - 22), size - 22).otherwise(F.try_element_at(places, F.lit(-1)))
+    # One step a projection: an expression that many others use is computed once.
+    found = archives.withColumn("_end", last).withColumns({"_entries": _number(content, end + 10, 2), "_length": _number(content, end + 12, 4), "_start": _number(content, end + 16, 4)})
+
+    def walk(at: Column, _: Column) -> Column:
+        local = _number(content, at + 42, 4)
+        sound = (at >= 0) & (_mark(content, at) == ENTRY) & (_mark(content, local) == LOCAL) & (local + 30 + _number(content, at + 20, 4) <= start)
+        return F.when(sound, at + 46 + _number(content, at + 28, 2) + _number(content, at + 30, 2) + _number(content, at + 32, 2)).otherwise(F.lit(-1).cast("bigint"))
+
+    steps = F.when(F.col("_entries") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("_entries"))).otherwise(F.array().cast("array<bigint>"))
+    sound = (start + F.col("_length") == end) & (F.aggregate(steps, start, walk) == end)
+    return found.withColumn("status", F.when(F.coalesce(sound, F.lit(False)), PASSED).otherwise(FAILED)).drop("_end", "_entries", "_length", "_start")
+
+
+def archive_manifest(spark: SparkSession, root: str, glob: str = "*.zip", base_url: str = "") -> DataFrame:
+    """subject, url, bytes, sha256 and status of each archive, and its path; content is dropped as soon as it is hashed and checked.
+
+    subject: the digits before the name's end, two at least, as in ``..._s01.zip``; NULL where there are none.
+    """
     read = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root)
-    return read.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    digits = F.regexp_extract(base_name(F.col("path")), ARCHIVE, 1)
+    subject = F.when(digits != "", F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), F.lit("0")))
+    return archive_checked(read.select("path", "length", "content")).select(
+        subject.alias("subject"), F.concat(F.lit(base_url), base_name(F.col("path"))).alias("url"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "status", "path"
+    )
 
 
 def read_manifests(spark: SparkSession, directory: str) -> DataFrame:

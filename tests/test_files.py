@@ -1,14 +1,18 @@
 """Listing, names, manifests and sinks on a real folder."""
 
+import csv
 import hashlib
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators.rollup import report_lines
 from strandline.plans import bindings, queries
 from strandline.plans.audit import audit_dataset
-from strandline.sources import files, sinks
+from strandline.sources import files, layout, sinks
+from strandline.sources.stage import written
 from strandline.sources.variables import missing_variables
 
 
@@ -44,7 +48,7 @@ def test_names(spark):
 
 def test_manifests(spark, root, tmp_path):
     row = files.archive_manifest(spark, root).first()
-    assert (row.bytes, row.sha256) == (7, hashlib.sha256(b"archive").hexdigest())
+    assert (row.bytes, row.sha256, row.subject, row.status) == (7, hashlib.sha256(b"archive").hexdigest(), None, "zip_test_fail")
     m = tmp_path / "manifests"
     m.mkdir()
     (m / "2.tsv").write_text("s2\tu\t5\tab\tok\n")
@@ -55,6 +59,37 @@ def test_manifests(spark, root, tmp_path):
     assert files.collection_totals(df, 2, 3).first().complete and files.collection_totals(df.limit(0), 2, 3).first().total_bytes == 0
 
 
+def test_archive_structure(spark, tmp_path):
+    """Made-up archives, sound and damaged: subject, url, bytes, digest and status of each."""
+    import io
+    import zipfile
+
+    def made(count, comment=b"", kind=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", kind) as z:
+            for i in range(count):
+                z.writestr(f"DB2_s1/S1_E{i}_A1.mat", f"data {i} " * 50)
+            z.comment = comment
+        return out.getvalue()
+
+    whole = made(3)
+    end = whole.rindex(b"PK\x05\x06")
+    cases = {
+        "DB2_s1": (whole, True), "DB2_s02": (made(1, b"a comment PK\x05\x06 in it"), True), "DB2_s3": (made(0), True), "DB2_s40": (made(300, b"x" * 60_000, zipfile.ZIP_STORED), True),
+        "DB2_s5": (whole[:-1], False), "DB2_s6": (whole[: len(whole) // 2], False), "DB2_s7": (whole + b"x", False), "DB2_s8": (b"P", False), "DB2_s9": (b"PK\x05\x06" + bytes(18), True),
+        "DB2_s10": (whole[:end] + whole[end : end + 10] + b"\x04\x00" + whole[end + 12 :], False), "DB2_s11": (whole[50:], False), "DB2_s12": (b"XX" + whole[2:], False),
+    }
+    for name, (data, _) in cases.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    rows = {r.url.removeprefix("http://x/"): r for r in files.archive_manifest(spark, str(tmp_path), base_url="http://x/").collect()}
+    assert set(rows) == {f"{n}.zip" for n in cases}
+    for name, (data, sound) in cases.items():
+        row = rows[f"{name}.zip"]
+        assert (row.status == "zip_test_pass") == sound, name
+        assert row.bytes == len(data) and row.sha256 == hashlib.sha256(data).hexdigest() and int(row.subject) == int(name[5:]) and len(row.subject) == 2
+    assert files.archive_manifest(spark, str(tmp_path)).drop("path").columns == ["subject", "url", "bytes", "sha256", "status"]
+
+
 def test_missing_variables(spark):
     recordings = spark.createDataFrame([("a",), ("b",), ("c",)], "recording_id string")
     have = [("a", v) for v in ("emg", "stimulus", "restimulus", "repetition", "rerepetition", "subject", "exercise")] + [("b", "exercise"), ("b", "emg"), ("b", "odd")]
@@ -87,9 +122,75 @@ def test_sinks(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == back.count()
 
 
+def test_written_audit(spark, sf, tmp_path):
+    """Totals observed while tables are written are those of the lazy summary, and files read by name are in order."""
+    e = bindings.events(spark, sf)
+    expected = bindings.event_pairs(spark, sf)
+    results = audit_dataset(e.raw, e.recordings, expected, e.params, e.catalogue, e.scalars, keep=written)
+    want = results["dataset_summary"].first().asDict(recursive=True)
+    del results["dataset_summary"]  # is not asked for again
+    summary = sinks.write_audit(results, expected, e.recordings, e.params, str(tmp_path), "/data", "csv")
+    assert summary.first().asDict(recursive=True) == want
+    assert (tmp_path / "audit_summary").is_dir() and (tmp_path / "report").is_dir()
+
+    def rows(name):
+        out = []
+        for p in sorted((tmp_path / name).glob("part-*.csv")):
+            with open(p, newline="") as f:
+                out += list(csv.DictReader(f))
+        return out
+
+    people = [int(r["subject"]) for r in rows("participant_summary")]
+    assert people == sorted(people) and len(people) == want["subject_count"]
+    found = rows("issues")
+    kind = {"missing_file": 0, "duplicate_file": 1}
+    keys = [(kind.get(r["category"], 2), int(r["subject"]), int(r["exercise"]), r["file"]) for r in found]
+    assert keys == sorted(keys) and len({k[0] for k in keys}) == 3 and len(found) == want["error_count"] + want["warning_count"]
+    files_ = [(int(r["subject"]), int(r["exercise"]), int(r["acquisition"]), r["relative_path"]) for r in rows("file_inventory")]
+    assert files_ == sorted(files_) and len(files_) == want["successfully_loaded_file_count"]
+
+
+def test_ordered_sink_uses_many_files(spark, tmp_path):
+    """Several files, each a range, in the order of their names; ties and NULLs included."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 5000).alias("a"), F.when(F.col("id") % 10 > 0, F.col("id")).alias("b"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_table(df, str(tmp_path / "t"), "csv", order=["a", "b"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "t").glob("part-*.csv"))
+    got = [(int(r["a"]), int(r["b"] or -1)) for p in parts for r in csv.DictReader(p.read_text().splitlines())]
+    assert len(parts) == 8 and got == sorted(got) and len(got) == 20_000
+
+
+def test_stored_layout_needs_no_shuffle_of_samples(spark, sf):
+    """Over a table bucketed by recording, no exchange of the audit moves samples or values, whatever the result."""
+    e = bindings.events(spark, sf)
+    spark.sql("DROP TABLE IF EXISTS stored_samples")
+    stored = layout.store_samples(e.raw, "stored_samples", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        results = audit_dataset(stored, e.recordings.persist(), bindings.event_pairs(spark, sf), e.params, e.catalogue, e.scalars)
+        seen = 0
+        for name, df in results.items():
+            plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            scans = [b for b in plan.split("\n\n") if re.match(r"\(\d+\) Scan", b.strip()) and "stored_samples" in b]
+            assert scans and all("Bucketed: true" in b for b in scans), name
+            for block in plan.split("\n\n"):
+                if re.match(r"\(\d+\) Exchange", block.strip()):
+                    seen += 1
+                    moved = re.search(r"Input \[\d+\]: \[(.*)\]", block).group(1)
+                    assert not re.search(r"\b(sample_index|emg|x|prev|start_sample|part_start)#", moved) or "segment_index" in moved, (name, block)
+        assert seen
+        assert results["issues"].count() == audit_dataset(e.raw, e.recordings, bindings.event_pairs(spark, sf), e.params, e.catalogue, e.scalars, results=("issues",))["issues"].count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS stored_samples")
+
+
 def test_plans_have_no_python_and_prune(spark, sf):
     e = bindings.events(spark, sf)
-    whole = audit_dataset(e.samples, e.recordings, bindings.event_pairs(spark, sf), e.params, e.catalogue, e.scalars, e.raw)  # lazy: nothing is written
+    whole = audit_dataset(e.raw, e.recordings, bindings.event_pairs(spark, sf), e.params, e.catalogue, e.scalars)  # lazy: nothing is written
     lazy = {name: (lambda spark, sf, df=df: df) for name, df in whole.items()}
     for name, query in (queries.QUERIES | lazy).items():
         if name == "audit_report_lines":  # made of dataset_summary

@@ -2,14 +2,16 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline import AuditParams, Window
 from strandline.functions.expr import window_count
-from strandline.operators import align, channels, checks, trials
+from strandline.operators import align, channels, checks, intake, trials
 from strandline.params import milliseconds_to_samples
 from strandline.plans.audit import audit_dataset
+from strandline.sources import stage
 
 SAMPLES = "recording_id string, sample_index bigint, emg array<double>, stimulus int, restimulus int, repetition int, rerepetition int"
 RECORDINGS = "recording_id string, subject int, exercise int, acquisition int, file string, relative_path string, file_bytes bigint, stored_subject int, stored_exercise int, channel_count int"
@@ -78,13 +80,53 @@ def test_expected_pairs(spark):
     assert params.requested_subjects == (1, 1, 3) and checks.requested_pairs(spark, AuditParams()).count() == 120
 
 
-@pytest.mark.parametrize("bucket", [1, 3, 1000])
-def test_percentiles_in_ranges(spark, bucket):
-    """Percentiles do not depend on how the values are cut into ranges."""
-    rows = [[x] for x in (-1e308, 1e308, 0.0, 0.0, -0.0, 1.0, 2.5, 2.5, 7.0, 1e-300)]
-    plain = channels.long_signal(signal(spark, rows), False)
-    one, want = channels.value_statistics(plain, bucket).first(), channels.value_statistics(plain, 10**6).first()
-    assert one == want and one.extreme_repeat_fraction == 0.1 and one.median == 0.5
+@pytest.mark.parametrize("bits", [4, 8, 16, 32])
+def test_percentiles_by_radix(spark, bits):
+    """Percentiles do not depend on how many bits a round counts by, nor on whether rounds are stored."""
+    rows = [[x, 7.5] for x in (-1e308, 1e308, 0.0, 0.0, -0.0, 1.0, 2.5, 2.5, 7.0, 1e-300)]
+    for keep in (None, stage.written):
+        one, two = channels.value_statistics(signal(spark, rows), keep, bits).orderBy("channel").collect()
+        assert (one.extreme_repeat_fraction, one.median, one.p01) == (0.1, 0.5, np.percentile([r[0] for r in rows], 1)) and (two.median, two.extreme_repeat_fraction) == (7.5, 1.0)
+
+
+def test_image_keeps_the_order_of_doubles(spark):
+    """The image is strictly monotonic and equals the bits of the number, at all exponents, next to powers of two and below the normal ones."""
+    rng = np.random.default_rng(2)
+    bits = np.concatenate([rng.integers(0, 0x7FEF_FFFF_FFFF_FFFF, 3000), [k << 52 for k in range(2047)], [(k << 52) - 1 for k in range(1, 2048)], [(k << 52) + 1 for k in range(2047)], [0, 1, 2, 3]]).astype(np.uint64)
+    x = bits.view(np.float64)
+    df = spark.createDataFrame([(float(v), int(b)) for v, b in zip(x, bits, strict=True)], "x double, b bigint")
+    both = df.unionByName(df.select((-F.col("x")).alias("x"), (-F.col("b")).alias("b")))
+    assert channels.with_image(both).where("image <> b or image is null").count() == 0
+
+
+def test_selection_against_numpy(spark):
+    """Outliers, subnormals and many equal values; a prefix with nearly all values is not sorted and not one task's."""
+    rng = np.random.default_rng(1)
+    n = 20_000
+    a = np.append(rng.random(n), 1e9)
+    b = np.append(rng.integers(0, 3, n) * 5e-324, -1e-310)
+    c = np.append(1000 + rng.normal(size=n) * 1e-9, np.nan)
+    d = np.append(np.round(rng.normal(size=n), 1), np.inf)
+    df = signal(spark, np.stack([a, b, c, d], 1).tolist()).repartition(8)
+    got = channels.value_statistics(df, stage.written).orderBy("channel").collect()
+    for row, x in zip(got, (a, b, c, d), strict=True):
+        x = x[np.isfinite(x)]
+        want = np.percentile(x, [100 * q for q in channels.QUANTILES.values()])
+        assert np.allclose([row[k] for k in channels.QUANTILES], want, rtol=1e-13, atol=0)
+        assert row.extreme_repeat_fraction == max((x == x.min()).mean(), (x == x.max()).mean())
+    plan = channels.selected_values(df)._jdf.queryExecution().executedPlan().toString()
+    assert "orderBy" not in plan and "Sort [x" not in plan and "Sort [recording_id" in plan  # windows sort counts only
+
+
+def test_chunks_send_two_runs_at_most(spark):
+    """Labels that change at every sample: all but two runs of a chunk are final inside it."""
+    n, chunk = 1000, 100
+    df = labels(spark, [i % 2 + 1 for i in range(n)], [1] * n)
+    parts = trials.chunk_runs(df, chunk)
+    assert parts.count() == n and parts.where("edge").groupBy("chunk").count().where("count > 2").count() == 0 and parts.where("edge").count() == 2 * n // chunk
+    assert trials.trials(trials.merged_runs(parts)).count() == n
+    one = labels(spark, [1] * 250, [1] * 250)
+    assert trials.chunk_runs(one, chunk).where("edge").count() == 3 and trials.label_runs(one, chunk).first().stop_sample == 250
 
 
 def test_no_samples_no_trials(spark):
@@ -151,6 +193,11 @@ def test_separate_streams(spark):
     one = lambda n: spark.createDataFrame([("r", i, i) for i in range(n)], "recording_id string, sample_index bigint, value int")
     df = align.zip_streams({"stimulus": one(2), "repetition": one(1)})
     assert df.where("repetition is null").count() == 1 and df.count() == 2
+    twice = one(3).union(one(1))
+    df = align.zip_streams({"stimulus": twice, "repetition": one(3)})
+    assert df.count() == 4 and df.where("sample_index = 0").count() == 2
+    assert str(df._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning") == 1
+    assert intake.position_integrity(df, ("stimulus", "repetition")).first().stimulus_repeated == 1
 
 
 def audit(spark, samples, recordings, **more):
@@ -191,6 +238,33 @@ def test_audit_of_every_kind_of_issue(spark):
     assert summary.channel_record_count == sum(1 for _ in out["channel_quality"].collect()) and summary.trial_segment_count == out["trial_inventory"].count()
 
 
+def test_positions(spark):
+    """Repeated positions do not hide a gap, in any stream; a position must be a number from 0 on."""
+    at = [0, 1, 2, 2, 2, 5, None, -1]
+    df = spark.createDataFrame([("r", i, [0.0], 1, 1, 1, 1) for i in at], SAMPLES)
+    row = intake.position_integrity(df).first()
+    assert (row.misplaced, row.emg_length, row.emg_missing, row.emg_repeated, row.stimulus_missing, row.stimulus_repeated) == (2, 6, 2, 2, 2, 2)
+    big = spark.createDataFrame([("r", i, [0.0], 1, 1, 1, 1 if i != 70 else None) for i in [*range(200), 130]], SAMPLES)
+    row = intake.position_integrity(big).first()
+    assert (row.emg_length, row.emg_missing, row.emg_repeated, row.rerepetition_missing, row.rerepetition_repeated) == (200, 0, 1, 1, 1)
+    for positions, text in (([0, 1, 1, 2], "emg has repeated positions"), ([0, 1, 3], "emg has a gap before its end"), ([0, -1], "samples without a position")):
+        samples = spark.createDataFrame([("a", i, [0.0, 1.0], 1, 1, 1, 1) for i in positions], SAMPLES)
+        recordings = spark.createDataFrame([("a", 1, 1, 1, "f", "d/f", 1, 1, 1, 2)], RECORDINGS)
+        out = audit(spark, samples, recordings, results=("issues",))["issues"].where("category = 'invalid_metadata'").collect()
+        assert [r.detail for r in out] == [text]
+
+
+def test_identity_and_labels_as_stored(spark):
+    """Identity comes from the scalars where there are some; labels of any type are judged as they come in."""
+    samples = spark.createDataFrame([(r, i, [0.0, 1.0], 1.0, 1.0, 1.0, x) for r, x in (("a", 1.0), ("b", 1.0), ("c", 1.5), ("d", 3e9)) for i in range(3)], SAMPLES.replace(" int", " double"))
+    recordings = spark.createDataFrame([(r, 1, 1, k, r, f"x/{r}", 1, 1, 1, 2) for k, r in enumerate("abcd")], RECORDINGS)
+    scalars = spark.createDataFrame([("a", "subject", 7.0), ("b", "subject", 3e9), ("c", "subject", 1.0), ("d", "exercise", 1e300)], "recording_id string, variable string, value double")
+    found = {(r.file, r.category): r.detail for r in audit(spark, samples, recordings, scalars=scalars, results=("issues",))["issues"].collect() if r.file}
+    assert found["a", "subject_mismatch"] == "filename=1, variable=7" and found["b", "subject_mismatch"] == "filename=1, variable=3000000000"
+    assert found["c", "invalid_metadata"] == "rerepetition must contain finite integer labels" and found["d", "invalid_metadata"] == "exercise must contain a finite value"
+    assert ("c", "subject_mismatch") not in found
+
+
 def test_label_rules(spark):
     raw = spark.createDataFrame([("ok", 0, 1.0), ("ok", 1, None), ("half", 0, 1.5), ("nan", 0, NAN), ("inf", 0, INF), ("big", 0, 3e9)], "recording_id string, sample_index bigint, stimulus double")
     got = {r.recording_id: r.stimulus_invalid for r in checks.label_validity(raw, ("stimulus",)).collect()}
