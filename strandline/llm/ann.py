@@ -156,8 +156,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield packed(rows, lists, sizes)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to 1/2 or more: no square overflows or vanishes, and cosines keep their bits."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows; the same two vectors give the same bits wherever they stand."""
+    """Cosine of each pair of rows of scaled(); the same two vectors give the same bits wherever they stand."""
     return (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
@@ -184,8 +189,8 @@ def _rerank(k: int):
                 lengths = np.asarray(some.column("v").combine_chunks().value_lengths())
                 for d in np.unique(lengths[own]).tolist():
                     q_of, v_of = np.cumsum(lengths[own][order] == d) - 1, np.cumsum(lengths[~own] == d) - 1
-                    q = matrix(some.column("v").filter(pa.array(own)).take(pa.array(order)).filter(pa.array(lengths[own][order] == d)))
-                    v = matrix(some.column("v").filter(pa.array(~own & (lengths == d))))
+                    q = scaled(matrix(some.column("v").filter(pa.array(own)).take(pa.array(order)).filter(pa.array(lengths[own][order] == d))))
+                    v = scaled(matrix(some.column("v").filter(pa.array(~own & (lengths == d)))))
                     rows = np.flatnonzero(lengths[~own][at_v] == d)
                     for i in range(0, len(rows), _PAIRS):
                         part = rows[i : i + _PAIRS]
@@ -210,7 +215,7 @@ def _best(k: int):
             for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if not asks[s:e].any() or asks[s:e].all():
                     continue
-                x = matrix(t.column("v").slice(s, e - s))
+                x = scaled(matrix(t.column("v").slice(s, e - s)))
                 q, v = np.flatnonzero(asks[s:e]), np.flatnonzero(~asks[s:e])
                 unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                 for at in range(0, len(q), 256):

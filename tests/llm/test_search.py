@@ -1,5 +1,8 @@
 """Both searches against brute force, with ties, repeated vectors, zero, null and non-finite components."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -166,3 +169,26 @@ def test_empty(odd):
 def test_large_integers():
     q, v = np.array([2.0**40, -(2.0**40)]), np.array([[2.0**40, 1.0], [1.0, 0.0]])
     assert topk.products(q, v).tolist() == [2**63 - 1, 2**40]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e160, 1e-170, "mixed", 5e-324])
+def test_cosines_at_any_scale(spark, scale):
+    """Against exact fractions: no square overflows or vanishes, and scores are those of the vectors as they are."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 8)) if scale != 5e-324 else rng.integers(-9, 10, (60, 8)).astype(float)
+    by = np.array([1e160, 1e-170, 1.0, 1e-300])[np.arange(60) % 4] if scale == "mixed" else np.full(60, scale)
+    vectors = {i: (base[i] * by[i]).tolist() for i in range(60)}
+    exact = {i: [Fraction(x) for x in v] for i, v in vectors.items()}
+
+    def cosine(a, b):
+        dot, n = sum(x * y for x, y in zip(a, b, strict=True)), sum(x * x for x in a) * sum(x * x for x in b)
+        root = math.isqrt((n.numerator << 400) // n.denominator if n >= 1 else int(n * (1 << 4400)))
+        return float(dot * (1 << 200) / root) if n >= 1 else float(dot * (1 << 2200) / root)
+
+    got = ann.neighbours(spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>"), every=20, k=5).collect()
+    assert len(got) == 15
+    for q in (0, 20, 40):
+        scores = {i: cosine(exact[q], exact[i]) for i in exact if i != q}
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert all(abs(r.score - scores[r.vec_id]) < 1e-14 for r in mine)
+        assert [round(r.score, 12) for r in mine] == [round(x, 12) for x in sorted(scores.values(), reverse=True)[:5]]
