@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.batches import slim
@@ -20,7 +21,7 @@ from strandline.llm.store import free, written
 WINDOW = 256
 WIDTHS, FILTERS, DIMENSION = (2, 3, 4), 16, 8
 _WIDEST = max(WIDTHS)
-#: The documented bounds of the training sample: expected labelled texts in all, drawn by a hash of doc_id in equal numbers for each
+#: The documented bounds of the training sample: expected labelled texts in all, drawn by a hash of the text in equal numbers for each
 #: language, the least number of a language where there are many, and windows of each text.
 TRAIN_ROWS, LEAST_ROWS, TRAIN_WINDOWS = 4000, 200, 3
 EPOCHS, BATCH, RATE = 6, 128, 0.004
@@ -135,21 +136,28 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def train(docs: DataFrame) -> Network | None:
-    """Network of the rows with a lang, or None without any. About TRAIN_ROWS texts are drawn by hash, with up to TRAIN_WINDOWS evenly spread windows each.
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, o (a hash) and text of about TRAIN_ROWS different texts, drawn by their hash, in equal numbers for each lang.
 
-    Every language has the same share of the sample, however rare it is; one of fewer texts is taken whole. Only these few
-    windows reach the driver.
+    Every language has the same share however rare it is and however often its texts or ids are repeated; one of fewer texts is
+    taken whole, and none has more than twice its share.
     """
-    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = written(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text", F.lit(13)).alias("o"))
+    counts = written(known.select("lang", "o").distinct().groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
     each = max(LEAST_ROWS, TRAIN_ROWS // max(1, counts.count()))
     rates = counts.select(F.col("lang").alias("l"), F.least(F.lit(1_000_000), F.ceil(F.lit(1_000_000.0) * each / F.col("n"))).alias("rate"))
-    drawn = known.join(rates, F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < F.col("rate"))
+    drawn = known.join(rates, F.col("lang") == F.col("l")).where(F.pmod("o", F.lit(1_000_000)) < F.col("rate"))
+    # Equal texts are one. The hash bounds the number of texts as expected, the rank for certain.
+    once = drawn.groupBy("lang", "o").agg(F.min("text").alias("text"))
+    return once.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("o"))).where(F.col("r") <= 2 * each).drop("r")
+
+
+def train(docs: DataFrame) -> Network | None:
+    """Network of sample(), or None without a row that has a lang. Of each text up to TRAIN_WINDOWS evenly spread windows are taken; only these few reach the driver."""
     raw = F.col("text").cast("binary")
     gap = F.greatest(F.floor(F.octet_length("text") / TRAIN_WINDOWS), F.lit(WINDOW)).cast("int")
     cuts = F.array(*[F.substring(raw, gap * i + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)])
-    rows = drawn.select("lang", F.xxhash64("doc_id").alias("o"), F.posexplode(cuts).alias("i", "part")).where(F.octet_length("part") > 0).collect()
+    rows = sample(docs).select("lang", "o", F.posexplode(cuts).alias("i", "part")).where(F.octet_length("part") > 0).collect()
     rows = sorted(rows, key=lambda r: (r["o"], r["i"]))
     if not rows:
         return None

@@ -78,19 +78,27 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], model.bias()))], ["feature", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(feature, weight) of a model of the rows of labels whose toxic is 0 or 1; feature -1 is the bias.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, text of what is learned from: one row for each of about TRAIN_ROWS ids, drawn by a hash, whose label is 0 or 1.
 
-    Rows are drawn by a hash of doc_id, TRAIN_ROWS of them as expected, and go to one task, PASSES times over: its input has that
-    bound, and it holds one batch of texts at a time, of whatever length.
+    However often an id is repeated it is one row; of its texts the one of the least hash counts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     share = 1_000_000 if n <= TRAIN_ROWS else int(1_000_000 * TRAIN_ROWS / n)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
-    rows = slim(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most about TRAIN_ROWS rows
+    rows = slim(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most about TRAIN_ROWS ids
+    return rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(feature, weight) of a model of sample(); feature -1 is the bias.
+
+    The sample goes to one task, PASSES times over: its input has the sample's bound, and it holds one batch of texts at a time, of
+    whatever length.
+    """
     again = F.explode(F.array(*map(F.lit, range(PASSES))))
-    one = rows.select("toxic", "text", F.xxhash64("doc_id").alias("order"), again.alias("pass")).repartition(1).sortWithinPartitions("pass", "order")
+    one = sample(docs, labels).select("toxic", "text", F.xxhash64("doc_id").alias("order"), again.alias("pass")).repartition(1).sortWithinPartitions("pass", "order")
     return one.select("toxic", "text").mapInArrow(_train, "feature bigint, weight double")
 
 

@@ -94,3 +94,12 @@ def test_edges(spark):
     assert identify(df.limit(0)).count() == 0
     none = spark.createDataFrame(odd, SCHEMA).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in identify(none).collect()} == {"und"}
+
+
+def test_sample_is_bounded_under_repeats(spark):
+    """One id, or one text, in most rows neither fills the sample nor keeps other languages out."""
+    rows = spark.range(30_000).select(F.lit(17).cast("bigint").alias("doc_id"), F.concat(F.lit("ein Satz "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    copies = spark.range(30_000).select(F.lit(18).cast("bigint").alias("doc_id"), F.lit("one text many times").alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([(i, f"un texte {i}", "fr") for i in range(5, 17)], "doc_id bigint, text string, lang string")
+    got = {r.lang: r["count"] for r in langid.sample(rows.union(copies).union(few)).groupBy("lang").count().collect()}
+    assert got["en"] == 1 and got["fr"] == 12 and 1000 < got["de"] < 1700

@@ -100,3 +100,11 @@ def test_edges(spark):
     none = classify(odd, labels.limit(0)).collect()
     assert len(none) == 5 and all(r.score == 0 and r.predicted == 0 for r in none)
     assert classify(docs.limit(0), labels).count() == 0
+
+
+def test_sample_has_one_row_for_an_id(spark):
+    """However often an id is repeated, and with whatever texts."""
+    docs = spark.range(5000).select(F.lit(17).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).union(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(17, 1), (1, 0), (2, 0), (4, 1)], "doc_id bigint, toxic int")
+    rows = T.sample(docs, labels).collect()
+    assert sorted((r.doc_id, r.toxic) for r in rows) == [(1, 0), (2, 0), (17, 1)]
