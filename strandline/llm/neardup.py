@@ -225,11 +225,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     """One row per document: doc_id, n_shingles, component_id, kept. Texts of at least the threshold's similarity are linked.
 
     docs needs an integer doc_id and text; other columns are left alone. Repeated rows are repeated. Null, empty and all-blank texts have no
-    shingles and stay alone. A null doc_id is left out: it names no document.
+    shingles and stay alone. A null doc_id names no document: its row is linked with nothing and has component_id and kept null.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    signed = written(signatures(named), "signatures")
-    some = signed.where("n_shingles > 0")
+    signed = written(signatures(docs), "signatures")
+    some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(some.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("c")), "classes")
     family = components(families(classes, threshold[0] / threshold[1])).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     members = written(family.join(classes.select("doc_id", "n_shingles"), "doc_id"), "members")
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     found = classes.select("words", "c", F.col("doc_id").alias("class_id")).join(linked, "class_id", "left")
     found = found.select("words", "c", F.coalesce("joined", "class_id").alias("component_id"))
     out = spread_join(some.select("doc_id", "n_shingles", "words"), found, ["words"], "c", signed.count())
-    alone = signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     names = ["doc_id", "n_shingles", "component_id"]
     return out.select(*names).unionByName(alone.select(*names)).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -46,7 +46,9 @@ def brute(docs):
 
 
 def compare(df):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    rows = near_duplicates(df).collect()
+    assert len(rows) == df.count() and all(r.component_id is None and r.kept is None for r in rows if r.doc_id is None)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None}
     want = brute([(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None])
     assert got == want
 
