@@ -22,8 +22,8 @@ from strandline.llm.store import written
 SCALE = 1024
 #: The longest vectors, from which thresholds are taken: a bounded table.
 SEED_ROWS = 2048
-#: Queries of a block and vectors of a block of a bucket, about.
-QUERY_ROWS, BLOCK_ROWS = 1024, 4096
+#: Bytes of the queries of a group, and of the vectors of a block of a bucket, about. Each vector is sent once for a group, each query once for a block.
+GROUP_BYTES, BLOCK_BYTES = 32 << 20, 32 << 20
 BUCKETS = 64
 #: Groups of queries by the length they need; larger groups are split further by a hash.
 BANDS = 64
@@ -140,14 +140,14 @@ def cells(vectors: DataFrame, every: int, k: int) -> DataFrame:
     asking = whole.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("d"))
     queries = written(asking.mapInArrow(_needs(every, k, sent), "vec_id bigint, v array<double>, d int, threshold double, need double"), "topk-queries")
     cut = lambda c, n: F.percentile_approx(c, [i / n for i in range(1, n)] or [0.5], 1000)
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
+    groups = max(1, -(-8 * (queries.agg(F.sum("d")).first()[0] or 0) // GROUP_BYTES))
     bands = min(BANDS, groups)
     queries = queries.withColumn("band", _place("need", queries.agg(cut("need", bands)).first()[0] if bands > 1 else []))
     queries = queries.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(-(-groups // bands))) * BANDS + F.col("band"))
     # Least length that some query of a group (and vector size) needs: a number for each group, never a row for each query.
     needs = written(queries.groupBy("d", "group").agg(F.min("need").alias("least")), "topk-needs")
     dealt = whole.withColumns({"d": F.size("v"), "bucket": _place("length", whole.agg(cut("length", BUCKETS)).first()[0] or [])})
-    counts = written(dealt.groupBy("d", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.max("length").alias("longest")), "topk-buckets")
+    counts = written(dealt.groupBy("d", "bucket").agg(F.ceil(F.count("*") * F.col("d") * 8 / BLOCK_BYTES).cast("int").alias("blocks"), F.max("length").alias("longest")), "topk-buckets")
     rows = dealt.join(counts, ["d", "bucket"]).join(needs, "d").where(F.col("length") >= F.col("least"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
     left = rows.select(F.xxhash64("d", "group", "bucket", block.alias("b")).alias("cell"), F.lit(False).alias("query"), "vec_id", "v", F.lit(0.0).alias("threshold"))

@@ -59,7 +59,7 @@ def test_products(spark, sf, odd, every, k):
 
 def test_products_are_pruned_right(spark, monkeypatch):
     """On vectors of varied length most pairs are pruned before they are exchanged."""
-    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 8 * 8 * 8)  # eight queries
     rng = np.random.default_rng(1)
     rows = [Row(vec_id=i, embedding=(rng.normal(size=8) * np.exp(rng.normal())).tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
