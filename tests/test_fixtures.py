@@ -215,7 +215,7 @@ def test_audit_of_every_kind_of_issue(spark):
     rec = lambda name, exercise, stored=1, n=2: (name, 1, exercise, 1, "same.mat", f"dir_{name}/same.mat", 10, stored, exercise, n)
     recordings = spark.createDataFrame([rec("a", 1), rec("dup", 1, 9), rec("long", 2), rec("hole", 2), rec("wide", 2), rec("frag", 1, 1, 3), rec("gone", 2), rec("zero", 2, 1, 0)], RECORDINGS)
     scalars = spark.createDataFrame([(r, v, 1.9) for r in ("a", "frag", "long", "hole", "wide", "zero") for v in ("subject", "exercise")] + [("dup", "subject", NAN), ("dup", "exercise", 1.0)], "recording_id string, variable string, value double")
-    out = audit(spark, samples, recordings, scalars=scalars)
+    out = audit(spark, samples, recordings, scalars=scalars, keep=stage.written)
     found = {(r.category, r.detail) for r in out["issues"].collect()}
     assert ("missing_file", "expected one MATLAB file") in found
     assert ("duplicate_file", "observed 3 MATLAB files") in found and ("duplicate_file", "observed 5 MATLAB files") in found
