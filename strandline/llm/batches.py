@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -34,6 +36,26 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_SETTING, before)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, which else keeps it for the process's next use."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, after which the worker gives back its memory: workers live on between stages, beside the JVM that needs it then."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys of sorted batches, with the run's number of each row."""
     kept: list[pa.RecordBatch] = []  # parts of the last run, put together once it ends

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import slim
+from strandline.llm.batches import slim, trimmed
 from strandline.llm.store import free, written
 
 WINDOW = 256
@@ -206,6 +206,7 @@ def label(docs: DataFrame, net: Network | None, carry: list[str] | None = None)
     """The columns of docs in ``carry`` (all, if None), lang_pred and score (with "_" in front where one of them has that name). The network (some 10 KB) is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
         for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):

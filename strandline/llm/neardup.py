@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import setsketch as K
-from strandline.llm.batches import slim, sorted_runs
+from strandline.llm.batches import give_back, slim, sorted_runs, trimmed
 from strandline.llm.graph import components, small_components
 from strandline.llm.hot import spread_join
 from strandline.llm.shingles import Words, exact_shingles, faithful, sequence, shingles, text_words
@@ -33,12 +33,15 @@ NATS = 12.5  # five standard deviations
 BUCKET = 256
 #: A block of a family has about so many documents and shingles at most.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 512, 200_000
+#: Documents of a group of texts after which a worker gives back what it has freed.
+LARGE = 64
 #: Bits of the filter that spares texts outside families a second transfer; fixed, so its size has a bound (1 MB).
 FILTER_BITS = 1 << 23
 #: Pairs whose likelihoods are in memory at once.
 _PAIRS = 3000
 
 
+@trimmed
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes, whole, sketches = batch.column("doc_id"), [], [], []
@@ -75,6 +78,7 @@ def band_rows(threshold: float) -> int:
 
 
 def _families(threshold: float):
+    @trimmed
     def run_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per bucket, edges that join documents whose registers allow the threshold; at most one edge a row."""
         for t, run in sorted_runs(batches, ["bucket"]):
@@ -167,6 +171,7 @@ def _common(first: list[Words], second: list[Words] | None) -> tuple[np.ndarray,
 
 
 def _links(numerator: int, denominator: int):
+    @trimmed
     def run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact links inside each (family, low block, high block); a spanning forest of them is passed on."""
         for t, run in sorted_runs(batches, ["family", "low", "high"]):
@@ -191,6 +196,9 @@ def _links(numerator: int, denominator: int):
                 some = np.flatnonzero(root != np.arange(e - s))
                 us.append(ids[s:e][some])
                 vs.append(ids[s:e][root[some]])
+                if e - s >= LARGE:
+                    del words, common, union
+                    give_back()
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 

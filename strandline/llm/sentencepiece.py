@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import slim
+from strandline.llm.batches import slim, trimmed
 from strandline.llm.store import free
 
 MARK = "▁"
@@ -262,6 +262,7 @@ def encode(docs: DataFrame, model: Model, check: bool = False, carry: list[str]
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # the model has a fixed size of a few MB
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(pickle.loads(sent.value))
         for whole in batches:
@@ -293,6 +294,7 @@ def decode(coded: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     """All columns of coded and text_decoded. Null ids give null."""
     sent = coded.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(pickle.loads(sent.value))
         for batch in batches:

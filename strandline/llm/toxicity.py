@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import shingles as S
-from strandline.llm.batches import slim
+from strandline.llm.batches import slim, trimmed
 from strandline.llm.store import free
 
 BITS = 20
@@ -66,6 +66,7 @@ class Ftrl:
         self.rows += 1
 
 
+@trimmed
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = Ftrl()
     for batch in batches:
@@ -115,6 +116,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], carry: list[str] |
     at = np.flatnonzero(table).astype(np.int32)
     sent = spark.sparkContext.broadcast((at, table[at], bias))  # as many weights as L1 leaves, at most 2 ** BITS
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, bias = sent.value
         w = np.zeros(1 << BITS, np.float32)
