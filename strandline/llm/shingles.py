@@ -168,8 +168,11 @@ def faithful(texts: list[Words]) -> bool:
     if all(t.data is texts[0].data for t in texts):
         data, shift = texts[0].data, [0] * len(texts)
     else:
-        data = np.concatenate([t.data for t in texts])
-        shift = np.cumsum([0, *[len(t.data) for t in texts[:-1]]]).tolist()
+        # Texts of one block share its bytes, which are taken once.
+        parts, at = {id(t.data): t.data for t in texts}, {}
+        for key, part in parts.items():
+            at[key] = sum(len(parts[k]) for k in at)
+        data, shift = np.concatenate(list(parts.values())), [at[id(t.data)] for t in texts]
     whole = Words(data, np.concatenate([t.start + s for t, s in zip(texts, shift, strict=True)]), np.concatenate([t.size for t in texts]), np.concatenate([t.code for t in texts]))
     order = np.argsort(whole.code, kind="stable")
     same = np.flatnonzero(whole.code[order[1:]] == whole.code[order[:-1]])
