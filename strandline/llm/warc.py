@@ -194,7 +194,9 @@ def read(index: DataFrame, gap: int = GAP, most: int = RANGE) -> DataFrame:
 
     Take a part of the index to read a part of the records; no other bytes are read but gaps of up to ``gap`` bytes.
     """
-    return ranges(index, gap, most).mapInArrow(_read, RECORDS)
+    # Rows of ranges are small and what they name is not, so their number of tasks does not follow from their size.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges(index, gap, most).repartition(tasks, "path", "start").mapInArrow(_read, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
