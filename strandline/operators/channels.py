@@ -21,16 +21,19 @@ STATISTICS = ("minimum", "maximum", "mean", "standard_deviation", "rms", *QUANTI
 def long_signal(samples: DataFrame, previous: bool = True, chunk_samples: int | None = None) -> DataFrame:
     """recording_id, channel (from 1), x and, if asked for, the previous sample's value prev.
 
-    lag runs on the array, one sort for each recording. With a chunk size, each chunk's last row is copied to the next
-    chunk, so that long recordings are many tasks.
+    Samples may have the column previous, the array of the sample before. If not, lag runs on the array, one sort for each recording.
+    With a chunk size, each chunk's last row is copied to the next chunk, so that long recordings are many tasks.
     """
-    rows = samples.select("recording_id", "sample_index", F.col("emg").cast("array<double>").alias("emg"))
+    emg = F.col("emg").cast("array<double>").alias("emg")
     if not previous:
-        return rows.select("recording_id", F.posexplode("emg").alias("pos", "x")).select("recording_id", (F.col("pos") + 1).alias("channel"), "x")
-    if chunk_samples is None:
+        return samples.select("recording_id", F.posexplode(emg).alias("pos", "x")).select("recording_id", (F.col("pos") + 1).alias("channel"), "x")
+    if "previous" in samples.columns:
+        rows = samples.select("recording_id", emg, F.col("previous").cast("array<double>").alias("prev"))
+    elif chunk_samples is None:
         w = W.partitionBy("recording_id").orderBy("sample_index")
-        rows = rows.withColumn("prev", F.lag("emg").over(w))
+        rows = samples.select("recording_id", "sample_index", emg).withColumn("prev", F.lag("emg").over(w))
     else:
+        rows = samples.select("recording_id", "sample_index", emg)
         chunk = F.floor(F.col("sample_index") / F.lit(chunk_samples)).cast("bigint")
         edge = (F.col("sample_index") + 1) % F.lit(chunk_samples) == 0
         w = W.partitionBy("recording_id", "chunk").orderBy("sample_index")
@@ -157,6 +160,23 @@ def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
     return joined.groupBy(*keys).agg(F.greatest(*share).alias("extreme_repeat_fraction"))
 
 
+def _counted(samples: DataFrame) -> DataFrame:
+    """recording_id, channel, x, c: each finite value of a channel with the number of its samples."""
+    return long_signal(samples, False).where(finite(F.col("x"))).groupBy("recording_id", "channel", "x").agg(F.count("*").alias("c"))
+
+
+def _extreme_repeats() -> Column:
+    """Aggregate of counted values: larger of the shares of finite values equal to the minimum and to the maximum."""
+    return (F.greatest(F.min_by("c", "x"), F.max_by("c", "x")) / F.sum("c")).alias("extreme_repeat_fraction")
+
+
+def extreme_statistics(samples: DataFrame, threshold: float) -> DataFrame:
+    """What saturation_candidates() needs of channel_statistics(), for channels with a finite value; samples may be in any order."""
+    out = _counted(samples).groupBy("recording_id", "channel").agg(F.min("x").alias("minimum"), F.max("x").alias("maximum"), _extreme_repeats())
+    varies = F.col("minimum") != F.col("maximum")
+    return out.withColumn("potential_saturation", varies & (F.col("extreme_repeat_fraction") >= threshold))
+
+
 def channel_statistics(samples: DataFrame, threshold: float, method: str = "rank", chunk_samples: int | None = None, recordings: DataFrame | None = None, keep: Keep | None = None) -> DataFrame:
     """One row for each (recording, channel): counts, 13 statistics and two flags.
 

@@ -99,7 +99,7 @@ def channel_quality_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saturation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.saturation_candidates(_selected(b.lineitem_signal(spark, sf_dir))))
+    return _rounded(channels.saturation_candidates(channels.extreme_statistics(b.lineitem_signal(spark, sf_dir, previous=False), SATURATION)))
 
 
 def missing_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
