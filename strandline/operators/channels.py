@@ -45,7 +45,7 @@ def long_signal(samples: DataFrame, previous: bool = True, chunk_samples: int |
     return rows.select("recording_id", F.posexplode(pairs).alias("pos", "v")).select("recording_id", (F.col("pos") + 1).alias("channel"), F.col("v.x").alias("x"), F.col("v.prev").alias("prev"))
 
 
-def _moments(signal: DataFrame, percentiles: bool) -> DataFrame:
+def _moments(signal: DataFrame) -> DataFrame:
     x, ok, both = F.col("x"), finite(F.col("x")), finite(F.col("x")) & finite(F.col("prev"))
     v = F.when(ok, x)
     aggs = [
@@ -54,10 +54,7 @@ def _moments(signal: DataFrame, percentiles: bool) -> DataFrame:
         F.sqrt(F.avg(v * v)).alias("rms"), F.avg((v == 0).cast("double")).alias("zero_fraction"),
         F.coalesce(F.avg(F.when(both, (x == F.col("prev")).cast("double"))), F.lit(0.0)).alias("flat_difference_fraction"),
     ]
-    if percentiles:
-        aggs.append(F.percentile(v, F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("q"))
-    out = signal.groupBy("recording_id", "channel").agg(*aggs)
-    return out.withColumns({n: F.col("q")[i] for i, n in enumerate(QUANTILES)}).drop("q") if percentiles else out
+    return signal.groupBy("recording_id", "channel").agg(*aggs)
 
 
 def with_image(rows: DataFrame) -> DataFrame:
@@ -148,18 +145,6 @@ def value_statistics(samples: DataFrame, keep: Keep | None = None, bits: int | N
     )
 
 
-def extreme_repeats(signal: DataFrame, moments: DataFrame) -> DataFrame:
-    """Larger of the shares of finite values equal to the minimum and to the maximum.
-
-    The join-back side has a row for each recording and channel; Spark broadcasts it only while it is small.
-    """
-    keys = ["recording_id", "channel"]
-    ends = moments.select(*keys, "minimum", "maximum")
-    joined = signal.where(finite(F.col("x"))).join(ends, keys)
-    share = [F.avg((F.col("x") == F.col(c)).cast("double")) for c in ("minimum", "maximum")]
-    return joined.groupBy(*keys).agg(F.greatest(*share).alias("extreme_repeat_fraction"))
-
-
 def _counted(samples: DataFrame) -> DataFrame:
     """recording_id, channel, x, c: each finite value of a channel with the number of its samples."""
     return long_signal(samples, False).where(finite(F.col("x"))).groupBy("recording_id", "channel", "x").agg(F.count("*").alias("c"))
@@ -170,6 +155,13 @@ def _extreme_repeats() -> Column:
     return (F.greatest(F.min_by("c", "x"), F.max_by("c", "x")) / F.sum("c")).alias("extreme_repeat_fraction")
 
 
+def counted_statistics(samples: DataFrame) -> DataFrame:
+    """Exact percentiles and the extreme-repeat fraction of each channel, from its different values and their counts."""
+    q = F.percentile("x", F.array(*[F.lit(q) for q in QUANTILES.values()]), F.col("c"))
+    out = _counted(samples).groupBy("recording_id", "channel").agg(q.alias("q"), _extreme_repeats())
+    return out.select("recording_id", "channel", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)], "extreme_repeat_fraction")
+
+
 def extreme_statistics(samples: DataFrame, threshold: float) -> DataFrame:
     """What saturation_candidates() needs of channel_statistics(), for channels with a finite value; samples may be in any order."""
     out = _counted(samples).groupBy("recording_id", "channel").agg(F.min("x").alias("minimum"), F.max("x").alias("maximum"), _extreme_repeats())
@@ -181,19 +173,14 @@ def channel_statistics(samples: DataFrame, threshold: float, method: str = "rank
     """One row for each (recording, channel): counts, 13 statistics and two flags.
 
     method: ``rank`` (radix selection: no sort of values, up to four passes over the values; ``keep`` stores the few rows of each) or
-    ``percentile`` (a value-count map in memory for each group, and a pass for the extremes); both are exact.
+    ``percentile`` (values are counted first, then a value-count map in memory for each group); both are exact.
     With recordings (recording_id, channel_count), channels of recordings without a sample have a row as well.
     """
     if method not in ("percentile", "rank"):
         raise ValueError("method must be percentile or rank")
     keys = ["recording_id", "channel"]
-    out = _moments(long_signal(samples, True, chunk_samples), method == "percentile")
-    if method == "rank":
-        out = out.join(value_statistics(samples, keep), keys, "left")
-    else:
-        plain = long_signal(samples, False)
-        ends = plain.where(finite(F.col("x"))).groupBy(*keys).agg(F.min("x").alias("minimum"), F.max("x").alias("maximum"))
-        out = out.join(extreme_repeats(plain, ends), keys, "left")
+    values = value_statistics(samples, keep) if method == "rank" else counted_statistics(samples)
+    out = _moments(long_signal(samples, True, chunk_samples)).join(values, keys, "left")
     if recordings is not None:
         some = recordings.where("channel_count > 0").select("recording_id", F.explode(F.sequence(F.lit(1), "channel_count")).alias("channel"))
         out = some.join(out, keys, "left").fillna(0, ["sample_count", "finite_count", "nonfinite_count"])

@@ -13,8 +13,6 @@ from strandline.sources.stage import written
 from strandline.sources.variables import missing_variables
 
 SATURATION = 0.01
-#: Samples of a chunk of the signals made from lineitem and embeddings.
-CHUNK = 4096
 
 
 def _aligned(e: b.Events) -> DataFrame:
@@ -78,12 +76,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def channel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(channels.channel_statistics(b.lineitem_signal(spark, sf_dir), SATURATION, "percentile", CHUNK))
+    return _rounded(channels.channel_statistics(written(b.lineitem_signal(spark, sf_dir), "samples"), SATURATION, "percentile"))
 
 
 def _selected(signal: DataFrame) -> DataFrame:
-    """Channel statistics by selection; the numbered samples are stored once, as samples are."""
-    return channels.channel_statistics(written(signal, "samples"), SATURATION, "rank", CHUNK, keep=written)
+    """Channel statistics by selection; the samples are stored once."""
+    return channels.channel_statistics(written(signal, "samples"), SATURATION, "rank", keep=written)
 
 
 def channel_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +138,7 @@ def missing_variable_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channel_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.params import AuditParams
 
-    return checks.channel_count_check(b.embedding_signal(spark, sf_dir), AuditParams())
+    return checks.channel_count_check(b.embedding_signal(spark, sf_dir, previous=False), AuditParams())
 
 
 def _audit(spark: SparkSession, sf_dir: str, result: str) -> DataFrame:
