@@ -85,10 +85,12 @@ def selected_values(samples: DataFrame, keep: Keep | None = None, bits: int | No
     with ``below`` values less than them. Values are never sorted, and no task holds more of a prefix than its 2 ** bits counts. After
     the last round lo is hi. With keep, each round's few rows are stored, and only prefixes of more than one value go on; without, all
     rounds are in one lazy plan, which has two rounds of 32 bits unless told otherwise. Samples are read once a round and meet the
-    prefixes of their recording before they are unpivoted.
+    prefixes of their recording before they are unpivoted; samples in parts (column part) meet them part by part.
     """
     bits = bits or (BITS if keep else 32)
     keys = ["recording_id", "channel"]
+    places = [c for c in ("recording_id", "part") if c in samples.columns]
+    parts = (keep or (lambda df, name: df))(samples.select(*places).distinct(), "parts") if "part" in places else None
     found, done = None, []
     for step in range(64 // bits):
         prefix = F.shiftright("image", 64 - bits * (step + 1))
@@ -102,7 +104,8 @@ def selected_values(samples: DataFrame, keep: Keep | None = None, bits: int | No
             of_channel = of_channel.select("recording_id", "channel", F.struct("n", F.col("p.prefix").alias("prefixes"), F.col("p.below").alias("belows")).alias("of"))
             by_channel = of_channel.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "of"))).alias("of"), F.max("channel").alias("last"))
             of_recording = by_channel.select("recording_id", F.transform(F.sequence(F.lit(1), "last"), lambda c: F.try_element_at("of", c)).alias("of"))
-            rows = samples.select("recording_id", F.col("emg").cast("array<double>").alias("emg")).join(of_recording, "recording_id")
+            of_place = of_recording if parts is None else parts.join(of_recording, "recording_id")
+            rows = samples.select(*places, F.col("emg").cast("array<double>").alias("emg")).join(of_place, places)
             rows = rows.select("recording_id", F.posexplode(F.arrays_zip(F.col("emg").alias("x"), F.col("of").alias("of"))).alias("pos", "v"))
             rows = with_image(rows.select("recording_id", (F.col("pos") + 1).alias("channel"), F.col("v.x").alias("x"), F.col("v.of").alias("of")).where(finite(F.col("x"))))
             at = F.array_position("of.prefixes", F.shiftright("image", 64 - bits * step))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators import align, channels, checks, intake, rollup, trials
 from strandline.plans import bindings as b
 from strandline.plans.audit import audit_dataset
-from strandline.sources import files
+from strandline.sources import files, layout
 from strandline.sources.stage import written
 from strandline.sources.variables import missing_variables
 
@@ -80,8 +80,8 @@ def channel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(signal: DataFrame) -> DataFrame:
-    """Channel statistics by selection; the samples are stored once."""
-    return channels.channel_statistics(written(signal, "samples"), SATURATION, "rank", keep=written)
+    """Channel statistics by selection; the samples in parts are stored once, so that no round moves them."""
+    return channels.channel_statistics(layout.store_parts(signal), SATURATION, "rank", keep=written)
 
 
 def channel_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Channel statistics of the signals: what is exchanged, and samples in parts against samples in one."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from strandline.operators import channels
 from strandline.plans import bindings, queries
+from strandline.sources import layout, stage
 
 NAN, INF = math.nan, math.inf
 ODD = [[NAN, NAN, -0.0, INF], [1.0, NAN, 0.0, 1.0], [1.0, INF, 0.0, 2.0], [NAN, None, 5.0, -INF], [2.0, None, 5.0, 2.0], [1.0, NAN, 0.0, 2.0]]
@@ -57,3 +59,23 @@ def test_percentiles_with_given_previous_samples(spark):
     assert "Window" not in text and text.count("Join") == 1  # moments with values
     want = channels.channel_statistics(df.drop("previous"), 0.5, "rank", 2)
     assert sorted(map(str, given.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rounds_move_no_stored_samples(spark):
+    """Over samples stored in parts, no exchange of the selection has samples or values, though no join is a broadcast; results are those of plain samples."""
+    rows = [("ab"[i % 2], i // 20, [math.sin(i), float(i % 7), NAN if i % 3 else 1.0]) for i in range(200)] + [("c", -5, [NAN, INF, None])]
+    df = spark.createDataFrame(rows, "recording_id string, part bigint, emg array<double>")
+    stored = layout.store_parts(df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = channels.selected_values(stored)
+        text = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        blocks = [b.strip() for b in text.split("\n\n")]
+        moved = [re.search(r"Input \[\d+\]: \[(.*)\]", b).group(1) for b in blocks if re.match(r"\(\d+\) Exchange", b)]
+        assert moved and not [m for m in moved if re.search(r"\b(emg|x|prev)#", m)]
+        assert any("Bucketed: true" in b for b in blocks)
+        want = sorted(map(str, channels.value_statistics(df.drop("part"), stage.written).collect()))
+        for keep in (None, stage.written):
+            assert sorted(map(str, channels.value_statistics(stored, keep).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
